@@ -105,3 +105,24 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             end = min(n, max(end, start + 1))
             yield batch.slice(start, end - start)
             start = end
+
+
+#: A group above 1/HOT of all rows counts as hot; there are fewer than HOT of them.
+HOT = 200
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """rows left-joined to one row per group, where a group may hold any share of the rows.
+
+    Groups above total / HOT are broadcast (fewer than HOT rows); the rows they
+    match are scattered in the shuffled join with the others.
+    """
+    extra = [c for c in groups.columns if c != on]
+    hot = groups.filter(F.col(size) * HOT > total).select(F.col(on).alias("hot_on"), *[F.col(c).alias("hot_" + c) for c in extra])
+    cold = groups.filter(F.col(size) * HOT <= total).withColumnRenamed(on, "cold_on")
+    found = rows.join(F.broadcast(hot), F.col(on) == F.col("hot_on"), "left")
+    kind = rows.schema[on].dataType
+    noise = F.monotonically_increasing_id().cast("string").cast(kind) if kind.typeName() in ("string", "binary") else F.monotonically_increasing_id()
+    found = found.withColumn("probe", F.when(F.col("hot_on").isNull(), F.col(on)).otherwise(noise)).withColumn("is_hot", F.col("hot_on").isNotNull())
+    out = found.join(cold, (F.col("probe") == F.col("cold_on")) & ~F.col("is_hot"), "left")
+    return out.select(*[F.col(c) for c in rows.columns], *[F.when(F.col("is_hot"), F.col("hot_" + c)).otherwise(F.col(c)).alias(c) for c in extra])

@@ -1,0 +1,36 @@
+"""Connected components of an edge table, by contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import drop_stored, stored
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Rows (node, label) for every node of an edge; label is the smallest
+    node of its component.
+
+    Each round sends every node to the smallest of itself and its neighbours,
+    follows that pointer twice and contracts the edges, so the rounds grow with
+    the logarithm of the longest path. All tables go through the shared folder.
+    """
+    live = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
+    labels = None
+    while live.limit(1).count():
+        both = live.union(live.select("b", "a"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "least")
+        jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        hop = least.join(jump, "label").select("node", F.col("next").alias("label"))
+        hop = stored(hop.join(jump, "label").select("node", F.col("next").alias("label")), "hop")
+        go = hop.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        if labels is None:
+            new = hop
+        else:
+            new = stored(labels.join(go, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        ends = live.join(hop.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(hop.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        rest = stored(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        drop_stored(live, least, *([labels] if labels is not None else []))
+        live, labels = rest, new
+    return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("label"))

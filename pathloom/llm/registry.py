@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import dedup_index, licenses, mixing, packing
+from . import dedup_index, licenses, mixing, ngram_join, packing, quality
 
 QUERIES = {
     "op3_license_scan": licenses.query,
+    "op6_ngram_jaccard": ngram_join.query,
     "op7_packing": packing.query,
     "op8_exact_dedup": dedup_index.query,
+    "op9_quality_gam": quality.query,
     "op10_source_mixing": mixing.query,
 }
 
