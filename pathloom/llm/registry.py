@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import dedup_index, licenses, mixing, ngram_join, packing, quality
+from . import dedup_index, licenses, mixing, ngram_join, packing, pii, quality, secrets
 
 QUERIES = {
+    "op2_pii_crf": pii.query,
     "op3_license_scan": licenses.query,
+    "op4_secret_scan": secrets.query,
     "op6_ngram_jaccard": ngram_join.query,
     "op7_packing": packing.query,
     "op8_exact_dedup": dedup_index.query,
