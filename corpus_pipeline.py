@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import dedup_index, mixing, packing
+from pathloom.llm import dedup_index, mixing, ngram_join, packing, quality
 from pathloom.llm.common import documents, stored
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest identifier stays."""
     return dedup_index.deduplicated(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays: the smallest identifier."""
+    return ngram_join.representatives(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target asks for."""
     return mixing.mixed(docs)
@@ -23,8 +33,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("source_mix", source_mix), ("packing", pack)]
+STAGES = [("quality_filter", quality_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", pack)]
 
+#: Learned scores and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

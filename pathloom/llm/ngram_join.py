@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, documents, drop_stored, join_groups, ship, sliced, stored, text_or_empty
+from .common import documents, fresh, join_groups, ship, sliced, stored, text_or_empty
 from .components import components
 from .shingles import U, mix, set_keys, shingle_sets
 
@@ -315,5 +315,17 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of linked ones, all columns kept.
+
+    The document with the smallest identifier stays; of rows that repeat it,
+    those stay too. Rows without an identifier stay where no row of their
+    group has one.
+    """
+    gone, = fresh(docs, "gone")
+    drop = joined(docs, key, text).filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, F.col(key).cast("long").eqNullSafe(F.col(gone)), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(documents(spark, sf_dir))

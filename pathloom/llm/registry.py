@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import dedup_index, licenses, mixing, ngram_join, packing, pii, quality, secrets
+from . import chat, dedup_index, licenses, media, mixing, ngram_join, packing, pii, quality, secrets
 
 QUERIES = {
+    "op1_flac_media": media.query,
     "op2_pii_crf": pii.query,
     "op3_license_scan": licenses.query,
     "op4_secret_scan": secrets.query,
+    "op5_chat_format": chat.query,
     "op6_ngram_jaccard": ngram_join.query,
     "op7_packing": packing.query,
     "op8_exact_dedup": dedup_index.query,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_license_scan": licenses.ORACLE,
+    "op5_chat_format": chat.ORACLE,
     "op8_exact_dedup": dedup_index.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
