@@ -1,12 +1,13 @@
-"""Registered queries of the movement operators and their SQL."""
+"""All registered queries of the movement operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cloud_queries, series_queries  # noqa: F401  (they register their queries)
+from .catalog import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Filter a point cloud and rank its most confident points."""
+    return QUERIES["cloud_topk_confidence"](spark, sf_dir)
