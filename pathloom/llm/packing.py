@@ -11,6 +11,7 @@ one record per window.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,39 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Fixed value: the split pattern of byte-level pre-tokenisers.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def rank_encoder(path: str):
+    """An encoder of ordinary words with the same ids, several times as fast, or None.
+
+    It exists where the file is a plain byte-level model whose merges are in
+    the order of their ids: the lowest rank then is the first merge.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("unk_token"):
+        return None
+    # Byte-level vocabularies write a byte as itself if printable, else as the next sign from 256 on.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    sign = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = model["vocab"]
+    ranks = {bytes(sign[c] for c in t): i for t, i in vocab.items() if t not in special}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if merged != sorted(x for x in ranks.values() if x >= 256) or sorted(ranks.values())[:256] != list(range(256)):
+        return None
+    words = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return (lambda w: words.encode_ordinary(w)), special
+
+
 class CachedTokenizer:
     """Token ids as little-endian bytes, with whole words looked up in a cache.
 
@@ -47,6 +81,13 @@ class CachedTokenizer:
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.most, self.words = most, {}
+        self.quick, self.special = rank_encoder(path) or (None, set())
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if self.quick is None or any(t in w for t in self.special for w in words):
+            return self._encode(words)
+        kind = self.dtype.char
+        return [array(kind, self.quick(w)).tobytes() for w in words]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,7 +103,7 @@ class CachedTokenizer:
         if len(self.words) + len(new) > self.most:
             self.words = {}
             new = list(dict.fromkeys(words))
-        self.words.update(zip(new, self._encode(new), strict=True))
+        self.words.update(zip(new, self._words(new), strict=True))
         return b"".join(map(self.words.__getitem__, words))
 
 
