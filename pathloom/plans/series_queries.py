@@ -97,9 +97,9 @@ def heading(spark, d):
     return _r(ops.heading(trajectory(spark, d)).select("run", "id", "heading"))
 
 
-@query("traj_heading_unwrap", f"WITH {HEADING}, h AS (SELECT * FROM head WHERE heading IS NOT NULL), u AS (SELECT *, coalesce({_wrap(f'heading - lag(heading) OVER {W}')}, 0) AS turn FROM h) SELECT run, id, round(first_value(heading) OVER {W} + sum(turn) OVER {W}, 3) AS unwrapped FROM u")
+@query("traj_heading_unwrap", f"WITH {HEADING}, h AS (SELECT * FROM head WHERE heading IS NOT NULL), u AS (SELECT *, coalesce({_wrap(f'heading - lag(heading) OVER {W}')}, 0) AS turn FROM h) SELECT run, id, round(first_value(heading) OVER {W} + sum(turn) OVER {W}, 3) + 0.0 AS unwrapped FROM u")
 def heading_unwrap(spark, d):
-    return _r(ops.unwrapped(ops.heading(trajectory(spark, d)).filter("heading is not null"), "heading").select("run", "id", "unwrapped"), 3)
+    return _r(ops.unwrapped(ops.heading(trajectory(spark, d)).filter("heading is not null"), "heading").select("run", "id", "unwrapped"), 3).withColumn("unwrapped", F.col("unwrapped") + 0.0)
 
 
 @query("traj_heading_rate_smooth", f"WITH {RATE} SELECT run, id, round(rate, 4) AS rate FROM rated")
@@ -152,10 +152,10 @@ def resample(spark, d):
 @query(
     "traj_densify",
     f"""WITH {TRAJ}, s AS (SELECT *, lead(x) OVER {W} AS nx, lead(y) OVER {W} AS ny FROM traj), p AS (SELECT *, coalesce(greatest(1, ceil(sqrt(pow(nx - x, 2) + pow(ny - y, 2)) / 25.0)), 1)::BIGINT AS parts FROM s),
-    e AS (SELECT *, unnest(range(parts)) AS part FROM p) SELECT run, id, part, round(coalesce(x + (nx - x) * (part::DOUBLE / parts), x), 4) AS x, round(coalesce(y + (ny - y) * (part::DOUBLE / parts), y), 4) AS y FROM e""",
+    e AS (SELECT *, unnest(range(parts)) AS part FROM p) SELECT run, id, part, round(coalesce(x + (nx - x) * (part::DOUBLE / parts), x), 8) AS x, round(coalesce(y + (ny - y) * (part::DOUBLE / parts), y), 8) AS y FROM e""",
 )
 def densify(spark, d):
-    return _r(ops.densified(trajectory(spark, d), 25.0))
+    return _r(ops.densified(trajectory(spark, d), 25.0), 8)
 
 
 @query("traj_trend_blocks", f"WITH {TRAJ}, b AS (SELECT run, floor((t - min(t) OVER (PARTITION BY run)) / 172800)::BIGINT AS block, x, y FROM traj) SELECT run, block, count(*) AS n, round(quantile_cont(x, 0.5), 4) AS x, round(quantile_cont(y, 0.5), 4) AS y FROM b GROUP BY run, block")
