@@ -65,6 +65,15 @@ def drop_stored(*tables: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at the
+    driver's next garbage collection: a large shuffle before this one is then off the disks."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names built from `names` that do not clash with df's own, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, join_groups, ship, sliced, stored, text_or_empty
+from .common import documents, fresh, join_groups, release, ship, sliced, stored, text_or_empty
 from .components import components
 from .shingles import U, mix, set_keys, shingle_sets
 
@@ -39,6 +39,8 @@ BLOCK_SIGNATURES = 1_500_000
 SMALL_BUCKET = 8
 FIRST_LEADERS = 16
 SEEN_CLASSES = 500_000
+#: Bits of a histogram's ranges for sets above and up to a size.
+RANGES = ((5, 0, 150), (7, 150, 1000), (10, 1000, 8000), (12, 8000, 1 << 62))
 
 
 @lru_cache(maxsize=4096)
@@ -228,8 +230,24 @@ def _buckets(table: pa.Table) -> pa.Table:
     })
 
 
+def histograms(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Elements of each set by equal ranges of the hash, cut at 255: more ranges
+    for larger sets, so that few elements share one."""
+    out: list[bytes] = [b""] * (len(offsets) - 1)
+    size = np.diff(offsets)
+    for bits, low, high in RANGES:
+        rows = np.flatnonzero((size > low) & (size <= high))
+        if len(rows):
+            mine = np.concatenate([h[offsets[r] : offsets[r + 1]] for r in rows])
+            at = np.repeat(np.arange(len(rows)), size[rows]) << bits | (mine >> U(64 - bits)).astype(np.int64)
+            raw = np.minimum(np.bincount(at, minlength=len(rows) << bits), 255).astype(np.uint8).tobytes()
+            for i, r in enumerate(rows.tolist()):
+                out[r] = raw[i << bits : (i + 1) << bits]
+    return out
+
+
 def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (k, class_id, items array<long>) for the classes whose k is in keys."""
+    """Rows (k, class_id, n, hist, items array<long>) for the classes whose k is in keys."""
     need = rows.join(keys, "k", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
     few = need.count() * 16 <= 16 << 20
     mine = docs.select(F.col(key).cast("long").alias("rep"), text_or_empty(text).alias("text"))
@@ -241,9 +259,29 @@ def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str
             a, b = set_keys(h, offsets)
             raw = np.stack([a, b], axis=1).astype(">u8").tobytes().hex()
             items = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([raw[32 * i : 32 * i + 32] for i in range(len(a))]), items], names=["k", "class_id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([raw[32 * i : 32 * i + 32] for i in range(len(a))]), pa.array(np.diff(offsets)), pa.array(histograms(h, offsets), pa.binary()), items], names=["k", "class_id", "n", "hist", "items"])
+
+    return chosen.mapInArrow(run, "k long, class_id string, n long, hist binary, items array<long>")
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that their histograms don't rule out: the sum of the ranges' differences
+    is at most the sets' distance, which is at most a ninth of their sizes' sum."""
+
+    @F.arrow_udf("boolean")
+    def near(xh: pa.Array, yh: pa.Array, xn: pa.Array, yn: pa.Array) -> pa.Array:
+        limit = (xn.to_numpy() + yn.to_numpy()) // 9
+        xs, ys = xh.to_pylist(), yh.to_pylist()
+        size = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(xs, ys, strict=True)])
+        out = np.ones(len(xs), dtype=bool)
+        for n in np.unique(size[size > 0]).tolist():
+            for rows in np.array_split(np.flatnonzero(size == n), 1 + int((size == n).sum()) * n // (1 << 22)):
+                a, b = (np.frombuffer(b"".join([side[r] for r in rows]), dtype=np.uint8).reshape(-1, n).astype(np.int16) for side in (xs, ys))
+                out[rows] = np.abs(a - b).sum(axis=1, dtype=np.int64) <= limit[rows]
+        return pa.array(out)
 
-    return chosen.mapInArrow(run, "k long, class_id string, items array<long>")
+    side = lambda k: sets.select(F.col("k").alias(k), F.col("n").alias(k + "n"), F.col("hist").alias(k + "h"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter(near("xh", "yh", "xn", "yn")).select("x", "y").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,31 +301,52 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     pairs = stored(found.filter("kind = 0").select("x", "y").distinct(), "pairs")
     members = found.filter("kind = 1").select(F.col("x").alias("bucket"), F.col("y").alias("k"))
     sets = stored(_sets(docs, rows, pairs.select(F.explode(F.array("x", "y")).alias("k")).union(members.select("k")).distinct(), key, text), "sets")
-    done, leaders, skip = pairs, FIRST_LEADERS, 1
-    linked = stored(_links(pairs, sets), "links")
+    release(spark)
+    classes = stored(rows.filter("n > 0").select("k", "class_id").distinct(), "names")
+    pairs = stored(_near(pairs, sets), "pairs")
+    # One partner for each set first; the other pairs matter only across components.
+    first = stored(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")
+    linked = stored(_links(first, sets), "links")
     labels = components(linked)
+    release(spark)
+    rest = stored(_apart(pairs.join(first, ["x", "y"], "left_anti"), classes, labels), "pairs")
+    if rest.limit(1).count():
+        linked = stored(linked.union(_links(rest, sets)), "links")
+        labels = components(linked)
     if not members.limit(1).count():
         return labels
-    live = members
-    classes = rows.filter("n > 0").select("k", "class_id").distinct()
-    rank = F.row_number().over(_by_bucket())
     # Leaders are taken in the order of k: ranks stay valid from round to round.
-    live = stored(live.distinct().withColumn("rank", rank), "buckets")
+    live = stored(members.distinct().withColumn("rank", F.row_number().over(_by_bucket())), "buckets")
+    done, leaders, skip = found.filter("kind = 0").select("x", "y").distinct(), FIRST_LEADERS, 1
     while True:
-        named = live.join(classes, "k").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+        named = _labelled(live, classes, labels, "k", "label")
         mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("most")).filter((F.col("lo") != F.col("hi")) & (F.col("most") > skip)).select("bucket")
         open_rows = stored(named.join(mixed, "bucket", "left_semi"), "open")
         if not open_rows.limit(1).count():
             return labels
         lead = open_rows.filter(F.col("rank").between(skip + 1, skip + leaders)).select("bucket", F.col("k").alias("lk"), F.col("label").alias("ll"), F.col("rank").alias("lr"))
         more = open_rows.join(lead, "bucket").filter("rank > lr and label <> ll").select(F.least("k", "lk").alias("x"), F.greatest("k", "lk").alias("y")).distinct()
-        more = stored(more.join(done, ["x", "y"], "left_anti"), "pairs")
-        linked = stored(linked.union(_links(more, sets)), "links")
-        labels = components(linked)
+        more = stored(_near(more.join(done, ["x", "y"], "left_anti"), sets), "pairs")
+        release(spark)
+        if more.limit(1).count():
+            linked = stored(linked.union(_links(more, sets)), "links")
+            labels = components(linked)
         done, live = done.union(more), open_rows.select("bucket", "k", "rank")
         skip, leaders = skip + leaders, leaders * 2
 
 
+def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame, k: str, label: str) -> DataFrame:
+    """rows with the component of class k, its own name where it has no link."""
+    names = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(F.col("k").alias(k), F.coalesce("label", "class_id").alias(label))
+    return rows.join(names, k)
+
+
+def _apart(pairs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose sets lie in different components."""
+    both = _labelled(_labelled(pairs, classes, labels, "x", "lx"), classes, labels, "y", "ly")
+    return both.filter("lx <> ly").select("x", "y").distinct()
+
+
 def _by_bucket():
     from pyspark.sql import Window
 
