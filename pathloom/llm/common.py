@@ -74,6 +74,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back, as idle workers stay beside the JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names built from `names` that do not clash with df's own, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -27,18 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, join_groups, release, ship, sliced, stored, text_or_empty
+from .common import documents, fresh, join_groups, release, ship, sliced, stored, text_or_empty, trim
 from .components import components
 from .shingles import U, mix, set_keys, shingle_sets
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BAND_RATIO = 1.5
 SLACK = 0.06
-PER_PART = 2_000_000
-BLOCK_SIGNATURES = 1_500_000
+PER_PART = 800_000
+BLOCK_SIGNATURES = 800_000
 SMALL_BUCKET = 8
 FIRST_LEADERS = 16
-SEEN_CLASSES = 500_000
+SEEN_CLASSES = 200_000
 #: Bits of a histogram's ranges for sets above and up to a size.
 RANGES = ((5, 0, 150), (7, 150, 1000), (10, 1000, 8000), (12, 8000, 1 << 62))
 
@@ -185,6 +185,8 @@ def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
                 held, total = [], 0
         if held:
             yield from blocks(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        del held, seen
+        trim()
 
     return docs.select(text_or_empty(text).alias("text")).mapInArrow(run, "part int, keys binary, sizes binary, counts binary, sigs binary")
 
@@ -224,10 +226,13 @@ def _buckets(table: pa.Table) -> pa.Table:
     near = 5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])
     pairs = np.unique(np.stack([key[x[near]], key[y[near]]], axis=1), axis=0)
     bucket = (np.repeat(sig[head].astype(np.int64), run) << 31) ^ part
-    return pa.table({
+    out = pa.table({
         "kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(pairs), len(member)])),
         "x": np.concatenate([pairs[:, 0], bucket]), "y": np.concatenate([pairs[:, 1], key[member]]),
     })
+    del order, key, size, sig, total, member, lead, x, y
+    trim()
+    return out
 
 
 def histograms(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
