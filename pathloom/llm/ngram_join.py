@@ -12,9 +12,11 @@ link is lost.
 
 Equal sets form one class and take part once. Signatures travel packed, in
 blocks of one task and one hash range. A bucket of a few classes gives all its
-pairs; a larger one gives pairs with its smallest class, links contract into
-components, and only buckets that still span several components are looked at
-again, a doubling number of leaders at a time, until none is left.
+pairs. A larger one is compared with one pivot: two sets' distance is that of
+their differences from the pivot, so sets that link with the pivot need no look
+at each other, and any other link must share an element of short prefixes of the
+differences. Those elements are signatures in turn, with a new pivot for buckets
+that are large again; every level drops the pivot, so it ends and no link is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, join_groups, release, ship, sliced, stored, text_or_empty, trim
+from .common import documents, drop_stored, fresh, join_groups, release, ship, sliced, stored, text_or_empty, trim
 from .components import components
 from .shingles import U, mix, set_keys, shingle_sets
 
@@ -37,7 +39,9 @@ SLACK = 0.06
 PER_PART = 800_000
 BLOCK_SIGNATURES = 800_000
 SMALL_BUCKET = 8
-FIRST_LEADERS = 16
+#: The same for signatures of differences, which are far more selective.
+SMALL_DIFFERENCE = 128
+BAND_STEP = 1.35
 SEEN_CLASSES = 200_000
 #: Bits of a histogram's ranges for sets above and up to a size.
 RANGES = ((5, 0, 150), (7, 150, 1000), (10, 1000, 8000), (12, 8000, 1 << 62))
@@ -133,34 +137,47 @@ def class_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, class_id string, k long, n long")
 
 
+BLOCKS = "part int, keys binary, sizes binary, counts binary, sigs binary"
+
+
+def _batch_of(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "keys", "sizes", "counts", "sigs"])
+
+
+def _packed(parts: int, held: list[tuple]):
+    """Batches of BLOCKS of (keys, sizes, counts, signatures[, positions]) arrays, by hash range.
+
+    With positions, a signature's upper half is its position, and a size's the distance from the pivot.
+    """
+    keys, sizes, counts, sigs, *place = (np.concatenate(c) for c in zip(*held, strict=True))
+    kind = np.dtype(np.uint64 if place else np.uint32)
+    part = ((sigs >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), counts)
+    order = np.argsort(part, kind="stable")
+    part, row, low = part[order], row[order], sigs[order].astype(np.uint32).astype(kind)
+    if place:
+        low |= place[0][order].astype(np.uint64) << U(32)
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    columns: list[list] = [[] for _ in range(5)]
+    for p in range(parts):
+        a, b = cuts[p], cuts[p + 1]
+        if a == b:
+            continue
+        head = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
+        rows = row[a:b][head]
+        for column, v in zip(columns, (p, keys[rows].tobytes(), sizes[rows].astype(kind).tobytes(), np.diff(np.append(head, b - a)).astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
+            column.append(v)
+        if len(columns[0]) == 512:
+            yield _batch_of(columns)
+            columns = [[] for _ in range(5)]
+    if columns[0]:
+        yield _batch_of(columns)
+
+
 def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
     """Packed signatures: part int, and per block the sets' keys, sizes, numbers
     of signatures and 32-bit signatures. A task packs a set it has seen once."""
 
-    def blocks(keys, sizes, counts, sigs):
-        part = ((sigs >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-        row = np.repeat(np.arange(len(keys)), counts)
-        order = np.argsort(part, kind="stable")
-        part, row, low = part[order], row[order], sigs[order].astype(np.uint32)
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        columns = [[] for _ in range(5)]
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a == b:
-                continue
-            head = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
-            rows = row[a:b][head]
-            for column, v in zip(columns, (p, keys[rows].tobytes(), sizes[rows].astype(np.uint32).tobytes(), np.diff(np.append(head, b - a)).astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
-                column.append(v)
-            if len(columns[0]) == 512:
-                yield batch_of(columns)
-                columns = [[] for _ in range(5)]
-        if columns[0]:
-            yield batch_of(columns)
-
-    def batch_of(columns):
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "keys", "sizes", "counts", "sigs"])
-
     def run(batches):
         seen: set[int] = set()
         held, total = [], 0
@@ -181,60 +198,143 @@ def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
             held.append((keys, sizes, counts, sigs))
             total += len(sigs)
             if total >= BLOCK_SIGNATURES:
-                yield from blocks(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield from _packed(parts, held)
                 held, total = [], 0
         if held:
-            yield from blocks(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from _packed(parts, held)
         del held, seen
         trim()
 
-    return docs.select(text_or_empty(text).alias("text")).mapInArrow(run, "part int, keys binary, sizes binary, counts binary, sigs binary")
+    return docs.select(text_or_empty(text).alias("text")).mapInArrow(run, BLOCKS)
+
 
+#: A size's top bit marks a class of the pivot's component: two of them need no look.
+SETTLED = 1 << 31
 
-def _buckets(table: pa.Table) -> pa.Table:
-    """Candidates of one hash range: kind 0, a pair x < y; kind 1, member y of the large bucket x."""
+
+def _buckets(table: pa.Table, fine: bool = False) -> pa.Table:
+    """Candidates of one hash range: kind 0, a pair x < y; kind 1, member y of the large bucket x.
+
+    fine: the signatures are of differences, with positions.
+    """
     part = table.column("part")[0].as_py()
     join = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
+    kind = np.uint64 if fine else np.uint32
     counts = join("counts", np.uint32)
-    key, size, sig = np.repeat(join("keys", np.uint64), counts).view(np.int64), np.repeat(join("sizes", np.uint32), counts), join("sigs", np.uint32)
-    order = np.lexsort((key, sig))
+    key, size, sig = np.repeat(join("keys", np.uint64), counts).view(np.int64), np.repeat(join("sizes", kind), counts), join("sigs", kind)
+    at, away = (sig >> U(32)).astype(np.int64) if fine else None, (size >> U(32)).astype(np.int64) if fine else None
+    sig, size = sig.astype(np.uint32), size.astype(np.uint32)
+    order = np.lexsort((*([at, away] if fine else []), key, size >= SETTLED, sig))
     sig, key, size = sig[order], key[order], size[order]
     new = np.ones(len(sig), dtype=bool)
     new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    if fine:
+        at, away = at[order], away[order]
+        new[1:] |= away[1:] != away[:-1]
+        at, away = at[new], away[new]
     sig, key, size = sig[new], key[new], size[new].astype(np.int64)
+    open_ = size < SETTLED
+    size &= SETTLED - 1
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     run = np.diff(np.append(head, len(sig)))
-    # Buckets with the same members need one look.
-    many = run > 1
-    head, run = head[many], run[many]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key.view(np.uint64)))])
-    _, once = np.unique(total[head + run] - total[head], return_index=True)
-    head, run = head[once], run[once]
-    x, y = [], []
-    for gap in range(1, SMALL_BUCKET):
-        for first in range(SMALL_BUCKET - gap):
-            ok = head[(run <= SMALL_BUCKET) & (run > first + gap)] + first
-            x.append(ok)
-            y.append(ok + gap)
-    big = run > SMALL_BUCKET
-    head, run = head[big], run[big]
+    # Open classes come first in a bucket.
+    first = np.add.reduceat(open_.astype(np.int64), head) if len(head) else run
+    many = (run > 1) & (first > 0)
+    head, run, first = head[many], run[many], first[many]
+    if not fine:  # buckets with the same members need one look
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key.view(np.uint64)))])
+        _, once = np.unique(total[head + run] - total[head], return_index=True)
+        head, run, first = head[once], run[once], first[once]
+        del total
+
+    def possible(x, y):
+        ok = (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])) & (key[x] != key[y])
+        if fine:  # the first shared element lies in both prefixes of this very pair
+            share = (away[x] + away[y] - (size[x] + size[y]) // 9 + 1) // 2
+            ok &= (at[x] <= away[x] - share) & (at[y] <= away[y] - share)
+        return np.stack([np.minimum(key[x], key[y])[ok], np.maximum(key[x], key[y])[ok]], axis=1)
+
+    small = SMALL_DIFFERENCE if fine else SMALL_BUCKET
+    few = first <= small
+    pairs = [np.zeros((0, 2), np.int64)]
+    for k in range(min(small, int(first.max(initial=0)))):  # the k-th open class with all after it
+        some = few & (first > k) & (run > k + 1)
+        n = run[some] - k - 1
+        lead = np.repeat(head[some] + k, n)
+        pairs.append(possible(lead, lead + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    head, run = head[~few], run[~few]
     member = np.arange(run.sum()) + np.repeat(head - (np.cumsum(run) - run), run)
-    lead = np.repeat(head, run)
-    x.append(lead[member != lead])
-    y.append(member[member != lead])
-    x, y = np.concatenate(x), np.concatenate(y)
-    near = 5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])
-    pairs = np.unique(np.stack([key[x[near]], key[y[near]]], axis=1), axis=0)
     bucket = (np.repeat(sig[head].astype(np.int64), run) << 31) ^ part
     out = pa.table({
         "kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(pairs), len(member)])),
         "x": np.concatenate([pairs[:, 0], bucket]), "y": np.concatenate([pairs[:, 1], key[member]]),
     })
-    del order, key, size, sig, total, member, lead, x, y
+    del order, key, size, sig, at, away, member
     trim()
     return out
 
 
+@lru_cache(maxsize=1)
+def _distance_bands() -> np.ndarray:
+    """Smallest distance from the pivot of each band."""
+    low = [0]
+    while low[-1] < 1 << 40:
+        low.append(max(low[-1] + 1, math.floor(low[-1] * BAND_STEP)))
+    return np.array(low)
+
+
+def difference_signatures(x: np.ndarray, pivot: np.ndarray, salt: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a set by its difference D from a pivot, their positions in D, and D's size.
+
+    D has the elements of x alone, then those of the pivot alone, each in the order of their hash.
+
+    A link's distance is at most a ninth of the sizes' sum: n / 4, or less if no
+    set of the pivot is larger than `largest`. With a set at distance e from the
+    pivot it shares at least (|D| + e - reach) / 2 elements of the differences,
+    so one lies in the prefixes that remain. Where this is no element, both sets
+    link with the pivot.
+    """
+    low = _distance_bands()
+    diff = np.concatenate([np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)])
+    d, reach = len(diff), (len(x) + min(len(x) * 5 // 4, largest)) // 9
+    own = int(np.searchsorted(low, d, side="right")) - 1
+    bands = np.arange(int(np.searchsorted(low, max(0, d - reach), side="right")) - 1, int(np.searchsorted(low, d + reach, side="right")))
+    need = np.maximum(1, (d + np.maximum(low[bands], d - reach) - reach + 1) // 2)
+    prefix = np.clip(d - need + 1, 0, d)
+    at = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    place = mix(np.minimum(bands, own).astype(np.uint64) * U(1 << 20) + np.maximum(bands, own).astype(np.uint64) + U(salt & (1 << 64) - 1))
+    return mix(diff[at] + np.repeat(place, prefix)), at, d
+
+
+def difference_blocks(tied: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """BLOCKS of the difference signatures of rows (k, p, open): class, its pivot, and
+    whether they lie in different components."""
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                k, p, open_, n, most, items, pivot = batch.slice(start, 64).columns
+                found = [difference_signatures(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64), c, m) for a, b, c, m in zip(items, pivot, p.to_pylist(), most.to_pylist(), strict=True)]
+                sigs, at, away = zip(*found, strict=True)
+                sizes = n.to_numpy() | np.where(open_.to_numpy(zero_copy_only=False), 0, SETTLED) | np.array(away) << 32
+                held.append((k.to_numpy().view(np.uint64), sizes, np.array([len(s) for s in sigs]), np.concatenate(sigs), np.concatenate(at)))
+                total += len(held[-1][3])
+                if total >= BLOCK_SIGNATURES:
+                    yield from _packed(parts, held)
+                    held, total = [], 0
+        if held:
+            yield from _packed(parts, held)
+        del held
+        trim()
+
+    most = tied.join(sets.select("k", "n"), "k").groupBy("p").agg(F.max("n").alias("most"))
+    own = tied.join(sets.select("k", "n", "items"), "k")
+    pivots = sets.select(F.col("k").alias("p"), F.col("items").alias("pivot")).join(most, "p")
+    return own.join(pivots, "p").select("k", "p", "open", "n", "most", "items", "pivot").mapInArrow(run, BLOCKS)
+
+
 def histograms(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """Elements of each set by equal ranges of the hash, cut at 255: more ranges
     for larger sets, so that few elements share one."""
@@ -302,42 +402,44 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.85 * total / PER_PART))
-    found = stored(signature_blocks(docs, text, parts).groupBy("part").applyInArrow(_buckets, "kind byte, x long, y long"), "candidates")
-    pairs = stored(found.filter("kind = 0").select("x", "y").distinct(), "pairs")
-    members = found.filter("kind = 1").select(F.col("x").alias("bucket"), F.col("y").alias("k"))
-    sets = stored(_sets(docs, rows, pairs.select(F.explode(F.array("x", "y")).alias("k")).union(members.select("k")).distinct(), key, text), "sets")
-    release(spark)
+
+    def search(blocks: DataFrame, fine: bool) -> DataFrame:
+        return stored(blocks.groupBy("part").applyInArrow(lambda table: _buckets(table, fine), "kind byte, x long, y long"), "candidates")
+
+    found = search(signature_blocks(docs, text, parts), False)
+    sets = stored(_sets(docs, rows, found.select(F.explode(F.when(F.col("kind") == 0, F.array("x", "y")).otherwise(F.array("y"))).alias("k")).distinct(), key, text), "sets")
     classes = stored(rows.filter("n > 0").select("k", "class_id").distinct(), "names")
-    pairs = stored(_near(pairs, sets), "pairs")
-    # One partner for each set first; the other pairs matter only across components.
-    first = stored(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")
-    linked = stored(_links(first, sets), "links")
-    labels = components(linked)
-    release(spark)
-    rest = stored(_apart(pairs.join(first, ["x", "y"], "left_anti"), classes, labels), "pairs")
-    if rest.limit(1).count():
-        linked = stored(linked.union(_links(rest, sets)), "links")
-        labels = components(linked)
-    if not members.limit(1).count():
-        return labels
-    # Leaders are taken in the order of k: ranks stay valid from round to round.
-    live = stored(members.distinct().withColumn("rank", F.row_number().over(_by_bucket())), "buckets")
-    done, leaders, skip = found.filter("kind = 0").select("x", "y").distinct(), FIRST_LEADERS, 1
+    linked = labels = None
     while True:
-        named = _labelled(live, classes, labels, "k", "label")
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("most")).filter((F.col("lo") != F.col("hi")) & (F.col("most") > skip)).select("bucket")
-        open_rows = stored(named.join(mixed, "bucket", "left_semi"), "open")
-        if not open_rows.limit(1).count():
-            return labels
-        lead = open_rows.filter(F.col("rank").between(skip + 1, skip + leaders)).select("bucket", F.col("k").alias("lk"), F.col("label").alias("ll"), F.col("rank").alias("lr"))
-        more = open_rows.join(lead, "bucket").filter("rank > lr and label <> ll").select(F.least("k", "lk").alias("x"), F.greatest("k", "lk").alias("y")).distinct()
-        more = stored(_near(more.join(done, ["x", "y"], "left_anti"), sets), "pairs")
         release(spark)
-        if more.limit(1).count():
-            linked = stored(linked.union(_links(more, sets)), "links")
+        tied = stored(_pivots(found.filter("kind = 1").select(F.col("x").alias("bucket"), F.col("y").alias("k"))), "pivots")
+        pairs = found.filter("kind = 0").select("x", "y").union(tied.select(F.least("k", "p"), F.greatest("k", "p"))).distinct()
+        pairs = stored(_near(_apart(pairs, classes, labels) if labels is not None else pairs, sets), "pairs")
+        # One partner for each set first; the other pairs matter only across components.
+        first = stored(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")
+        linked = stored(_links(first, sets) if linked is None else linked.union(_links(first, sets)), "links")
+        release(spark)
+        labels = components(linked)
+        rest = stored(_apart(pairs.join(first, ["x", "y"], "left_anti"), classes, labels), "pairs")
+        if rest.limit(1).count():
+            linked = stored(linked.union(_links(rest, sets)), "links")
+            release(spark)
             labels = components(linked)
-        done, live = done.union(more), open_rows.select("bucket", "k", "rank")
-        skip, leaders = skip + leaders, leaders * 2
+        named = _labelled(_labelled(tied, classes, labels, "k", "lk"), classes, labels, "p", "lp").select("k", "p", (F.col("lk") != F.col("lp")).alias("open"))
+        named = stored(named, "pivots")
+        tied = named.join(named.filter("open").select("p").distinct(), "p", "left_semi")
+        if not tied.limit(1).count():
+            return labels
+        drop_stored(found, pairs, first, rest)
+        release(spark)
+        found = search(difference_blocks(tied, sets, parts), True)
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """Rows (k, p): the classes of each large bucket and its pivot, the class in most of them."""
+    weights = members.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
+    pivots = members.join(weights, "k").groupBy("bucket").agg(F.max(F.struct("weight", "k"))["k"].alias("p"))
+    return members.join(pivots, "bucket").filter("k <> p").select("k", "p").distinct()
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame, k: str, label: str) -> DataFrame:
@@ -352,12 +454,6 @@ def _apart(pairs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
     return both.filter("lx <> ly").select("x", "y").distinct()
 
 
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy("k")
-
-
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
