@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph, plan
-from .bindings import CLOUD, EDGES, TRAJ, cloud, edges, trajectory
+from .bindings import CLOUD, EDGES, TRAJ, cloud, edges, table, trajectory
 from .catalog import query
 from .series_queries import STEPS, W
 
@@ -121,6 +124,22 @@ def component_summary(spark, d):
     return _r(graph.component_summary(links, spark.range(701).select(F.col("id").alias("node"))), 6)
 
 
+_LABELS = "s AS (SELECT i AS a, j AS b FROM edges UNION SELECT j, i FROM edges UNION SELECT p_partkey, p_partkey FROM part UNION SELECT s_suppkey, s_suppkey FROM supplier), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, min(r.c) FROM r JOIN s ON r.node = s.a GROUP BY s.b), c AS (SELECT node, min(c) AS component FROM r GROUP BY node)"
+
+
+@query("edge_components_whole", f"WITH RECURSIVE {EDGES}, {_LABELS} SELECT node, component FROM c WHERE node IN (SELECT i FROM edges UNION SELECT j FROM edges)")
+def edge_components_whole(spark, d):
+    return graph.components(edges(spark, d).select("i", "j"))
+
+
+@query("edge_component_summary_whole", f"WITH RECURSIVE {EDGES}, {_LABELS}, n AS (SELECT component, count(*) AS n FROM c GROUP BY component) SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS coverage FROM n")
+def component_summary_whole(spark, d):
+    links = edges(spark, d).select("i", "j")
+    ends = [table(spark, d, "part").select("p_partkey"), table(spark, d, "supplier").select("s_suppkey"), links.select("i"), links.select("j")]
+    nodes = reduce(DataFrame.union, ends).toDF("node")
+    return _r(graph.component_summary(links, nodes), 6)
+
+
 _POSES = "poses AS (SELECT p_partkey AS node, p_retailprice AS x, p_size::DOUBLE AS y FROM part)"
 
 
