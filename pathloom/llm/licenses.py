@@ -2,9 +2,9 @@
 
 A text is put in canonical form (case, copyright lines, equivalent spellings,
 punctuation, white space) and its SHA-256 is hash-joined to the digests of
-known license texts, which pass through the same expressions. Three units of a
-document are looked up as entire texts: the document, each paragraph and each
-line. DataFrame functions only.
+known license texts, which pass through the same expressions. Four units of a
+document are looked up as entire texts: the document, each paragraph, each line
+and each run of 2 to 8 consecutive paragraphs. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -52,6 +52,46 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Entire texts beyond KNOWN, and titles they stand under.
+TEXTS = (
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""),
+)
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+}
+ENTIRE = TEXTS + tuple(x for x in KNOWN if "\n\n" in x[1])
+#: KNOWN, the entire texts, and those under a title.
+ALL = KNOWN + TEXTS + tuple((n, f"{t}\n\n{x}") for n, x in ENTIRE for t in TITLES.get(n, ()))
+#: Numbers of consecutive paragraphs in which these texts are set.
+RUNS = tuple(range(2, 9))
+
 #: Spellings that count as the same, as (found, replacement).
 SPELLINGS = (
     ("licence", "license"),
@@ -82,16 +122,28 @@ def flat(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """One row per digest: digest, license, chars. Wordings that coincide keep the smallest name."""
+def known_digests(spark: SparkSession, known=ALL) -> DataFrame:
+    """One row per digest: digest, license, chars, first (its first word). Wordings that coincide keep the smallest name."""
     rows = spark.createDataFrame(list(known), "license string, wording string").withColumn("wording", flat(canonical_lines(F.col("wording"))))
-    return rows.groupBy(F.sha2("wording", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("wording")).alias("chars"))
+    return rows.groupBy(F.sha2("wording", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("wording")).alias("chars"), F.min(first_word(F.col("wording"))).alias("first"))
+
+
+def first_word(flat_text: Column) -> Column:
+    return F.substring_index(flat_text, " ", 1)
+
+
+def runs(paragraphs: Column, lens: Column, lengths: list[int], firsts: list[str]) -> Column:
+    """Runs of consecutive paragraphs, joined, that may equal a known text: their first word and their length are those of one."""
+    starts = F.array_compact(F.transform(paragraphs, lambda p, i: F.when(first_word(p).isin(firsts), i + 1)))
+    fits = lambda i, k: (i + k - 1 <= F.size(lens)) & (F.aggregate(F.slice(lens, i, k), k - 1, lambda a, n: a + n)).isin(lengths)
+    of = lambda i: F.transform(F.filter(F.array(*map(F.lit, RUNS)), lambda k: fits(i, k)), lambda k: F.array_join(F.slice(paragraphs, i, k), " "))
+    return F.flatten(F.transform(starts, of))
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known=KNOWN) -> DataFrame:
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known=ALL) -> DataFrame:
     """One row per document: doc_id, text_digest (of the canonical text),
     whole_license (null unless the whole text is a known one), n_hits (distinct
-    known texts that are the document, a paragraph or a line of it), licenses
+    known texts that are the document, a run of paragraphs or a line of it), licenses
     (their names, distinct, in order, comma-joined; empty without any).
 
     Null texts count as empty; the empty text matches nothing. Repeated rows
@@ -99,13 +151,16 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known=KNOW
     ignored; an empty table gives an empty result.
     """
     book = known_digests(docs.sparkSession, known)
-    lengths = [r[0] for r in book.select("chars").distinct().collect()]  # of the constant table
-    book = F.broadcast(book.drop("chars"))
+    shapes = book.select("chars", "first").distinct().collect()  # of the constant table
+    lengths, firsts = sorted({r["chars"] for r in shapes}), sorted({r["first"] for r in shapes})
+    book = F.broadcast(book.drop("chars", "first"))
     body = text_or_empty(text)
     lines = docs.select(F.col(key).alias("doc_id"), F.sha2(body, 256).alias("raw"), canonical_lines(body).alias("lines"))
-    parts = F.concat(F.array(F.col("lines")), F.split("lines", PARAGRAPH_BREAK), F.split("lines", r"\n"))
+    lines = lines.withColumn("paragraphs", F.filter(F.transform(F.split("lines", PARAGRAPH_BREAK), flat), lambda p: p != ""))
+    lines = lines.withColumn("lens", F.transform("paragraphs", F.length))
+    parts = F.concat(F.transform(F.concat(F.array(F.col("lines")), F.split("lines", r"\n")), flat), F.col("paragraphs"), runs(F.col("paragraphs"), F.col("lens"), lengths, firsts))
     # Only a unit as long as a known text can equal it: digests of the others are never looked up.
-    units = F.array_distinct(F.filter(F.transform(parts, flat), lambda u: F.length(u).isin(lengths)))
+    units = F.array_distinct(F.filter(parts, lambda u: F.length(u).isin(lengths)))
     table = stored(lines.select("doc_id", "raw", F.sha2(flat(F.col("lines")), 256).alias("text_digest"), F.transform(units, lambda u: F.sha2(u, 256)).alias("units")), "units")
     found = table.select("doc_id", "raw", F.explode("units").alias("digest")).join(book, "digest")
     hits = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("raw").alias("hit_raw")).agg(F.countDistinct("digest").alias("n_hits"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
