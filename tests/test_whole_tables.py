@@ -46,3 +46,12 @@ def test_components_read_every_edge(spark):
     sizes = [list(want.values()).count(c) for c in set(want.values())] + [1] * len(nodes - set(want))
     one = registry.QUERIES["edge_component_summary_whole"](spark, SF).first()
     assert (one["components"], one["largest"], one["coverage"]) == (len(sizes), max(sizes), pytest.approx(max(sizes) / sum(sizes), abs=1e-6))
+
+
+def test_cloud_queries_read_every_frame(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    frames = {r["label"]: sum(q["label"] == r["label"] for q in rows) for r in rows}
+    for name in ("cloud_frame_histogram_whole", "cloud_frame_bounds_whole"):
+        assert {r["frame"]: r["n"] for r in registry.QUERIES[name](spark, SF).collect()} == frames
+    cells = {(r["frame"], r["pos"]) for r in registry.QUERIES["cloud_unproject_whole"](spark, SF).select("frame", "pos").collect()}
+    assert cells == {(r["vec_id"], k) for r in rows for k, v in enumerate(r["embedding"]) if v > 0.001}
