@@ -11,24 +11,34 @@ from ..sources.shared import drop_stored, stored
 def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """(node, component) for every node of an edge; component is its smallest node.
 
-    Every round points nodes to the smallest of themselves and their
-    neighbours, follows the pointer and contracts the edges; rounds grow with
-    the logarithm of the longest path. Tables pass through the shared folder.
+    Every round draws a new random order of the nodes, points each to the
+    first of itself and its neighbours, follows the pointers twice and
+    contracts the edges. An order that no input can foresee keeps chains
+    short, so a path, too, shrinks by a constant factor and the rounds grow
+    with the logarithm of the nodes. A round stores its pointers and the
+    contracted edges; the pointers are chained at the end. An edge with a
+    null end is ignored.
     """
-    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    labels = stored(nodes.select("node", F.col("node").alias("component")), "labels")
-    live = stored(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    while live.limit(1).count():
+    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).filter("node is not null").distinct()
+    live = stored(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter(f"{a} <> {b}").distinct(), "edges")
+    rounds, left = [], live.count()
+    while left:
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("h"), F.col(c).alias("p"))  # noqa: B023, E731
         both = live.union(live.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        least = stored(least, "least")
-        hop = stored(least.join(least.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.coalesce("q", "p").alias("q")), "hop")
-        new = stored(labels.join(hop.select(F.col("u").alias("component"), "q"), "component", "left").select("node", F.coalesce("q", "component").alias("component")), "labels")
-        ends = live.join(hop.select("u", F.col("q").alias("x")), "u").join(hop.select(F.col("u").alias("v"), F.col("q").alias("y")), "v")
+        first = both.groupBy("u").agg(F.min(rank("v")).alias("r")).select("u", F.least(rank("u"), F.col("r"))["p"].alias("p"))
+        follow = lambda t: t.join(t.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+        hop = stored(follow(follow(first)), "hop")
+        ends = live.join(hop.select("u", F.col("p").alias("x")), "u").join(hop.select(F.col("u").alias("v"), F.col("p").alias("y")), "v")
         rest = stored(ends.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
-        drop_stored(live, labels, least, hop)
-        live, labels = rest, new
-    return labels
+        drop_stored(live)
+        rounds.append(hop)
+        live, left = rest, rest.count()
+    roots = nodes.select("node", F.col("node").alias("root"))
+    for hop in rounds:
+        roots = roots.join(hop.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+    roots = stored(roots, "roots")
+    drop_stored(live, *rounds)
+    return roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def component_summary(edges: DataFrame, nodes: DataFrame, a: str = "i", b: str = "j", node: str = "node") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 
@@ -55,3 +56,10 @@ def test_cloud_queries_read_every_frame(spark):
         assert {r["frame"]: r["n"] for r in registry.QUERIES[name](spark, SF).collect()} == frames
     cells = {(r["frame"], r["pos"]) for r in registry.QUERIES["cloud_unproject_whole"](spark, SF).select("frame", "pos").collect()}
     assert cells == {(r["vec_id"], k) for r in rows for k, v in enumerate(r["embedding"]) if v > 0.001}
+
+
+def test_a_long_path_is_one_component_in_few_rounds(spark):
+    steps = spark.range(3000).selectExpr("id as i", "id + 1 as j")
+    began = time.time()
+    assert {tuple(r) for r in graph.components(steps).groupBy("component").count().collect()} == {(0, 3001)}
+    assert time.time() - began < 60
