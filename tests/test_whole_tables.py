@@ -33,7 +33,8 @@ def test_components_equal_brute_force(spark):
     links = path + star + [(7, 7), (9, 8), (8, 9)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
     rng.shuffle(links)
     df, want = spark.createDataFrame(links, "i long, j long"), plain_components(links)
-    assert dict(graph.components(df).collect()) == want
+    for last in (0, 50, graph.LAST_EDGES):
+        assert dict(graph.components(df, last_edges=last).collect()) == want
     sizes = [list(want.values()).count(c) for c in set(want.values())] + [1]
     one = graph.component_summary(df, spark.createDataFrame([(x,) for x in [*want, 5000]], "node long")).first()
     assert (one["components"], one["largest"], one["coverage"]) == (len(sizes), max(sizes), pytest.approx(max(sizes) / sum(sizes)))
@@ -61,5 +62,6 @@ def test_cloud_queries_read_every_frame(spark):
 def test_a_long_path_is_one_component_in_few_rounds(spark):
     steps = spark.range(3000).selectExpr("id as i", "id + 1 as j")
     began = time.time()
-    assert {tuple(r) for r in graph.components(steps).groupBy("component").count().collect()} == {(0, 3001)}
-    assert time.time() - began < 60
+    for last in (100, graph.LAST_EDGES):
+        assert {tuple(r) for r in graph.components(steps, last_edges=last).groupBy("component").count().collect()} == {(0, 3001)}
+    assert time.time() - began < 120
