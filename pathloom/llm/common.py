@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_stored, shared_dir, stored  # noqa: F401  (the operators take them from here)
+
 #: White space of the contracts: space and 0x09-0x0D, as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,48 +32,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/pathloom-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a reread, not a recomputation;
-    the table is removed when the application ends.
-    """
-    spark = session_of(df)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._pathloom_path = path
-    return back
-
-
-def drop_stored(*tables: DataFrame) -> None:
-    """Delete tables made by stored() that no later plan reads."""
-    for df in tables:
-        spark = session_of(df)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(df._pathloom_path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at the
-    driver's next garbage collection: a large shuffle before this one is then off the disks."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def trim() -> None:
     """Give a Python worker's freed memory back, as idle workers stay beside the JVM."""
     import ctypes
@@ -126,6 +84,26 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             start = end
 
 
+#: Bits of a key filter (2 MB when all its parts are there) and of one of its parts.
+FILTER_BITS, PART_BITS = 1 << 24, 1 << 15
+
+
+def flagged(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: false where `key` is surely not in the one column of `keys`.
+
+    A bitmap over hashed keys, of FILTER_BITS at most at any size, is broadcast.
+    It saves the shuffle of rows that match nothing; when it is full it lets all
+    rows pass, and an exact join must follow in any case.
+    """
+    place, part, bits, off = fresh(df, "bit_place", "bit_part", "bit_map", "bit_off")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    table = keys.select(at(keys.columns[0]).alias(place)).groupBy(F.expr(f"{place} div {PART_BITS}").alias(part)).agg(F.bitmap_construct_agg(F.expr(f"{place} % {PART_BITS}")).alias(bits))
+    rows = df.withColumn(place, at(key)).withColumn(off, F.expr(f"{place} % {PART_BITS}"))
+    rows = rows.withColumn(place, F.expr(f"{place} div {PART_BITS}")).join(F.broadcast(table), F.col(place) == F.col(part), "left")
+    byte = f"cast(conv(hex(substring({bits}, cast({off} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return rows.withColumn(name, F.expr(f"coalesce(shiftright({byte}, cast({off} % 8 as int)) & 1 = 1, false)")).drop(place, part, bits, off)
+
+
 #: A group above 1/HOT of all rows counts as hot; there are fewer than HOT of them.
 HOT = 200
 

@@ -3,34 +3,46 @@
 Sets are grouped in size bands; a set emits signatures for its own band and,
 if a larger partner may lie there, for the next. In a band with largest size r
 two similar sets differ in at most k = 2r/9 elements (similarity 0.8), so the
-domain of shingle hashes is partitioned into about (k+1)/2 groups of three
-cells: some group differs in one element at most, and two of its three cells
-agree. Every subset of two cells is one signature, skipped if it is empty. A
-set whose groups hold too many empty cells for that argument also emits the
-prefix-filter signatures of its band, where it meets the other such sets; so no
+domain of shingle hashes is partitioned into more than (k+1)/2 groups of three
+cells: in some groups the sets differ in one element at most, and two of the
+three cells agree. Every subset of two cells is one signature, skipped if it is
+empty. A set whose groups hold too many empty cells for that argument also emits
+the prefix-filter signatures of its band, where it meets the other such sets.
+
+A bucket's classes are compared with one of them, its pivot, first; classes that
+then lie in one component need no look at each other. Of a small bucket that still
+spans several components, all pairs across them are compared. A larger one is hot.
+A set's slack is the number of its groups that must agree with any similar set: a
+set with fewer hot signatures than its slack meets every partner in a small bucket,
+so only the others (mostly members of large groups of near copies) are looked at in
+hot buckets. There, two sets' distance is that of their differences from the pivot,
+so sets that link with the pivot need no look at each other, and any other link
+must share an element of short prefixes of the differences. Those elements are
+signatures in turn, with new pivots; every level drops the pivot, so it ends and no
 link is lost.
 
+Candidate pairs are first held against small histograms of the sets; the sets
+themselves are fetched, by a scan, for the pairs that remain.
+
 Equal sets form one class and take part once. Signatures travel packed, in
-blocks of one task and one hash range. A bucket of a few classes gives all its
-pairs. A larger one is compared with one pivot: two sets' distance is that of
-their differences from the pivot, so sets that link with the pivot need no look
-at each other, and any other link must share an element of short prefixes of the
-differences. Those elements are signatures in turn, with a new pivot for buckets
-that are large again; every level drops the pivot, so it ends and no link is lost.
+blocks of one task and one hash range; members of a bucket that its task already
+knows to be hot travel apart, spread by task. The contract asks for connected
+components, so pairs within a component that is known are not verified: the
+operator returns components, not every link.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stored, fresh, join_groups, release, ship, sliced, stored, text_or_empty, trim
-from .components import components
+from ..operators.graph import components
+from .common import documents, drop_stored, flagged, fresh, join_groups, ship, sliced, stored, text_or_empty, trim
 from .shingles import U, mix, set_keys, shingle_sets
 
 SLICE_BYTES = 1 << 20
@@ -38,7 +50,10 @@ BAND_RATIO = 1.5
 SLACK = 0.06
 PER_PART = 800_000
 BLOCK_SIGNATURES = 800_000
-SMALL_BUCKET = 8
+#: Classes of a bucket that gives all its pairs.
+SMALL_BUCKET = 16
+#: Members of a bucket in one block; those beyond travel apart.
+BLOCK_MEMBERS = 256
 #: The same for signatures of differences, which are far more selective.
 SMALL_DIFFERENCE = 128
 BAND_STEP = 1.35
@@ -73,8 +88,8 @@ def tags(n: int) -> list[int]:
     return [own] if n * 5 < int(low[own + 1]) * 4 else [own, own + 1]
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets, and the number of each set's."""
+def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets, the number of each set's, and each set's slack (255 at most)."""
     low, high = band_limits()
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
     bounds, owner, shape, plain, plain_owner = [], [], [], [], []
@@ -84,8 +99,9 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             bounds.append(np.concatenate([[a], a + np.searchsorted(h[a:b], inner), [b]]))
             owner.append(row)
             shape.append((band, groups))
+    slack = np.full(len(offsets) - 1, 255)
     if not bounds:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), slack
     cells = np.array([3 * g for _, g in shape])
     at = np.concatenate(bounds)
     last = np.cumsum(cells + 1) - 1
@@ -109,13 +125,15 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for (band, _), row, g in zip(shape, owner, good.tolist(), strict=True):
         n = int(offsets[row + 1] - offsets[row])
         k = (n + min(int(high[band]), n * 5 // 4)) // 9
+        if k:
+            slack[row] = max(0, min(int(slack[row]), g - k // 2))
         if k and 2 * g < k + 1:
             prefix = n - -(-4 * n // 5) + 1
             plain.append(mix(h[offsets[row] : offsets[row] + prefix] + U((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
             plain_owner.append(np.full(prefix, row))
     who = np.concatenate([*who, *plain_owner])
     order = np.argsort(who, kind="stable")
-    return np.concatenate([*out, *plain])[order], np.bincount(who, minlength=len(offsets) - 1)
+    return np.concatenate([*out, *plain])[order], np.bincount(who, minlength=len(offsets) - 1), slack
 
 
 def class_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -137,50 +155,68 @@ def class_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, class_id string, k long, n long")
 
 
-BLOCKS = "part int, keys binary, sizes binary, counts binary, sigs binary"
+BLOCKS = "part int, salt int, keys binary, sizes binary, slack binary, counts binary, sigs binary"
+
+#: Sizes travel as steps of this ratio in the first search; STEPS of them exceed a ratio of 5 / 4.
+SIZE_RATIO, STEPS = 1.06, 5
+
 
+def size_steps(sizes: np.ndarray) -> np.ndarray:
+    """Sizes as one byte; from about 2.8 million on all have the same."""
+    return np.minimum(np.log(np.maximum(sizes, 1)) / math.log(SIZE_RATIO), 255).astype(np.uint8)
 
-def _batch_of(columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "keys", "sizes", "counts", "sigs"])
 
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    part, salt, *binary = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(salt, pa.int32()), *[pa.array(c, pa.binary()) for c in binary]], names=["part", "salt", "keys", "sizes", "slack", "counts", "sigs"])
 
-def _packed(parts: int, held: list[tuple]):
-    """Batches of BLOCKS of (keys, sizes, counts, signatures[, positions]) arrays, by hash range.
 
-    With positions, a signature's upper half is its position, and a size's the distance from the pivot.
+def _packed(parts: int, held: list[tuple], task: int | None = None):
+    """Batches of BLOCKS of (keys, sizes, slack, counts, signatures) arrays, by hash range.
+
+    With a task number, members beyond BLOCK_MEMBERS + 1 of a signature go to
+    blocks of their own, salted with the task: the first ones make it hot.
     """
-    keys, sizes, counts, sigs, *place = (np.concatenate(c) for c in zip(*held, strict=True))
-    kind = np.dtype(np.uint64 if place else np.uint32)
-    part = ((sigs >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    keys, sizes, slack, counts, sigs = (np.concatenate(c) for c in zip(*held, strict=True))
     row = np.repeat(np.arange(len(keys)), counts)
+    salt = np.zeros(len(sigs), np.int64)
+    if task is not None:
+        order = np.argsort(sigs, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], sigs[order][1:] != sigs[order][:-1]])) if len(sigs) else np.zeros(0, np.int64)
+        rank = np.arange(len(sigs)) - np.repeat(new, np.diff(np.append(new, len(sigs))))
+        salt[order[rank > BLOCK_MEMBERS]] = task + 1
+    part = ((sigs >> U(32)) * U(parts) >> U(32)).astype(np.int64) * 2 + (salt > 0)
     order = np.argsort(part, kind="stable")
-    part, row, low = part[order], row[order], sigs[order].astype(np.uint32).astype(kind)
-    if place:
-        low |= place[0][order].astype(np.uint64) << U(32)
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    columns: list[list] = [[] for _ in range(5)]
-    for p in range(parts):
+    part, row, low = part[order], row[order], sigs[order].astype(np.uint32)
+    cuts = np.searchsorted(part, np.arange(2 * parts + 1))
+    rows = []
+    for p in range(2 * parts):
         a, b = cuts[p], cuts[p + 1]
         if a == b:
             continue
         head = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
-        rows = row[a:b][head]
-        for column, v in zip(columns, (p, keys[rows].tobytes(), sizes[rows].astype(kind).tobytes(), np.diff(np.append(head, b - a)).astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
-            column.append(v)
-        if len(columns[0]) == 512:
-            yield _batch_of(columns)
-            columns = [[] for _ in range(5)]
-    if columns[0]:
-        yield _batch_of(columns)
+        own = row[a:b][head]
+        count = np.diff(np.append(head, b - a))
+        while count.max() > 255:  # one byte counts the signatures of a set in a range
+            more = np.maximum(count - 255, 0)
+            count, own = np.stack([np.minimum(count, 255), more], axis=1).reshape(-1), np.repeat(own, 2)
+            count, own = count[count > 0], own[count > 0]
+        rows.append((p // 2, (task + 1) if p % 2 else 0, keys[own].tobytes(), sizes[own].tobytes(), slack[own].tobytes(), count.astype(np.uint8).tobytes(), low[a:b].tobytes()))
+        if len(rows) == 512:
+            yield _batch_of(rows)
+            rows = []
+    if rows:
+        yield _batch_of(rows)
 
 
 def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """Packed signatures: part int, and per block the sets' keys, sizes, numbers
-    of signatures and 32-bit signatures. A task packs a set it has seen once."""
+    """Packed signatures (BLOCKS); a task packs a set it has seen once."""
 
     def run(batches):
+        from pyspark import TaskContext
+
         seen: set[int] = set()
-        held, total = [], 0
+        held, total, task = [], 0, TaskContext.get().partitionId()
         for batch in sliced(batches, "text", SLICE_BYTES):
             h, offsets = shingle_sets(batch.column(0))
             keys, _ = set_keys(h, offsets)
@@ -194,14 +230,14 @@ def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     new[i] = True
             h = h[np.repeat(new, sizes)]
             keys, sizes = keys[new], sizes[new]
-            sigs, counts = signatures(h, np.concatenate([[0], np.cumsum(sizes)]))
-            held.append((keys, sizes, counts, sigs))
+            sigs, counts, slack = signatures(h, np.concatenate([[0], np.cumsum(sizes)]))
+            held.append((keys, size_steps(sizes), slack.astype(np.uint8), counts, sigs))
             total += len(sigs)
             if total >= BLOCK_SIGNATURES:
-                yield from _packed(parts, held)
+                yield from _packed(parts, held, task)
                 held, total = [], 0
         if held:
-            yield from _packed(parts, held)
+            yield from _packed(parts, held, task)
         del held, seen
         trim()
 
@@ -211,65 +247,96 @@ def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
 #: A size's top bit marks a class of the pivot's component: two of them need no look.
 SETTLED = 1 << 31
 
+#: kind 1, class k of the small bucket; 2, of the large one; 3, class k has this number of hot signatures more.
+FOUND = "kind byte, bucket long, k long, slack short"
+FINE = "kind byte, bucket long, k long, at long, away long"
+
+
+def _joined(table: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
+
+
+def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal, sorted signatures."""
+    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(sig)))
 
-def _buckets(table: pa.Table, fine: bool = False) -> pa.Table:
-    """Candidates of one hash range: kind 0, a pair x < y; kind 1, member y of the large bucket x.
 
-    fine: the signatures are of differences, with positions.
+def _members(head: np.ndarray, run: np.ndarray) -> np.ndarray:
+    return np.arange(run.sum()) + np.repeat(head - (np.cumsum(run) - run), run)
+
+
+def _found(kind: np.ndarray, bucket: np.ndarray, key: np.ndarray, slack: np.ndarray, hot_key: np.ndarray, hot_slack: np.ndarray) -> pa.Table:
+    """Rows of FOUND; the hot keys stand for one hot signature each."""
+    who, at, many = np.unique(hot_key, return_index=True, return_counts=True)
+    return pa.table({
+        "kind": pa.array(np.concatenate([kind, np.full(len(who), 3)]).astype(np.int8)), "bucket": np.concatenate([bucket, many]),
+        "k": np.concatenate([key, who]), "slack": np.concatenate([slack, hot_slack[at]]).astype(np.int16),
+    })
+
+
+def _coarse(table: pa.Table) -> pa.Table:
+    """FOUND of one hash range of the sets' signatures, or of one task's members of hot ones.
+
+    Buckets that can't have members elsewhere are named by their members, so that
+    equal ones are one.
     """
-    part = table.column("part")[0].as_py()
-    join = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
-    kind = np.uint64 if fine else np.uint32
-    counts = join("counts", np.uint32)
-    key, size, sig = np.repeat(join("keys", np.uint64), counts).view(np.int64), np.repeat(join("sizes", kind), counts), join("sigs", kind)
-    at, away = (sig >> U(32)).astype(np.int64) if fine else None, (size >> U(32)).astype(np.int64) if fine else None
-    sig, size = sig.astype(np.uint32), size.astype(np.uint32)
-    order = np.lexsort((*([at, away] if fine else []), key, size >= SETTLED, sig))
-    sig, key, size = sig[order], key[order], size[order]
+    part, salt = table.column("part")[0].as_py(), table.column("salt")[0].as_py()
+    counts = _joined(table, "counts", np.uint8)
+    sig = _joined(table, "sigs", np.uint32)
+    key, step, slack = (np.repeat(_joined(table, name, dtype), counts) for name, dtype in (("keys", np.int64), ("sizes", np.uint8), ("slack", np.uint8)))
+    if salt:
+        out = _found(np.full(len(sig), 2), sig.astype(np.int64) << 31 ^ part, key, slack, key, slack)
+        trim()
+        return out
+    order = np.lexsort((key, sig))
+    sig, key, step, slack = sig[order], key[order], step[order], slack[order]
     new = np.ones(len(sig), dtype=bool)
     new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    if fine:
-        at, away = at[order], away[order]
-        new[1:] |= away[1:] != away[:-1]
-        at, away = at[new], away[new]
-    sig, key, size = sig[new], key[new], size[new].astype(np.int64)
-    open_ = size < SETTLED
-    size &= SETTLED - 1
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    run = np.diff(np.append(head, len(sig)))
-    # Open classes come first in a bucket.
+    sig, key, step, slack = sig[new], key[new], step[new].astype(np.int16), slack[new]
+    head, run = _runs(sig)
+    # A bucket counts if two of its members may be similar by size.
+    spread = np.maximum.reduceat(step, head) - np.minimum.reduceat(step, head) if len(head) else run
+    near = run > 1
+    for b in np.flatnonzero(near & (spread > STEPS) & (run <= SMALL_BUCKET)):
+        near[b] = (np.diff(np.sort(step[head[b] : head[b] + run[b]])) <= STEPS).any()
+    head, run = head[near], run[near]
+    hot = _members(head[run > SMALL_BUCKET], run[run > SMALL_BUCKET])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key.view(np.uint64)))])
+    name = mix(total[head + run] - total[head]).view(np.int64)
+    shared = run > BLOCK_MEMBERS
+    name[shared] = sig[head[shared]].astype(np.int64) << 31 ^ part
+    name, once = np.unique(name, return_index=True)
+    head, run = head[once], run[once]
+    member = _members(head, run)
+    out = _found(np.repeat(np.where(run > SMALL_BUCKET, 2, 1), run), np.repeat(name, run), key[member], slack[member], key[hot], slack[hot])
+    del order, key, step, slack, sig, total, member
+    trim()
+    return out
+
+
+def _fine(table: pa.Table) -> pa.Table:
+    """FINE of one hash range of the signatures of differences.
+
+    A signature's upper half is its position, and a size's the distance from the pivot.
+    """
+    part = table.column("part")[0].as_py()
+    counts = _joined(table, "counts", np.uint32)
+    key, size, sig = np.repeat(_joined(table, "keys", np.int64), counts), np.repeat(_joined(table, "sizes", np.uint64), counts), _joined(table, "sigs", np.uint64)
+    at, away = (sig >> U(32)).astype(np.int64), (size >> U(32)).astype(np.int64)
+    sig, open_ = sig.astype(np.uint32), size.astype(np.uint32) < SETTLED
+    order = np.lexsort((at, away, key, sig))
+    sig, key, open_, at, away = sig[order], key[order], open_[order], at[order], away[order]
+    new = np.ones(len(sig), dtype=bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (away[1:] != away[:-1])
+    sig, key, open_, at, away = sig[new], key[new], open_[new], at[new], away[new]
+    head, run = _runs(sig)
     first = np.add.reduceat(open_.astype(np.int64), head) if len(head) else run
     many = (run > 1) & (first > 0)
-    head, run, first = head[many], run[many], first[many]
-    if not fine:  # buckets with the same members need one look
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key.view(np.uint64)))])
-        _, once = np.unique(total[head + run] - total[head], return_index=True)
-        head, run, first = head[once], run[once], first[once]
-        del total
-
-    def possible(x, y):
-        ok = (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])) & (key[x] != key[y])
-        if fine:  # the first shared element lies in both prefixes of this very pair
-            share = (away[x] + away[y] - (size[x] + size[y]) // 9 + 1) // 2
-            ok &= (at[x] <= away[x] - share) & (at[y] <= away[y] - share)
-        return np.stack([np.minimum(key[x], key[y])[ok], np.maximum(key[x], key[y])[ok]], axis=1)
-
-    small = SMALL_DIFFERENCE if fine else SMALL_BUCKET
-    few = first <= small
-    pairs = [np.zeros((0, 2), np.int64)]
-    for k in range(min(small, int(first.max(initial=0)))):  # the k-th open class with all after it
-        some = few & (first > k) & (run > k + 1)
-        n = run[some] - k - 1
-        lead = np.repeat(head[some] + k, n)
-        pairs.append(possible(lead, lead + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    head, run = head[~few], run[~few]
-    member = np.arange(run.sum()) + np.repeat(head - (np.cumsum(run) - run), run)
-    bucket = (np.repeat(sig[head].astype(np.int64), run) << 31) ^ part
-    out = pa.table({
-        "kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(pairs), len(member)])),
-        "x": np.concatenate([pairs[:, 0], bucket]), "y": np.concatenate([pairs[:, 1], key[member]]),
-    })
+    head, run = head[many], run[many]
+    member = _members(head, run)
+    kind = np.repeat(np.where(run > SMALL_DIFFERENCE, 2, 1), run).astype(np.int8)
+    out = pa.table({"kind": pa.array(kind), "bucket": np.repeat(sig[head].astype(np.int64), run) << 31 ^ part, "k": key[member], "at": at[member], "away": away[member]})
     del order, key, size, sig, at, away, member
     trim()
     return out
@@ -311,6 +378,22 @@ def difference_blocks(tied: DataFrame, sets: DataFrame, parts: int) -> DataFrame
     """BLOCKS of the difference signatures of rows (k, p, open): class, its pivot, and
     whether they lie in different components."""
 
+    def packed(held):
+        keys, sizes, sigs, at = (np.concatenate(c) for c in list(zip(*held, strict=True))[:4])
+        counts = np.concatenate([h[4] for h in held])
+        part = ((sigs >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        row, part = np.repeat(np.arange(len(keys)), counts)[order], part[order]
+        whole = at[order].astype(np.uint64) << U(32) | sigs[order].astype(np.uint32)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            head = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
+            own = row[a:b][head]
+            rows.append((int(part[a]), 0, keys[own].tobytes(), sizes[own].tobytes(), b"", np.diff(np.append(head, b - a)).astype(np.uint32).tobytes(), whole[a:b].tobytes()))
+        for start in range(0, len(rows), 512):
+            yield _batch_of(rows[start : start + 512])
+
     def run(batches):
         held, total = [], 0
         for batch in batches:
@@ -319,19 +402,19 @@ def difference_blocks(tied: DataFrame, sets: DataFrame, parts: int) -> DataFrame
                 found = [difference_signatures(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64), c, m) for a, b, c, m in zip(items, pivot, p.to_pylist(), most.to_pylist(), strict=True)]
                 sigs, at, away = zip(*found, strict=True)
                 sizes = n.to_numpy() | np.where(open_.to_numpy(zero_copy_only=False), 0, SETTLED) | np.array(away) << 32
-                held.append((k.to_numpy().view(np.uint64), sizes, np.array([len(s) for s in sigs]), np.concatenate(sigs), np.concatenate(at)))
-                total += len(held[-1][3])
+                held.append((k.to_numpy().view(np.uint64), sizes, np.concatenate(sigs), np.concatenate(at), np.array([len(s) for s in sigs])))
+                total += len(held[-1][2])
                 if total >= BLOCK_SIGNATURES:
-                    yield from _packed(parts, held)
+                    yield from packed(held)
                     held, total = [], 0
-        if held:
-            yield from _packed(parts, held)
+        if total:
+            yield from packed(held)
         del held
         trim()
 
     most = tied.join(sets.select("k", "n"), "k").groupBy("p").agg(F.max("n").alias("most"))
     own = tied.join(sets.select("k", "n", "items"), "k")
-    pivots = sets.select(F.col("k").alias("p"), F.col("items").alias("pivot")).join(most, "p")
+    pivots = sets.join(most.select(F.col("p").alias("k"), "most"), "k").select(F.col("k").alias("p"), F.col("items").alias("pivot"), "most")
     return own.join(pivots, "p").select("k", "p", "open", "n", "most", "items", "pivot").mapInArrow(run, BLOCKS)
 
 
@@ -351,22 +434,22 @@ def histograms(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
-def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (k, class_id, n, hist, items array<long>) for the classes whose k is in keys."""
-    need = rows.join(keys, "k", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
-    few = need.count() * 16 <= 16 << 20
+def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
+    """Rows (k, class_id, n, hist) for the classes whose k is in keys, or with `whole` (k, class_id, n, items array<long>)."""
+    need = stored(rows.join(keys, "k", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct(), "needed")
     mine = docs.select(F.col(key).cast("long").alias("rep"), text_or_empty(text).alias("text"))
-    chosen = mine.join(F.broadcast(need) if few else need, mine["rep"].eqNullSafe(need["rep"]), "left_semi").select("text")
+    mine = flagged(mine, F.coalesce("rep", F.lit(0)), need.select(F.coalesce("rep", F.lit(0)).alias("rep")), "maybe").filter("maybe").drop("maybe")
+    chosen = mine.join(need, mine["rep"].eqNullSafe(need["rep"]), "left_semi").select("text")
 
     def run(batches):
         for batch in sliced(batches, "text", SLICE_BYTES):
             h, offsets = shingle_sets(batch.column(0))
             a, b = set_keys(h, offsets)
             raw = np.stack([a, b], axis=1).astype(">u8").tobytes().hex()
-            items = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([raw[32 * i : 32 * i + 32] for i in range(len(a))]), pa.array(np.diff(offsets)), pa.array(histograms(h, offsets), pa.binary()), items], names=["k", "class_id", "n", "hist", "items"])
+            last = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64))) if whole else pa.array(histograms(h, offsets), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([raw[32 * i : 32 * i + 32] for i in range(len(a))]), pa.array(np.diff(offsets)), last], names=["k", "class_id", "n", "items" if whole else "hist"])
 
-    return chosen.mapInArrow(run, "k long, class_id string, n long, hist binary, items array<long>")
+    return chosen.mapInArrow(run, f"k long, class_id string, n long, {'items array<long>' if whole else 'hist binary'}").join(keys, "k", "left_semi").dropDuplicates(["class_id"])
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -390,68 +473,116 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) whose sets are similar, as (a, b, ka, kb): exact count of the intersection."""
+    """Pairs (x, y) whose sets are similar, as the classes (a, b): exact count of the intersection."""
     left = sets.select(F.col("k").alias("x"), F.col("class_id").alias("a"), F.col("items").alias("xs"))
     right = sets.select(F.col("k").alias("y"), F.col("class_id").alias("b"), F.col("items").alias("ys"))
     met = F.size(F.array_intersect("xs", "ys"))
-    return pairs.join(right, "y").join(left, "x").filter(100 * met >= 80 * (F.size("xs") + F.size("ys") - met)).select("a", "b", F.col("x").alias("ka"), F.col("y").alias("kb"))
+    return pairs.join(right, "y").join(left, "x").filter(100 * met >= 80 * (F.size("xs") + F.size("ys") - met)).select("a", "b")
+
+
+class _Components:
+    """The components known so far, from verified links."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, key: str, text: str, keys: DataFrame):
+        self.source = (docs, rows, key, text)
+        self.names = stored(rows.filter("n > 0").select("k", "class_id").join(keys, "k", "left_semi").distinct(), "names")
+        self.hists = stored(self.fetched(keys, False), "hists")
+        self.links: list[DataFrame] = []
+        self.labels = None
+
+    def fetched(self, keys: DataFrame, whole: bool) -> DataFrame:
+        docs, rows, key, text = self.source
+        return _sets(docs, rows, keys, key, text, whole)
+
+    def labelled(self, rows: DataFrame, k: str, label: str) -> DataFrame:
+        """rows with the component of class k, its own name where it has no link."""
+        names = self.names.join(self.labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(F.col("k").alias(k), F.coalesce("component", "class_id").alias(label))
+        return rows.join(names, k)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets lie in different components."""
+        return self.labelled(self.labelled(pairs, "x", "lx"), "y", "ly").filter("lx <> ly").select("x", "y").distinct()
+
+    def add(self, links: DataFrame) -> None:
+        links = stored(links, "links")
+        if self.labels is None or links.limit(1).count():
+            self.links.append(links)
+            before, self.labels = self.labels, stored(components(reduce(DataFrame.union, self.links), "a", "b"), "labels")
+            if before is not None:
+                drop_stored(before)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Take up the links among pairs (x, y) that matter: first one partner of each
+        set, then what still lies across components."""
+        near = stored(_near(self.apart(pairs) if self.labels is not None else pairs, self.hists), "near")
+        if self.labels is not None and not near.limit(1).count():
+            return
+        sets = stored(self.fetched(near.select(F.explode(F.array("x", "y")).alias("k")).distinct(), True), "sets")
+        first = stored(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+        self.add(_links(first, sets))
+        rest = stored(self.apart(near.join(first, ["x", "y"], "left_anti")), "rest")
+        if rest.limit(1).count():
+            self.add(_links(rest, sets))
+        drop_stored(near, sets, first, rest)
+
+
+def _uncovered(found: DataFrame) -> DataFrame:
+    """Members of all small buckets, and of the large ones those classes that may meet a partner nowhere else."""
+    open_ = found.filter("kind = 3").groupBy("k").agg(F.sum("bucket").alias("hot"), F.min("slack").alias("slack")).filter("hot >= slack").select("k")
+    columns = ["bucket", "k", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("away")]
+    small = found.filter("kind = 1").select(*columns, F.lit(False).alias("large"))
+    return small.unionByName(found.filter("kind = 2").join(stored(open_, "open"), "k", "left_semi").select(*columns, F.lit(True).alias("large"))).distinct()
 
 
 def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (node, label) of the classes that are linked with another class."""
+    """Rows (node, component) of the classes that are linked with another class."""
     spark = docs.sparkSession
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.85 * total / PER_PART))
-
-    def search(blocks: DataFrame, fine: bool) -> DataFrame:
-        return stored(blocks.groupBy("part").applyInArrow(lambda table: _buckets(table, fine), "kind byte, x long, y long"), "candidates")
-
-    found = search(signature_blocks(docs, text, parts), False)
-    sets = stored(_sets(docs, rows, found.select(F.explode(F.when(F.col("kind") == 0, F.array("x", "y")).otherwise(F.array("y"))).alias("k")).distinct(), key, text), "sets")
-    classes = stored(rows.filter("n > 0").select("k", "class_id").distinct(), "names")
-    linked = labels = None
+    found = stored(signature_blocks(docs, text, parts).groupBy("part", "salt").applyInArrow(_coarse, FOUND), "candidates")
+    members = stored(_uncovered(found), "members")
+    drop_stored(found)
+    known = _Components(docs, rows, key, text, members.select("k").distinct())
     while True:
-        release(spark)
-        tied = stored(_pivots(found.filter("kind = 1").select(F.col("x").alias("bucket"), F.col("y").alias("k"))), "pivots")
-        pairs = found.filter("kind = 0").select("x", "y").union(tied.select(F.least("k", "p"), F.greatest("k", "p"))).distinct()
-        pairs = stored(_near(_apart(pairs, classes, labels) if labels is not None else pairs, sets), "pairs")
-        # One partner for each set first; the other pairs matter only across components.
-        first = stored(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "pairs")
-        linked = stored(_links(first, sets) if linked is None else linked.union(_links(first, sets)), "links")
-        release(spark)
-        labels = components(linked)
-        rest = stored(_apart(pairs.join(first, ["x", "y"], "left_anti"), classes, labels), "pairs")
-        if rest.limit(1).count():
-            linked = stored(linked.union(_links(rest, sets)), "links")
-            release(spark)
-            labels = components(linked)
-        named = _labelled(_labelled(tied, classes, labels, "k", "lk"), classes, labels, "p", "lp").select("k", "p", (F.col("lk") != F.col("lp")).alias("open"))
-        named = stored(named, "pivots")
-        tied = named.join(named.filter("open").select("p").distinct(), "p", "left_semi")
-        if not tied.limit(1).count():
-            return labels
-        drop_stored(found, pairs, first, rest)
-        release(spark)
-        found = search(difference_blocks(tied, sets, parts), True)
+        pivots = stored(_pivots(members), "pivots")
+        tied = stored(members.join(pivots, "bucket").filter("k <> p").groupBy("k", "p").agg(F.max("large").alias("large")), "tied")
+        known.verify(tied.select(F.least("k", "p").alias("x"), F.greatest("k", "p").alias("y")).distinct())
+        known.verify(_across(known, members.filter(~F.col("large")), pivots))
+        named = known.labelled(known.labelled(tied.filter("large"), "k", "lk"), "p", "lp").select("k", "p", (F.col("lk") != F.col("lp")).alias("open"))
+        named = stored(named, "named")
+        drop_stored(members, pivots, tied)
+        again = stored(named.join(named.filter("open").select("p").distinct(), "p", "left_semi"), "again")
+        drop_stored(named)
+        if not again.limit(1).count():
+            drop_stored(known.names, known.hists)
+            return known.labels
+        sets = stored(known.fetched(again.select(F.explode(F.array("k", "p")).alias("k")).distinct(), True), "sets")
+        found = stored(difference_blocks(again, sets, parts).groupBy("part").applyInArrow(_fine, FINE), "candidates")
+        drop_stored(again, sets)
+        members = found.select("bucket", "k", "at", "away", (F.col("kind") == 2).alias("large"))
+        members._stored_path = found._stored_path
+
+
+def _across(known: _Components, small: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (x, y) of small buckets' members in different components, if sizes and positions allow a link.
+
+    Pairs with the pivot are known already. By its position, the first shared
+    element must lie in both prefixes of this very pair.
+    """
+    rows = known.labelled(small, "k", "label").join(known.hists.select("k", "n"), "k")
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+    rows = stored(rows.join(open_, "bucket", "left_semi").join(pivots, "bucket").filter("k <> p").drop("p").distinct(), "across")
+    other = rows.select("bucket", *[F.col(c).alias(c + "2") for c in ("k", "at", "away", "label", "n")])
+    share = F.expr("(away + away2 - (n + n2) div 9 + 1) div 2")
+    fits = F.coalesce((F.col("at") <= F.col("away") - share) & (F.col("at2") <= F.col("away2") - share), F.lit(True))
+    both = rows.join(other, "bucket").filter((F.col("k") < F.col("k2")) & (F.col("label") != F.col("label2")) & F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)") & fits)
+    return both.select(F.col("k").alias("x"), F.col("k2").alias("y")).distinct()
 
 
 def _pivots(members: DataFrame) -> DataFrame:
-    """Rows (k, p): the classes of each large bucket and its pivot, the class in most of them."""
+    """Rows (bucket, p): each bucket's pivot, the class in most buckets."""
     weights = members.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
-    pivots = members.join(weights, "k").groupBy("bucket").agg(F.max(F.struct("weight", "k"))["k"].alias("p"))
-    return members.join(pivots, "bucket").filter("k <> p").select("k", "p").distinct()
-
-
-def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame, k: str, label: str) -> DataFrame:
-    """rows with the component of class k, its own name where it has no link."""
-    names = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(F.col("k").alias(k), F.coalesce("label", "class_id").alias(label))
-    return rows.join(names, k)
-
-
-def _apart(pairs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose sets lie in different components."""
-    both = _labelled(_labelled(pairs, classes, labels, "x", "lx"), classes, labels, "y", "ly")
-    return both.filter("lx <> ly").select("x", "y").distinct()
+    return members.join(weights, "k").groupBy("bucket").agg(F.max(F.struct("weight", "k"))["k"].alias("p"))
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -468,7 +599,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     labels = links(docs, rows, key, text)
     total = rows.count()
     classes = rows.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+    named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).drop("component")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     groups = stored(named.join(least, "label").select("class_id", "component", "copies"), "groups")
     out = join_groups(rows.filter("n > 0"), groups, "class_id", "copies", total)
