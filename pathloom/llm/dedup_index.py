@@ -4,10 +4,11 @@ Each task keeps a memtable of digests; a full memtable is flushed as sorted
 runs, one per digest range (shard), each with a Bloom filter. Compaction
 merges at most FAN_IN runs of a shard at a time, level by level, until one run
 per shard is left; every merge keeps the smallest identifier. Digests that no
-other run's filter knows bypass the merge. Documents whose digest is shared
-(hits) are compared byte for byte: they are regrouped by digest and whole
-normalised text, with partial aggregation before the shuffle, so a group with a
-third of all rows sends one row per task.
+other run's filter knows bypass the merge. The last runs are the index: of every
+digest the identifier that stays and the number of its rows. Documents whose
+digest is shared (hits) are verified byte for byte: each task keeps one text of
+equal ones, so a group with a third of all rows sends one row per task, and a
+digest with two different texts is regrouped by the texts themselves.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, fresh, ship, stored, text_or_empty
+from .common import SPACE, documents, flagged, fresh, ship, stored, text_or_empty
 
 MEMTABLE_ROWS = 200_000
 FAN_IN = 16
@@ -27,7 +28,6 @@ ROWS_PER_SHARD = 1_000_000
 BLOOM_BITS = 10
 BLOOM_HASHES = 4
 HOT = 200
-BROADCAST_BYTES = 16 << 20
 NONE = np.iinfo(np.int64).max  # stands for a null identifier: it sorts last
 
 RUNS = "shard int, run string, digests binary, ids binary, counts binary, ties binary, filter binary"
@@ -37,6 +37,11 @@ def normalized(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE, " ")
 
 
+def digest_of(body: Column) -> Column:
+    """The 32 bytes that the index knows a normalised text by."""
+    return F.unhex(F.sha2(body, 256))
+
+
 def _words(digests: np.ndarray) -> np.ndarray:
     """S32 digests as four big-endian words each."""
     return np.frombuffer(digests.tobytes(), dtype=">u8").reshape(-1, 4)
@@ -179,7 +184,17 @@ def _probe(rows: DataFrame, groups: DataFrame, on: list[str], total: int) -> Dat
     scattered = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("id"), F.lit(0)).cast("string"), F.monotonically_increasing_id().cast("string")), 256))
     found = found.withColumn("probe", F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(scattered))
     out = found.join(cold, ["probe", *on[1:]], "left")
-    return out.select("id", "digest", *on[1:], *[F.coalesce(a, b).alias(b) for a, b in (("hot_id", "keep_id"), ("hot_size", "group_size"), ("hot_ties", "ties"))])
+    return out.select("id", "digest", *[F.coalesce(a, b).alias(b) for a, b in (("hot_id", "keep_id"), ("hot_size", "group_size"), ("hot_ties", "ties"))])
+
+
+def clashes(hashed: DataFrame, shared: DataFrame) -> DataFrame:
+    """Digests of `shared` that stand for two different texts of (id, body, digest).
+
+    Rows whose digest the index holds once stay out of the shuffle.
+    """
+    hits = flagged(hashed, F.col("digest"), shared.select("digest"), "hit").filter("hit")
+    texts = hits.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -190,44 +205,55 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
     the text and the smallest identifier exactly one is kept. Empty tables
     give an empty result; other columns are ignored.
     """
-    hashed = docs.select(F.col(key).cast("long").alias("id"), normalized(text).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    out = _decided(docs, key, text, **options)
+    return out.select(F.col("id").alias("doc_id"), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _decided(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """Rows (id, sha, keep_id, group_size, kept, tied)."""
+    hashed = docs.select(F.col(f"`{key}`").cast("long").alias("id"), normalized(text).alias("body")).withColumn("digest", digest_of(F.col("body")))
     digests = stored(hashed.select("digest", "id"), "digests")
     total = digests.count()
-    index = stored(build_index(digests, total, **options), "index")
-    shared = index.filter("group_size > 1")
-    # Byte verification of the hits. While the hit digests are few they filter
-    # the texts before the shuffle; beyond that every text is grouped.
-    few = shared.count() * 48 <= BROADCAST_BYTES
-    hits = hashed.join(F.broadcast(shared.select("digest")), "digest", "left_semi") if few else hashed
-    groups = hits.groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = stored(groups.drop("body").join(index.select("digest", "ties"), "digest"), "verified")
-    clash = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if clash:  # two texts with one digest: the text joins the key, and ties are looked for in each
-        out = _probe(hashed, groups.withColumn("ties", F.lit(2).cast("long")), ["digest", "body"], total)
-    else:
-        out = _probe(digests, verified.filter("group_size > 1"), ["digest"], total)
+    index = build_index(digests, total, **options)
+    shared = stored(index.filter("group_size > 1"), "index")
+    out = _probe(digests, shared, ["digest"], total).withColumn("sha", F.col("digest"))
+    met = stored(clashes(hashed, shared), "clashes")
+    if met.limit(1).count():  # the sha of the text, which no clash of the digest touches, names its group
+        whole = hashed.join(met, "digest", "left_semi").select("id", F.unhex(F.sha2("body", 256)).alias("digest"), "body")
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"]
+        groups = whole.groupBy("digest", "body").agg(least.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        same = whole.groupBy("digest", "body", "id").agg(F.count(F.lit(1)).alias("ties"))
+        groups = groups.join(same, ["digest", "body"]).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", "keep_id", "group_size", "ties")
+        again = _probe(whole.select("digest", "id"), stored(groups, "regrouped"), ["digest"], total).withColumn("sha", F.col("digest"))
+        out = out.join(met, "digest", "left_anti").unionByName(again)
     single = F.col("group_size").isNull()
     out = out.withColumn("kept", single | F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("keep_id", F.when(single, F.col("id")).otherwise(F.col("keep_id")))
-    if clash or index.filter("ties > 1").limit(1).count():
-        tied = F.col("kept") & (F.coalesce("ties", F.lit(1)) > 1)
-        once = F.row_number().over(Window.partitionBy(*[c for c in out.columns if c in ("digest", "body", "id")]).orderBy(F.lit(1))) == 1
-        out = out.filter(~tied).unionByName(out.filter(tied).withColumn("kept", once))
-    return out.select(F.col("id").alias("doc_id"), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    out = out.withColumn("tied", F.col("kept") & (F.coalesce("ties", F.lit(1)) > 1))
+    if shared.filter("ties > 1").limit(1).count() or met.limit(1).count():
+        tied = stored(out.filter("tied").withColumn("mark", F.monotonically_increasing_id()), "tied")
+        first = tied.groupBy("sha", "id").agg(F.min("mark").alias("mark")).select("mark", F.lit(True).alias("once"))
+        tied = tied.join(first, "mark", "left").withColumn("kept", F.coalesce("once", F.lit(False)))
+        out = out.filter("not tied").unionByName(tied.select(*out.columns))
+    return out
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without its exact copies, all columns kept.
 
-    Rows join their decision by identifier and digest. Rows that repeat both
-    are numbered so that one of them stays.
+    Only rows whose identifier some dropped or repeated row has are shuffled:
+    they are joined by identifier and digest. Of rows that repeat both, one
+    stays. A text's row with the smallest identifier stays, null last.
     """
-    kept = decisions(docs, key, text, **options).filter("kept").select(F.col("doc_id").alias("keep_key"), F.unhex("text_sha256").alias("keep_digest"))
-    k, d, n = fresh(docs, "dedup_id", "dedup_digest", "dedup_n")
-    kept = kept.select(F.col("keep_key").alias(k), F.col("keep_digest").alias(d))
-    keyed = docs.withColumn(d, F.unhex(F.sha2(normalized(text), 256)))
-    rows = keyed.join(kept.withColumnRenamed(d, d + "_kept"), F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(d) == F.col(d + "_kept")), "left_semi")
-    once = rows.withColumn(n, F.row_number().over(Window.partitionBy(key, d).orderBy(F.lit(1)))).filter(F.col(n) == 1)
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    decided = stored(_decided(docs, key, text, **options).select("id", "sha", "kept", "tied").filter("not kept or tied"), "dropped")
+    hit, k, d = fresh(docs, "dedup_hit", "dedup_id", "dedup_digest")
+    rows = flagged(docs, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)), decided.select(F.coalesce("id", F.lit(0)).alias("id")), hit)
+    pairs = decided.groupBy(F.col("id").alias("id"), F.col("sha").alias("sha")).agg(F.max("tied").alias("tied"))
+    near = rows.filter(F.col(hit)).drop(hit).withColumn(k, F.col(f"`{key}`").cast("long")).withColumn(d, F.unhex(F.sha2(normalized(text), 256)))
+    near = near.join(pairs.select(F.col("id").alias("pair_id"), F.col("sha").alias("pair_sha"), F.col("tied").alias("pair_tied")), F.col(k).eqNullSafe(F.col("pair_id")) & (F.col(d) == F.col("pair_sha")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = near.filter("pair_sha is null").select(*columns)
+    once = near.filter("pair_tied").groupBy(k, d).agg(F.first(F.struct(*columns)).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.filter(~F.col(hit)).select(*columns).unionByName(alone).unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

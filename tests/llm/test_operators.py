@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.llm import chat, dedup_index, licenses, media, mixing, ngram_join, packing, pii, quality, secrets
 from pathloom.llm.flac import encode_frames, write_stream
@@ -257,6 +258,23 @@ def test_of_repeated_rows_one_stays(spark):
     assert dedup_index.deduplicated(df).count() == 3
 
 
+def test_texts_with_one_digest_are_told_apart(spark, monkeypatch):
+    weak = lambda body: F.unhex(F.sha2(F.substring(body, 1, 1), 256))
+    texts = ["ab", "ac", "ab", "ac ", "b", "b", "c", None, "", "ad"]
+    ids = [9, 1, 4, 1, 6, 6, 7, 8, None, 1]
+    plain = sorted(map(str, (r[:4] for r in dedup_index.decisions(docs(spark, texts, ids)).collect())))
+    monkeypatch.setattr(dedup_index, "digest_of", weak)
+    assert sorted(map(str, (r[:4] for r in dedup_index.decisions(docs(spark, texts, ids)).collect()))) == plain
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in dedup_index.deduplicated(docs(spark, texts, ids)).collect())
+    assert kept == {(4, "ab"): 1, (1, "ac"): 1, (1, "ac "): 1, (6, "b"): 1, (7, "c"): 1, (8, None): 1, (1, "ad"): 1}
+
+
+def test_many_equal_rows_and_clashing_names(spark):
+    df = docs(spark, ["same  text"] * 500 + ["other"] * 3, [5] * 400 + list(range(100, 200)) + [1, None, None]).withColumn("dedup_hit", F.lit(1)).withColumn("dedup_id", F.lit("x"))
+    kept = dedup_index.deduplicated(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "other"), (5, "same  text")]
+
+
 # -- packing and mixing
 
 
