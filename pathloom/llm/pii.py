@@ -1,9 +1,10 @@
-"""Personal data: fixed patterns, and a linear-chain CRF over word shapes.
+"""Personal data: fixed patterns, and a linear-chain CRF over word-shape features.
 
 A word's shape writes capitals as X, other letters as x, digits as d and keeps
-other signs, with runs compressed to one. The field scores labels O, B and I by
-the shapes of a word and its two neighbours plus label transitions; it is
-trained by maximum likelihood (forward-backward, batch gradient steps) on the
+other signs. The field scores labels O, B and I by six features (runs of one
+sign compressed to one; runs kept up to four; the compressed shapes of both
+neighbours; the word before; the last three bytes) and by label transitions; it
+is trained by maximum likelihood (forward-backward, batch gradient steps) on the
 small labelled table below. Decoding works on whole Arrow slices: a word whose
 score for O leads by more than any transitions can repay is O in every best
 path, so it cuts the chain exactly; Viterbi runs in step over all remaining
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, ship, text_or_empty
 from .secrets import span_rows
-from .shingles import _SPACE, text_bytes, word_hashes
+from .shingles import _SPACE, U, mix, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "crf")
 LOCAL = "A-Za-z0-9._%+-"
@@ -73,6 +74,54 @@ LABELLED = (
     "Room 101 , floor 3 , building 7 .",
     "e = mc2 and x1 = y2 + 3z",
     "on 2021-03-04 the order #12345 shipped",
+    "SSN [[555-12-3456]] is hers",
+    "her social security number is [[900-45-6789]].",
+    "ssn: [[123-45-6789]] , dob unknown",
+    "call [[(555) 010-9999]] or [[(212) 555-0147]] after six",
+    "Phone: [[(030) 901-8200]]",
+    "tel. [[030-901820]] , ask for Ana",
+    "phone [[555-0147]] or [[555-010-9999]] today",
+    "passport [[C01X00T47]] was lost",
+    "passport no. [[X1234567]] expired",
+    "Passport: [[L898902C3]]",
+    "my name is [[John Smith]] and I agree",
+    "his name is [[Pablo Diaz]] , he said",
+    "Her name is [[Anna Keller]].",
+    "my name is [[Eva Stone]] and this is my story",
+    "the patient name is [[Omar Haddad]] , aged 40",
+    "whose name is [[Lena Vogt]] or so",
+    "name: [[Ali Khan]] , age 33",
+    "Name: [[Lee Wong]]",
+    "she lives at [[8 Park Lane]] now",
+    "they lived at [[310 Church Road]] before",
+    "written by Mr. [[Brown]] last year",
+    "ask Mrs. [[Taylor]] about it",
+    "lives at [[221 Baker Street]] in town",
+    "he lives at [[14 Elm Avenue]] with them",
+    "Address: [[77 Mill Road]] , second floor",
+    "from 1914-1918 and 1939-1945 it was closed",
+    "between 10-12 and 14-16 hours, 555 of 900",
+    "scores 6-4 6-3 in 2012, item 12-345 sold",
+    "Our name is known. The name is old, it is long.",
+    "It is the North Sea. It is a Monday.",
+    "His house is at the end of Mill Road",
+    "The number is 42 and the other number is large",
+    "call 12 people at 5 or write to 3",
+    "order no. 12345 of page no. 7 , phone shops",
+    "ISBN 978-3-16-148410-0 in 2nd print, part A1B2",
+    "Model X200 with R2D2 and H2O, plus B52",
+    "Yes. Then we went. No. Home was far. So. Nobody came.",
+    "Ein. Haus am See. Und. Dann kam Peter. Ja. Gut so.",
+    "Le. Monde est grand. Oui. Rien ne va. Été. Hiver froid.",
+    "Go. Stop here. At. Last it ended. On. Monday it rained. Up. Down they went.",
+    "Of. This one. An. Old man. The. End. And. More of it. Ou. Là bas.",
+    "under the GNU General Public License of 1991",
+    "United Nations General Assembly met in New York City on Friday",
+    "In. 12 Days it was over. At. 9 Men left.",
+    "Buy Buy Buy Buy Buy Buy Buy Buy Buy Buy Buy Buy",
+    "over. over. Click Click Click Click Click Click Click Click",
+    "to end.  Hello Hello Hello Hello Hello Hello Hello Hello.",
+    "IN. THE. END. ALL. Was Well. TO. Be or not",
 )
 LABELS = 3  # O, B, I
 STEPS = 300
@@ -85,47 +134,61 @@ _SHAPE[128:] = ord("x")
 _SHAPE[48:58] = ord("d")
 
 
-def shapes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: hash of its compressed shape, first and end byte; per row: number of words."""
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: hashes of (compressed shape, shape, word, last bytes), first and end byte; per row: number of words."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros((4, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     inside = ~_SPACE[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     first = inside & (np.concatenate([[True], ~inside[:-1]]) | edge[:-1])
     last = inside & (np.concatenate([~inside[1:], [True]]) | edge[1:])
     shape = _SHAPE[raw]
-    keep = first | ~inside
-    keep[1:] |= shape[1:] != shape[:-1]
-    where = np.concatenate([[0], np.cumsum(keep)])
-    # Upper and lower case differ in a shape: X is written as a sign of its own.
-    packed = shape[keep]
-    packed[packed == ord("X")] = 1
-    hashes, count = word_hashes(packed, where[offsets])
-    return hashes, np.flatnonzero(first), np.flatnonzero(last) + 1, count
+    start = first | ~inside
+    start[1:] |= shape[1:] != shape[:-1]
+    run = np.arange(n) - np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    shape[shape == ord("X")] = 1  # word_hashes folds capitals, so they get a sign of their own
+
+    def hashed(data, keep):
+        where = np.concatenate([[0], np.cumsum(keep)])
+        return word_hashes(data[keep], where[offsets])[0]
+
+    whole, count = word_hashes(raw, offsets)
+    tail = np.flatnonzero(last)
+    head = np.flatnonzero(first)
+    back = [np.where(tail - k >= head, raw[np.maximum(tail - k, 0)], 0).astype(np.uint64) for k in range(3)]
+    suffix = mix(back[0] | back[1] << U(8) | back[2] << U(16) | U(1 << 40))
+    return np.stack([hashed(shape, start), hashed(shape, ~inside | (run < 4)), whole, suffix]), head, tail + 1, count
+
+
+def features(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The six features of each word as hashes; begin and end mark the rows' first and last words."""
+    coarse, fine, whole, suffix = hashes
+    left, right, before = np.roll(coarse, 1), np.roll(coarse, -1), np.roll(whole, 1)
+    left[begin] = before[begin] = right[end] = 0
+    return np.stack([coarse, fine, left, right, before, suffix])
 
 
 class Field:
-    """Weights by shape for a word, its left and its right neighbour, and transitions."""
+    """Weights by feature and label, and transitions. Vocabularies are sorted; the first weight is of unknown values."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, moves: np.ndarray):
-        self.vocabulary, self.weights, self.moves = vocabulary, weights, moves
+    def __init__(self, vocabularies: list[np.ndarray], weights: list[np.ndarray], moves: np.ndarray):
+        self.vocabularies, self.weights, self.moves = vocabularies, weights, moves
         # B and I against O: at most two moves, in and out, can repay a lower emission.
         self.reach = 2 * float(moves.max() - moves.min()) + 1e-9
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and up for known shapes, 0 for others."""
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+    def ids(self, found: np.ndarray) -> np.ndarray:
+        """Per feature 1 and up for known values, 0 for others."""
+        out = np.zeros(found.shape, dtype=np.int64)
+        for row, vocabulary, values in zip(out, self.vocabularies, found, strict=True):
+            at = np.searchsorted(vocabulary, values)
+            at[at == len(vocabulary)] = 0
+            row[:] = np.where(vocabulary[at] == values, at + 1, 0)
+        return out
 
-    def emissions(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Scores of all words; begin and end mark the rows' first and last words."""
-        edge = len(self.vocabulary) + 1
-        left, right = np.roll(ids, 1), np.roll(ids, -1)
-        left[begin], right[end] = edge, edge
-        return self.weights[0][ids] + self.weights[1][left] + self.weights[2][right]
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        return sum(w[i] for w, i in zip(self.weights[1:], ids[1:], strict=True)) + self.weights[0][ids[0]]
 
     def decode(self, scores: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Best labels. Pieces between certain O words are decoded in step."""
@@ -179,25 +242,23 @@ def _table() -> tuple[pa.Array, list[np.ndarray]]:
 def trained(steps: int = STEPS, penalty: float = PENALTY) -> Field:
     """Maximum likelihood on LABELLED by full-batch gradient steps (Adam)."""
     texts, tags = _table()
-    hashes, _, _, count = shapes(*text_bytes(texts))
-    vocabulary = np.unique(hashes)
-    n = len(vocabulary) + 2
-    field = Field(vocabulary, np.zeros((3, n, LABELS)), np.zeros((LABELS, LABELS)))
-    ids = field.ids(hashes)
+    hashes, _, _, count = words(*text_bytes(texts))
     bounds = np.concatenate([[0], np.cumsum(count)])
-    begin, end = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    begin, end = np.zeros(hashes.shape[1], bool), np.zeros(hashes.shape[1], bool)
     begin[bounds[:-1]] = end[bounds[1:] - 1] = True
-    left, right = np.roll(ids, 1), np.roll(ids, -1)
-    left[begin] = right[end] = n - 1
+    found = features(hashes, begin, end)
+    vocabularies = [np.unique(f) for f in found]
+    field = Field(vocabularies, [np.zeros((len(v) + 1, LABELS)) for v in vocabularies], np.zeros((LABELS, LABELS)))
+    ids = field.ids(found)
     gold = np.concatenate(tags)
     rows, most = len(tags), int(count.max())
     at = bounds[:-1, None] + np.minimum(np.arange(most), count[:, None] - 1)
     real = np.arange(most) < count[:, None]
-    moments = [[np.zeros_like(field.weights), np.zeros_like(field.weights)], [np.zeros_like(field.moves), np.zeros_like(field.moves)]]
+    moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (*field.weights, field.moves)]
     lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
     for step in range(1, steps + 1):
         T = field.moves
-        e = (field.weights[0][ids] + field.weights[1][left] + field.weights[2][right])[at]
+        e = field.emissions(ids)[at]
         a, b = np.zeros((rows, most, LABELS)), np.zeros((rows, most, LABELS))
         a[:, 0] = e[:, 0] + T[0]
         for t in range(1, most):
@@ -208,7 +269,7 @@ def trained(steps: int = STEPS, penalty: float = PENALTY) -> Field:
         z = lse(a[:, -1] + T[:, 0], 1)
         p = np.exp(a + b - z[:, None, None])[real]
         grad = np.eye(LABELS)[gold] - p
-        gw = np.stack([np.stack([np.bincount(x, grad[:, y], n) for y in range(LABELS)], axis=1) for x in (ids, left, right)])
+        gw = [np.stack([np.bincount(x, grad[:, y], len(w)) for y in range(LABELS)], axis=1) for x, w in zip(ids, field.weights, strict=True)]
         both = np.exp(a[:, :-1, :, None] + T + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])[real[:, 1:]].sum(axis=0)
         g = gold[at]
         gm = -both
@@ -216,28 +277,28 @@ def trained(steps: int = STEPS, penalty: float = PENALTY) -> Field:
         first, final = p[begin].sum(axis=0), p[end].sum(axis=0)
         gm[0] += np.bincount(gold[begin], minlength=LABELS) - first
         gm[:, 0] += np.bincount(gold[end], minlength=LABELS) - final
-        for (m, v), w, d in zip(moments, (field.weights, field.moves), (gw, gm), strict=True):
+        for (m, v), w, d in zip(moments, (*field.weights, field.moves), (*gw, gm), strict=True):
             d = d - penalty * w
             m *= 0.9
             m += 0.1 * d
             v *= 0.999
             v += 0.001 * d * d
             w += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(vocabulary, field.weights, field.moves)
+    return Field(vocabularies, field.weights, field.moves)
 
 
 def field_spans(column: pa.Array, field: Field) -> list[list[tuple[int, int, str]]]:
     """Code-point spans of the words labelled B and I, one list for each text."""
     raw, offsets = text_bytes(column)
-    hashes, first, last, count = shapes(raw, offsets)
+    hashes, first, last, count = words(raw, offsets)
     out: list[list] = [[] for _ in range(len(column))]
-    if not len(hashes):
+    if not hashes.shape[1]:
         return out
     bounds = np.concatenate([[0], np.cumsum(count)])
-    begin, end = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    begin, end = np.zeros(hashes.shape[1], bool), np.zeros(hashes.shape[1], bool)
     begin[bounds[:-1][count > 0]] = True
     end[bounds[1:][count > 0] - 1] = True
-    labels = field.decode(field.emissions(field.ids(hashes), begin, end), begin)
+    labels = field.decode(field.emissions(field.ids(features(hashes, begin, end))), begin)
     some = np.flatnonzero(labels)
     if not len(some):
         return out

@@ -3,8 +3,9 @@
 Candidate strings are long runs of token characters. A window slides over a
 candidate while the counts of its characters, and the sum of c * log2(c), are
 updated by the character that enters and the one that leaves; windows above the
-limit of the candidate's character class merge into one span. Allow-listed
-candidates are suppressed.
+limit of the candidate's character class (digits, hexadecimal, letters of one
+case, any) merge into one span. Allow-listed candidates are suppressed: UUIDs,
+paths and names made of words and short numbers, repeats of one character.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -30,16 +32,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Character classes, each with its least entropy in bits a character.
 CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), math.inf),
+    ("digits", re.compile(r"[0-9]+"), 2.7),
     ("hex", re.compile(r"[0-9a-fA-F]+"), 3.0),
-    ("letters", re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), math.inf),
+    ("letters", re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 3.7),
     ("token", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7),
 )
+_PART = r"(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15}|[0-9]{1,8}|v[0-9]{1,3})"
 #: Harmless shapes of candidates.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*"),  # words joined by signs
-    re.compile(r"([A-Za-z0-9]{1,11}[_/=+-]+)+[A-Za-z0-9]{0,11}"),  # short parts, as in paths
+    re.compile(rf"{_PART}([_/=+-]+{_PART})+[_/=+-]*"),  # words and numbers joined by signs, as in paths
+    re.compile(r"[A-Z]?[a-z]{2,15}([A-Z][a-z]{2,15})+"),  # words run together, each with a capital
     re.compile(r"(.)\1*"),
 )
 
@@ -84,11 +87,20 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     for m in CANDIDATE.finditer(text):
         found = m[0]
         limit = next(t for _, pattern, t in CLASSES if pattern.fullmatch(found))
-        if limit < math.inf and not any(p.fullmatch(found) for p in ALLOWED):
+        if not any(p.fullmatch(found) for p in ALLOWED):
             out += [(m.start() + a, m.start() + b, "entropy") for a, b in hot_windows(found, limit)]
     return out
 
 
+def outside(added: list[tuple], base: list[tuple]) -> list[tuple]:
+    """The added spans that no base span contains, by one search in the sorted base spans each."""
+    starts, reach = [], []
+    for a, b, _ in sorted(base):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    return [s for s in added if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[1]]
+
+
 def span_rows(texts: list[str], base: Callable, added: Callable, kinds: tuple[str, ...], by_kind: bool) -> pa.Array:
     """Per text: counts of the base kinds, digest of its base spans, all spans."""
     order = (lambda s: (kinds.index(s[2]), s[0], s[1])) if by_kind else (lambda s: (s[0], kinds.index(s[2]), s[1]))
@@ -100,7 +112,7 @@ def span_rows(texts: list[str], base: Callable, added: Callable, kinds: tuple[st
         for column, kind in zip(counts, kinds[:-1], strict=True):
             column.append(sum(s[2] == kind for s in own))
         digests.append(hashlib.sha256(line(own).encode()).hexdigest() if own else nothing)
-        whole.append(line(own + [s for s in more if not any(a <= s[0] and s[1] <= b for a, b, _ in own)]))
+        whole.append(line(own + outside(more, own)))
     return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(whole, pa.string())], names=[*[f"n_{k}" for k in kinds[:-1]], "base_sha256", "spans"])
 
 
