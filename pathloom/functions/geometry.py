@@ -116,3 +116,10 @@ def sample_count(seconds: Column) -> Column:
 def display_percent(x: Column, top: Column) -> Column:
     """Percent coordinates become pixels of an 800-wide plan where no coordinate exceeds 100.5."""
     return F.when(top <= 100.5, x * 8.0).otherwise(x)
+
+
+def similarity_pose(rotation: tuple, scale: float, shift: tuple, r: str = "r", t: str = "t") -> dict[str, Column]:
+    """Columns of poses moved by a similarity: R * R0 and scale * R * t0 + shift."""
+    row = lambda i, cols: sum((F.lit(float(rotation[i][k])) * cols[k] for k in (1, 2)), F.lit(float(rotation[i][0])) * cols[0])
+    out = {f"r{i}{j}": row(i, [F.col(f"{r}{k}{j}") for k in range(3)]) for i in range(3) for j in range(3)}
+    return out | {f"t{a}": scale * row(i, [F.col(f"{t}{b}") for b in "xyz"]) + float(shift[i]) for i, a in enumerate("xyz")}

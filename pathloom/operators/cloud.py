@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import with_position
+from .ranking import percentiles, with_position
 
 AXES = ("x", "y", "z")
 COLUMNS = (*AXES, "r", "g", "b", "conf")
@@ -45,8 +47,8 @@ def sanitized(rows: DataFrame) -> DataFrame:
 
 def confidence_profile(points: DataFrame, conf: str = "conf") -> DataFrame:
     """One row: linear percentiles p0..p100 and counts at or above each level."""
-    p = F.percentile(conf, F.array(*[F.lit(q / 100) for q in PERCENTS]))
-    one = points.agg(p.alias("p"), F.count(conf).alias("n"), *[F.count_if(F.col(conf) >= v).alias(f"ge_{str(v).replace('.', '_')}") for v in LEVELS])
+    one = points.agg(F.count(conf).alias("n"), *[F.count_if(F.col(conf) >= v).alias(f"ge_{str(v).replace('.', '_')}") for v in LEVELS])
+    one = one.join(F.broadcast(percentiles(points, conf, [q / 100 for q in PERCENTS])))
     return one.select("n", *[F.element_at("p", i + 1).alias(f"p{q}") for i, q in enumerate(PERCENTS)], *[c for c in one.columns if c.startswith("ge_")])
 
 
@@ -115,10 +117,16 @@ def colour(points: DataFrame) -> DataFrame:
     return points.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / scale)) for c in ("r", "g", "b")})
 
 
+def _percentile_row(points: DataFrame, wanted: dict[str, tuple[str, list[float]]]) -> DataFrame:
+    """One row: for each name the percentiles of its column."""
+    rows = [percentiles(points, column, shares, name) for name, (column, shares) in wanted.items()]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), rows)
+
+
 def display(points: DataFrame) -> DataFrame:
     """Centred at the medians, scaled to 18 / p95 of the radius, axes (x, z, -y).
     The percentile is the nearest rank below."""
-    centre = points.agg(*[F.percentile(a, F.lit(0.5)).alias(f"m{a}") for a in AXES])
+    centre = _percentile_row(points, {f"m{a}": (a, [0.5]) for a in AXES}).select(*[F.col(f"m{a}")[0].alias(f"m{a}") for a in AXES])
     moved = points.join(F.broadcast(centre)).select(*points.columns, *[(F.col(a) - F.col(f"m{a}")).alias(f"d{a}") for a in AXES])
     moved = moved.withColumn("radius", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2))
     n = points.agg(F.count(F.lit(1)).alias("n"))
@@ -129,7 +137,7 @@ def display(points: DataFrame) -> DataFrame:
 
 def display_clean(points: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Points inside the percentile box of every axis."""
-    box = points.agg(*[F.percentile(a, F.array(F.lit(low), F.lit(high))).alias(f"q{a}") for a in AXES])
+    box = _percentile_row(points, {f"q{a}": (a, [low, high]) for a in AXES})
     inside = F.lit(True)
     for a in AXES:
         inside = inside & F.col(a).between(F.col(f"q{a}")[0], F.col(f"q{a}")[1])
@@ -138,7 +146,7 @@ def display_clean(points: DataFrame, low: float = 0.02, high: float = 0.98) -> D
 
 def raster(points: DataFrame, width: int, height: int) -> DataFrame:
     """Counts of points in pixels of the box from p1 to p99 of x and y, clamped."""
-    box = points.agg(*[F.percentile(a, F.array(F.lit(0.01), F.lit(0.99))).alias(f"q{a}") for a in ("x", "y")])
+    box = _percentile_row(points, {f"q{a}": (a, [0.01, 0.99]) for a in ("x", "y")})
     pixel = lambda a, size: F.least(F.lit(size - 1), F.greatest(F.lit(0), F.floor((F.col(a) - F.col(f"q{a}")[0]) / F.greatest(F.col(f"q{a}")[1] - F.col(f"q{a}")[0], F.lit(1e-9)) * (size - 1))))
     return points.join(F.broadcast(box)).select(pixel("x", width).alias("px"), pixel("y", height).alias("py")).groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
 

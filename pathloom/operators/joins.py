@@ -17,8 +17,9 @@ def overlap_merge(left: DataFrame, right: DataFrame, on: str, conf: str) -> Data
 def as_of(left: DataFrame, right: DataFrame, by: str, t: str, value: str, nearest: bool = False) -> DataFrame:
     """left with right's value interpolated at left's time, by group.
 
-    Both sides are united and sorted once; the neighbours before and after are
-    carried by windows, so no pairs are made. Outside right's span the nearest
+    Both sides are united; the neighbours before and after are carried by two
+    running windows, one for each direction, so no pairs are made and the work
+    is linear in a group's rows. Outside right's span the nearest
     end is held; without right rows the value is null. With `nearest` the closer
     neighbour is taken, the earlier one on a tie.
     """
@@ -28,8 +29,8 @@ def as_of(left: DataFrame, right: DataFrame, by: str, t: str, value: str, neares
     )
     known = F.when(F.col("_left") == 0, F.col(t))
     before = Window.partitionBy(by).orderBy(t, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(t, F.desc("_left")).rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"_a": F.last("_v", True).over(before), "_ta": F.last(known, True).over(before), "_b": F.first("_v", True).over(after), "_tb": F.first(known, True).over(after)}).filter("_left = 1")
+    after = Window.partitionBy(by).orderBy(F.desc(t), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_a": F.last("_v", True).over(before), "_ta": F.last(known, True).over(before), "_b": F.last("_v", True).over(after), "_tb": F.last(known, True).over(after)}).filter("_left = 1")
     gap = F.col("_tb") - F.col("_ta")
     if nearest:
         out = F.when(F.col("_tb").isNull() | (F.col(t) - F.col("_ta") <= F.col("_tb") - F.col(t)), F.col("_a")).otherwise(F.col("_b"))
@@ -45,10 +46,10 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: str, at: str, key: str)
         right.select(F.col(by), F.col(at), F.col(key).alias("_k"), F.lit(0).alias("_left")), allowMissingColumns=True
     )
     mark = F.when(F.col("_left") == 0, F.struct(F.col(at).alias("p"), F.col("_k").alias("k")))
-    # Sorted so that, of equal places, the smallest key is the last before and the first after.
+    # Sorted so that, of equal places, the smallest key is the last in both directions.
     before = Window.partitionBy(by).orderBy(at, "_left", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(at, F.desc("_left"), "_k").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"_a": F.last(mark, True).over(before), "_b": F.first(mark, True).over(after)}).filter("_left = 1")
+    after = Window.partitionBy(by).orderBy(F.desc(at), "_left", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_a": F.last(mark, True).over(before), "_b": F.last(mark, True).over(after)}).filter("_left = 1")
     rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.p") - F.col(at)).alias("distance"), F.col(f"{c}.k").alias("k")))
     best = F.least(rank("_a"), rank("_b"))
     return rows.select(*names, best["k"].alias("nearest"), best["distance"].alias("distance"))

@@ -1,8 +1,10 @@
-"""Global positions without a single-partition window."""
+"""Global positions and percentiles without a single-partition window."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -20,3 +22,27 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return table.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+
+
+def percentiles(df: DataFrame, value: Column | str, shares: list[float], name: str = "p") -> DataFrame:
+    """One row with the exact linear percentiles of all values, as an array.
+
+    Equal values are counted before the shuffle; the counts are range-partitioned
+    and a prefix sum over the partitions (one row for each) tells which few
+    partitions hold the wanted positions. Nulls are ignored; without a value the
+    array holds nulls.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    counted = df.select(column.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    table = stored(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "counts")
+    sizes = table.groupBy("part").agg(F.sum("n").alias("m"))
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    at = [q * (total - 1) for q in shares]
+    wanted = sorted({f(a) for a in at for f in (math.floor, math.ceil)}) if total else [-1]
+    before = sizes.select("part", "m", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
+    hit = before.filter(F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("m"))))
+    run = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("before")
+    ends = table.join(F.broadcast(hit), "part").select("v", run.alias("upto"), (run - F.col("n")).alias("from"))
+    pick = {w: F.max(F.when((F.col("from") <= w) & (w < F.col("upto")), F.col("v"))) for w in wanted}
+    linear = [pick[math.floor(a)] * (1 - (a - math.floor(a))) + pick[math.ceil(a)] * (a - math.floor(a)) if total else F.lit(None).cast("double") for a in at]
+    return ends.agg(F.array(*linear).alias(name))

@@ -99,10 +99,9 @@ def quality_gate(df: DataFrame, s: Series = S) -> DataFrame:
 
 def gap_fill(df: DataFrame, column: str, order: str, s: Series = S) -> DataFrame:
     """Nulls of `column` linearly interpolated by `order`; edges held; 0 if all are null."""
-    w = Window.partitionBy(s.run).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (Window.partitionBy(s.run).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.desc(order)))
     at = F.when(F.col(column).isNotNull(), F.col(order))
-    sides = df.withColumns({"_a": F.last(column, True).over(back), "_ta": F.last(at, True).over(back), "_b": F.first(column, True).over(ahead), "_tb": F.first(at, True).over(ahead)})
+    sides = df.withColumns({"_a": F.last(column, True).over(back), "_ta": F.last(at, True).over(back), "_b": F.last(column, True).over(ahead), "_tb": F.last(at, True).over(ahead)})
     share = (F.col(order) - F.col("_ta")) / F.nullif(F.col("_tb") - F.col("_ta"), F.lit(0))
     filled = F.coalesce(F.col(column), F.col("_a") + (F.col("_b") - F.col("_a")) * share, "_a", "_b", F.lit(0.0))
     return sides.withColumn(column, filled).drop("_a", "_ta", "_b", "_tb")
@@ -138,6 +137,53 @@ def heading(df: DataFrame, half: int = 2, s: Series = S) -> DataFrame:
     return rows.withColumn("heading", F.when(F.hypot("_cx", "_cy") > 0, F.degrees(F.atan2("_cy", "_cx")))).drop("_cx", "_cy")
 
 
+def adaptive_heading(df: DataFrame, s: Series = S) -> DataFrame:
+    """Direction in degrees of the chord over 2 to 8 rows on either side (a 90th of the
+    run), without jumps; gaps where the chord has no length are filled in straight lines.
+
+    A run without any chord has heading 0.
+    """
+    w = s.ordered
+    rows = df.withColumns({"chord_k": F.row_number().over(w), "chord_n": F.count(F.lit(1)).over(s.whole)})
+    rows = rows.withColumn("chord_h", F.when(F.col("chord_n") >= 90, F.greatest(F.lit(2), F.least(F.lit(8), F.floor(F.col("chord_n") / 90)))).otherwise(2))
+    last = Window.partitionBy(s.run).orderBy(F.desc(s.t), F.desc(s.tie)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def chord(c: str) -> Column:
+        out = F.lit(None).cast("double")
+        for h in range(2, 9):
+            ends = F.coalesce(F.lead(c, h).over(w), F.first(c).over(last)) - F.coalesce(F.lag(c, h).over(w), F.first(c).over(s.upto))
+            out = F.when(F.col("chord_h") == h, ends).otherwise(out)
+        return out
+
+    rows = rows.withColumns({"chord_x": chord(s.x), "chord_y": chord(s.y)})
+    rows = rows.withColumn("heading", F.when(F.hypot("chord_x", "chord_y") > 1e-7, F.degrees(F.atan2("chord_y", "chord_x"))))
+    before = F.last("heading", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("chord_turn", F.coalesce(wrap_degrees(F.col("heading") - before), F.lit(0.0)))
+    first = F.first("heading", True).over(s.upto)
+    rows = rows.withColumn("heading", F.when(F.col("heading").isNotNull(), first + F.sum("chord_turn").over(s.upto)))
+    return gap_fill(rows, "heading", "chord_k", s).select(*df.columns, "heading")
+
+
+def chord_turns(df: DataFrame, window: int = 48, least: float = 30.0, shortest: float = 3.0, gap: int = 25, s: Series = S) -> DataFrame:
+    """Rows whose two chords of half a window each turn by at least max(30, 25 + 2.5 sd of the
+    last eight turn rates) degrees, at least `gap` rows after the one kept before.
+
+    The greedy choice folds over a run's candidates, which are few, inside the JVM.
+    """
+    w, half = s.ordered, window // 2
+    rate = F.coalesce(wrap_degrees(F.degrees(F.atan2(F.col("dy"), F.col("dx"))) - F.lag(F.degrees(F.atan2(F.col("dy"), F.col("dx")))).over(w)), F.lit(0.0))
+    rows = steps(df, s).withColumn("rate", rate).withColumns({"k": F.row_number().over(w) - 1, "spread": F.stddev_pop("rate").over(w.rowsBetween(-7, 0))})
+    a = [F.lag(c, half).over(w) - F.lag(c, window).over(w) for c in (s.x, s.y)]
+    b = [F.col(c) - F.lag(c, half).over(w) for c in (s.x, s.y)]
+    rows = rows.withColumns({"a0": a[0], "a1": a[1], "b0": b[0], "b1": b[1]})
+    angle = F.degrees(F.atan2(F.expr("a0 * b1 - a1 * b0"), F.expr("a0 * b0 + a1 * b1")))
+    rows = rows.withColumn("angle", angle).filter((F.hypot("a0", "a1") > shortest) & (F.hypot("b0", "b1") > shortest) & (F.abs("angle") >= F.greatest(F.lit(least), 25 + 2.5 * F.col("spread"))))
+    found = rows.groupBy(s.run).agg(F.sort_array(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), "angle"))).alias("c"))
+    none = F.array().cast("array<struct<k:bigint,angle:double>>")
+    kept = F.aggregate("c", none, lambda got, e: F.when((F.size(got) == 0) | (e["k"] - F.try_element_at(got, F.lit(-1))["k"] > gap), F.concat(got, F.array(e))).otherwise(got))
+    return found.select(s.run, F.explode(kept).alias("e")).select(s.run, "e.k", "e.angle", F.when(F.col("e.angle") > 0, "left").otherwise("right").alias("kind"))
+
+
 def unwrapped(df: DataFrame, angle: str, s: Series = S) -> DataFrame:
     """Degrees without jumps: the first angle plus the sum of wrapped differences."""
     turn = F.coalesce(wrap_degrees(F.col(angle) - F.lag(angle).over(s.ordered)), F.lit(0.0))

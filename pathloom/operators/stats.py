@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import percentiles
+
 
 def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
     """min, p10, p50, p90, max with six decimals; null where a group has no value."""
@@ -36,7 +38,7 @@ def robust_weights(df: DataFrame, value: str, by: str) -> DataFrame:
 
 def median_ratio(df: DataFrame, value: str) -> DataFrame:
     """Values over the median of the positive ones, cut to [0.1, 10]."""
-    centre = df.filter(F.col(value) > 0).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    centre = percentiles(df.filter(F.col(value) > 0), value, [0.5]).select(F.col("p")[0].alias("_m"))
     return df.join(F.broadcast(centre)).withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(10.0), F.col(value) / F.col("_m")))).drop("_m")
 
 
@@ -55,8 +57,7 @@ def edge_report(edges: DataFrame, frames: int) -> DataFrame:
     got = edges.agg(
         F.count(F.lit(1)).alias("edges"), count(bad).alias("negative"), count(F.col("i") == F.col("j")).alias("self"), count((F.col("i") >= frames) | (F.col("j") >= frames)).alias("out_of_range"),
         count(F.col("conf_t").isNotNull() & F.col("conf_r").isNotNull()).alias("split_confidence"), *[count(F.col("etype") == k).alias(f"type_{k.lower()}") for k in ("A", "N", "R")],
-        F.percentile("conf", F.lit(0.5)).alias("median_conf"),
-    )
+    ).join(F.broadcast(percentiles(edges, "conf", [0.5]).select(F.col("p")[0].alias("median_conf"))))
     ready = (F.col("edges") > 0) & (F.col("negative") == 0) & (F.col("self") * 100 <= F.col("edges")) & (F.col("split_confidence") == F.col("edges"))
     return got.withColumn("ready", ready)
 

@@ -39,14 +39,16 @@ def frame_stats(spark, d):
     return _rounded(ops.frame_stats(cloud(spark, d)), digits=4)
 
 
-@query("cloud_frame_histogram", f"WITH {CLOUD}, per AS (SELECT frame, count(*) AS n FROM cloud GROUP BY frame), r AS (SELECT *, row_number() OVER (ORDER BY frame) AS u, row_number() OVER (ORDER BY frame DESC) AS dn, count(*) OVER () AS c FROM per) SELECT frame, n FROM r WHERE c <= 6 OR u <= 2 OR dn <= 2")
+@query("cloud_frame_histogram", f"WITH {CLOUD}, per AS (SELECT frame, count(*) AS n FROM cloud GROUP BY frame), r AS (SELECT *, row_number() OVER (ORDER BY frame) AS u, row_number() OVER (ORDER BY frame DESC) AS dn, count(*) OVER () AS c FROM per) SELECT frame, n FROM r WHERE c <= 320 OR u <= 20 OR dn <= 20")
+@query("cloud_frame_histogram_whole", f"WITH {CLOUD}, per AS (SELECT frame, count(*) AS n FROM cloud GROUP BY frame), r AS (SELECT *, row_number() OVER (ORDER BY frame) AS u, row_number() OVER (ORDER BY frame DESC) AS dn, count(*) OVER () AS c FROM per) SELECT frame, n FROM r WHERE c <= 320 OR u <= 20 OR dn <= 20")
 def frame_histogram(spark, d):
-    return ops.frame_histogram(cloud(spark, d), ends=2, most=6)
+    return ops.frame_histogram(cloud(spark, d))
 
 
-@query("cloud_frame_bounds", f"WITH {CLOUD} SELECT frame, count(*) AS n, {', '.join(f'round(avg({a}), 5) AS mean_{a}, round(stddev_pop({a}), 5) AS std_{a}, round(min({a}), 5) AS min_{a}, round(max({a}), 5) AS max_{a}' for a in ops.AXES)} FROM cloud WHERE frame IN (1, 3, 5, 7) GROUP BY frame")
+@query("cloud_frame_bounds", f"WITH {CLOUD} SELECT frame, count(*) AS n, {', '.join(f'round(avg({a}), 5) AS mean_{a}, round(stddev_pop({a}), 5) AS std_{a}, round(min({a}), 5) AS min_{a}, round(max({a}), 5) AS max_{a}' for a in ops.AXES)} FROM cloud GROUP BY frame")
+@query("cloud_frame_bounds_whole", f"WITH {CLOUD} SELECT frame, count(*) AS n, {', '.join(f'round(avg({a}), 5) AS mean_{a}, round(stddev_pop({a}), 5) AS std_{a}, round(min({a}), 5) AS min_{a}, round(max({a}), 5) AS max_{a}' for a in ops.AXES)} FROM cloud GROUP BY frame")
 def frame_bounds(spark, d):
-    return _rounded(ops.frame_bounds(cloud(spark, d), [1, 3, 5, 7]), digits=5)
+    return _rounded(ops.frame_bounds(cloud(spark, d)), digits=5)
 
 
 @query("cloud_topk_confidence", f"WITH {CLOUD} SELECT pid, round(conf, 6) AS conf, frame FROM cloud ORDER BY cloud.conf DESC, pid LIMIT 100")
@@ -109,11 +111,16 @@ def raster(spark, d):
 
 @query(
     "cloud_unproject",
-    f"""WITH {CLOUD}, cells AS (SELECT vec_id AS frame, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS dd FROM embeddings WHERE label = 1)
+    """WITH cells AS (SELECT vec_id AS frame, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS dd FROM embeddings)
+    SELECT frame, pos::BIGINT AS pos, round((pos % 8 - 4.0) * dd / 9.6 + 1.0, 5) AS x, round((pos // 8 - 4.0) * dd / 9.6 + 2.0, 5) AS y, round(dd + 3.0, 5) AS z FROM cells WHERE dd > 0.001""",
+)
+@query(
+    "cloud_unproject_whole",
+    """WITH cells AS (SELECT vec_id AS frame, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS dd FROM embeddings)
     SELECT frame, pos::BIGINT AS pos, round((pos % 8 - 4.0) * dd / 9.6 + 1.0, 5) AS x, round((pos // 8 - 4.0) * dd / 9.6 + 2.0, 5) AS y, round(dd + 3.0, 5) AS z FROM cells WHERE dd > 0.001""",
 )
 def unproject(spark, d):
-    return _unprojected(spark.read.parquet(f"{d}/embeddings.parquet").filter("label = 1"))
+    return _unprojected(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
 def _unprojected(rows):
@@ -121,22 +128,3 @@ def _unprojected(rows):
     eye = {f"r{i}{j}": F.lit(float(i == j)) for i in range(3) for j in range(3)}
     cameras = rows.select(F.lit("a").alias("run"), F.col("vec_id").alias("frame")).withColumns(eye | {"tx": F.lit(1.0), "ty": F.lit(2.0), "tz": F.lit(3.0)} | {c: F.lit(None).cast("double") for c in ("fx", "fy", "cx", "cy")})
     return _rounded(ops.unprojected(depth, cameras).select("frame", F.col("pos").cast("long").alias("pos"), "x", "y", "z"), digits=5)
-
-
-@query("cloud_frame_histogram_whole", f"WITH {CLOUD}, per AS (SELECT frame, count(*) AS n FROM cloud GROUP BY frame), r AS (SELECT *, row_number() OVER (ORDER BY frame) AS u, row_number() OVER (ORDER BY frame DESC) AS dn, count(*) OVER () AS c FROM per) SELECT frame, n FROM r WHERE c <= 320 OR u <= 20 OR dn <= 20")
-def frame_histogram_whole(spark, d):
-    return ops.frame_histogram(cloud(spark, d))
-
-
-@query("cloud_frame_bounds_whole", f"WITH {CLOUD} SELECT frame, count(*) AS n, {', '.join(f'round(avg({a}), 5) AS mean_{a}, round(stddev_pop({a}), 5) AS std_{a}, round(min({a}), 5) AS min_{a}, round(max({a}), 5) AS max_{a}' for a in ops.AXES)} FROM cloud GROUP BY frame")
-def frame_bounds_whole(spark, d):
-    return _rounded(ops.frame_bounds(cloud(spark, d)), digits=5)
-
-
-@query(
-    "cloud_unproject_whole",
-    """WITH cells AS (SELECT vec_id AS frame, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS dd FROM embeddings)
-    SELECT frame, pos::BIGINT AS pos, round((pos % 8 - 4.0) * dd / 9.6 + 1.0, 5) AS x, round((pos // 8 - 4.0) * dd / 9.6 + 2.0, 5) AS y, round(dd + 3.0, 5) AS z FROM cells WHERE dd > 0.001""",
-)
-def unproject_whole(spark, d):
-    return _unprojected(spark.read.parquet(f"{d}/embeddings.parquet"))

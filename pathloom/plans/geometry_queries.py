@@ -39,9 +39,18 @@ def quaternion_matrix(spark, d):
     return _r(_matrices(spark, d).select("pid", *_NAMES), 6)
 
 
-@query("rotation_validity", f"WITH {_Q}, m AS (SELECT pid, {_MAT} FROM q) SELECT pid, pid % 7 <> 0 AS valid FROM m")
+#: The predicate of a valid rotation in SQL: bounds of the entries, orthonormality, determinant.
+_DOT = lambda i, j: f"pow(r0{i} * r0{j} + r1{i} * r1{j} + r2{i} * r2{j} - {int(i == j)}, 2)"
+_VALID = (
+    " AND ".join(f"abs({n}) <= 1.5" for n in _NAMES)
+    + f" AND sqrt({' + '.join(_DOT(i, j) for i in range(3) for j in range(3))}) <= 0.08"
+    + " AND r00 * (r11 * r22 - r12 * r21) - r01 * (r10 * r22 - r12 * r20) + r02 * (r10 * r21 - r11 * r20) BETWEEN 0.85 AND 1.15"
+)
+
+
+@query("rotation_validity", f"WITH {_Q}, m AS (SELECT pid, {_MAT} FROM q), bent AS (SELECT * REPLACE (r00 + (pid % 7) * 0.03::DOUBLE AS r00) FROM m) SELECT pid, {_VALID} AS valid FROM bent")
 def rotation_validity(spark, d):
-    rows = _matrices(spark, d).withColumn("r00", F.when(F.col("pid") % 7 == 0, F.col("r00") + 3).otherwise(F.col("r00")))
+    rows = _matrices(spark, d).withColumn("r00", F.col("r00") + (F.col("pid") % 7) * 0.03)
     return rows.select("pid", g.valid_rotation().alias("valid"))
 
 
@@ -111,17 +120,20 @@ def time_index(spark, d):
     return rows.join(span, "run").select("id", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(share * F.col("n")))).alias("idx"))
 
 
-@query("edge_components", f"WITH RECURSIVE e AS (SELECT o_orderkey % 701 AS i, (o_custkey * 7) % 701 AS j FROM orders WHERE o_orderkey % 29 = 0), s AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON r.node = s.a) SELECT node, min(c) AS component FROM r GROUP BY node")
+def _order_links(spark, d):
+    """Every order with its customer, the customers as negative nodes."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), (-1 - F.col("o_custkey")).alias("j"))
+
+
+@query("edge_components", "SELECT o_orderkey AS node, -1 - o_custkey AS component FROM orders UNION SELECT -1 - o_custkey, -1 - o_custkey FROM orders")
 def edge_components(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 29 = 0")
-    return graph.components(o.select((F.col("o_orderkey") % 701).alias("i"), ((F.col("o_custkey") * 7) % 701).alias("j")))
+    return graph.components(_order_links(spark, d))
 
 
-@query("edge_component_summary", "WITH RECURSIVE e AS (SELECT o_orderkey % 701 AS i, (o_custkey * 7) % 701 AS j FROM orders WHERE o_orderkey % 29 = 0), s AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e UNION SELECT x, x FROM range(701) t(x)), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON r.node = s.a), c AS (SELECT node, min(c) AS c FROM r GROUP BY node), n AS (SELECT c, count(*) AS n FROM c GROUP BY c) SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS coverage FROM n")
+@query("edge_component_summary", "WITH n AS (SELECT c_custkey, count(o_orderkey) + 1 AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS coverage FROM n")
 def component_summary(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 29 = 0")
-    links = o.select((F.col("o_orderkey") % 701).alias("i"), ((F.col("o_custkey") * 7) % 701).alias("j"))
-    return _r(graph.component_summary(links, spark.range(701).select(F.col("id").alias("node"))), 6)
+    nodes = _order_links(spark, d).select(F.col("i").alias("node")).union(table(spark, d, "customer").select(-1 - F.col("c_custkey")))
+    return _r(graph.component_summary(_order_links(spark, d), nodes), 6)
 
 
 _LABELS = "s AS (SELECT i AS a, j AS b FROM edges UNION SELECT j, i FROM edges UNION SELECT p_partkey, p_partkey FROM part UNION SELECT s_suppkey, s_suppkey FROM supplier), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, min(r.c) FROM r JOIN s ON r.node = s.a GROUP BY s.b), c AS (SELECT node, min(c) AS component FROM r GROUP BY node)"

@@ -89,35 +89,36 @@ def backbone(spark, d):
     return best.select("j", "m.i", "m.gap", (-F.col("m.c")).alias("conf"), "m.eid")
 
 
-@query("edge_union_dedup", f"WITH {EDGES}, u AS (SELECT i, j, etype, conf, eid FROM edges WHERE eid % 2 = 0 UNION ALL SELECT i, j, etype, conf, eid FROM edges WHERE eid % 3 = 0) SELECT i, j, etype, max(conf) AS conf, count(*) AS n FROM u GROUP BY i, j, etype")
+@query("edge_union_dedup", f"WITH {EDGES}, u AS (SELECT i, j, etype, conf, eid FROM edges WHERE etype <> 'A' UNION ALL SELECT i, j, etype, conf, eid FROM edges WHERE etype <> 'R') SELECT i, j, etype, max(conf) AS conf, count(*) AS n FROM u GROUP BY i, j, etype")
 def union_dedup(spark, d):
     rows = edges(spark, d).select("i", "j", "etype", "conf", "eid")
-    both = rows.filter("eid % 2 = 0").unionByName(rows.filter("eid % 3 = 0"))
+    both = rows.filter("etype <> 'A'").unionByName(rows.filter("etype <> 'R'"))
     return both.groupBy("i", "j", "etype").agg(F.max("conf").alias("conf"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "frame_overlap_merge",
-    f"WITH {CLOUD}, a AS (SELECT pid, conf FROM cloud WHERE pid % 3 <> 0), b AS (SELECT pid + 1 AS pid, conf FROM cloud WHERE pid % 2 = 0) SELECT a.pid, round(greatest(a.conf, b.conf), 6) + 0.0 AS conf FROM a LEFT JOIN b USING (pid) UNION ALL SELECT pid, round(conf, 6) + 0.0 FROM b WHERE pid NOT IN (SELECT pid FROM a)",
+    f"WITH {CLOUD}, a AS (SELECT pid, conf FROM cloud WHERE frame <= 6), b AS (SELECT pid, g AS conf FROM cloud WHERE frame >= 4) SELECT a.pid, round(greatest(a.conf, b.conf), 6) + 0.0 AS conf FROM a LEFT JOIN b USING (pid) UNION ALL SELECT pid, round(conf, 6) + 0.0 FROM b WHERE pid NOT IN (SELECT pid FROM a)",
 )
 def overlap(spark, d):
-    rows = cloud(spark, d).select("pid", "conf")
-    return _r(joins.overlap_merge(rows.filter("pid % 3 <> 0"), rows.filter("pid % 2 = 0").withColumn("pid", F.col("pid") + 1), "pid", "conf"), 6)
+    rows = cloud(spark, d)
+    early, late = rows.filter("frame <= 6").select("pid", "conf"), rows.filter("frame >= 4").select("pid", F.col("g").alias("conf"))
+    return _r(joins.overlap_merge(early, late, "pid", "conf"), 6)
 
 
-@query("source_precedence", f"WITH {TASKS}, u AS (SELECT employee, 0 AS source, size FROM tasks WHERE status = 'P' UNION ALL SELECT employee, 1, size FROM tasks WHERE status = 'F'), k AS (SELECT *, row_number() OVER (PARTITION BY employee ORDER BY source, size) AS k FROM u) SELECT employee, source, size FROM k WHERE k = 1")
+@query("source_precedence", f"WITH {TASKS}, u AS (SELECT employee, 0 AS source, size FROM tasks WHERE status = 'P' UNION ALL SELECT employee, 1, size FROM tasks WHERE status = 'F' UNION ALL SELECT employee, 2, size FROM tasks WHERE status = 'O'), k AS (SELECT *, row_number() OVER (PARTITION BY employee ORDER BY source, size) AS k FROM u) SELECT employee, source, size FROM k WHERE k = 1")
 def precedence(spark, d):
     rows = tasks(spark, d)
-    return joins.by_precedence([rows.filter("status = 'P'"), rows.filter("status = 'F'")], "employee", "size")
+    return joins.by_precedence([rows.filter(F.col("status") == k) for k in ("P", "F", "O")], "employee", "size")
 
 
 @query(
     "employee_prefix_merge",
-    f"WITH {TASKS}, c AS (SELECT id, employee, created_at FROM tasks WHERE id % 10 = 0) SELECT c.id AS chosen, t.employee, t.id, t.created_at FROM c JOIN tasks t USING (employee) WHERE (t.created_at < c.created_at OR t.created_at = c.created_at AND t.id <= c.id) AND t.id NOT IN (SELECT id FROM tasks WHERE status = 'P')",
+    f"WITH {TASKS}, c AS (SELECT id, employee, created_at FROM tasks WHERE status = 'O') SELECT c.id AS chosen, t.employee, t.id, t.created_at FROM c JOIN tasks t USING (employee) WHERE (t.created_at < c.created_at OR t.created_at = c.created_at AND t.id <= c.id) AND t.id NOT IN (SELECT id FROM tasks WHERE status = 'P')",
 )
 def prefix(spark, d):
     rows = tasks(spark, d).select("id", "employee", "created_at", "status")
-    return joins.prefix_of(rows.drop("status"), rows.filter("id % 10 = 0"), rows.filter("status = 'P'"))
+    return joins.prefix_of(rows.drop("status"), rows.filter("status = 'O'"), rows.filter("status = 'P'"))
 
 
 @query("run_quantile_summary", f"WITH {TRAJ} SELECT run, count(x) AS n, {', '.join(f'round(quantile_cont(x, {q}), 6) AS {c}' for c, q in (('min', 0), ('p10', 0.1), ('p50', 0.5), ('p90', 0.9), ('max', 1)))} FROM traj GROUP BY run".replace("AS min", 'AS "min"').replace("AS max", 'AS "max"'))
@@ -267,14 +268,15 @@ def grid(spark, d):
 
 @query(
     "json_context_merge",
-    """WITH j AS (SELECT user_id, arg_max(props, event_id) AS a, arg_min(props, event_id) AS b FROM events GROUP BY user_id)
-    SELECT user_id, json_extract_string(b, '$.k') AS k, 'old' AS origin, CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'set' END AS note FROM j""",
+    """WITH j AS (SELECT user_id, arg_max(props, event_id) AS a, arg_max(event_type, event_id) AS ta, arg_min(props, event_id) AS b, arg_min(event_type, event_id) AS tb FROM events GROUP BY user_id)
+    SELECT user_id, json_extract_string(b, '$.k') AS k, ta AS origin, CASE WHEN tb = 'click' THEN NULL ELSE tb END AS note FROM j""",
 )
 def context_merge(spark, d):
-    ends = table(spark, d, "events").groupBy("user_id").agg(F.max_by("props", "event_id").alias("a"), F.min_by("props", "event_id").alias("b"))
+    last, first = F.max_by(F.struct("props", "event_type"), "event_id"), F.min_by(F.struct("props", "event_type"), "event_id")
+    ends = table(spark, d, "events").groupBy("user_id").agg(last.alias("a"), first.alias("b"))
     text = "map<string,string>"
-    old = ends.select("user_id", F.map_concat(F.from_json("a", text), F.create_map(F.lit("origin"), F.lit("old"), F.lit("note"), F.lit("kept"))).alias("context"))
-    new = ends.select("user_id", F.map_concat(F.from_json("b", text), F.create_map(F.lit("note"), F.when(F.col("user_id") % 2 != 0, "set"))).alias("context"))
+    old = ends.select("user_id", F.map_concat(F.from_json("a.props", text), F.create_map(F.lit("origin"), F.col("a.event_type"), F.lit("note"), F.lit("kept"))).alias("context"))
+    new = ends.select("user_id", F.map_concat(F.from_json("b.props", text), F.create_map(F.lit("note"), F.when(F.col("b.event_type") != "click", F.col("b.event_type")))).alias("context"))
     merged = tk.merged_context(old, new, "user_id", "context")
     return merged.select("user_id", *[F.try_element_at("context", F.lit(k)).alias(k) for k in ("k", "origin", "note")])
 

@@ -1 +1 @@
-
+"""Structured Streaming over growing folders."""
