@@ -55,7 +55,7 @@ SMALL_BUCKET = 16
 #: Members of a bucket in one block; those beyond travel apart.
 BLOCK_MEMBERS = 256
 #: The same for signatures of differences, which are far more selective.
-SMALL_DIFFERENCE = 128
+SMALL_DIFFERENCE = 256
 BAND_STEP = 1.35
 SEEN_CLASSES = 200_000
 #: Bits of a histogram's ranges for sets above and up to a size.
@@ -324,12 +324,27 @@ def _fine(table: pa.Table) -> pa.Table:
     counts = _joined(table, "counts", np.uint32)
     key, size, sig = np.repeat(_joined(table, "keys", np.int64), counts), np.repeat(_joined(table, "sizes", np.uint64), counts), _joined(table, "sigs", np.uint64)
     at, away = (sig >> U(32)).astype(np.int64), (size >> U(32)).astype(np.int64)
-    sig, open_ = sig.astype(np.uint32), size.astype(np.uint32) < SETTLED
+    sig, size = sig.astype(np.uint32), size.astype(np.uint32)
+    open_ = size < SETTLED
     order = np.lexsort((at, away, key, sig))
     sig, key, open_, at, away = sig[order], key[order], open_[order], at[order], away[order]
     new = np.ones(len(sig), dtype=bool)
     new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (away[1:] != away[:-1])
     sig, key, open_, at, away = sig[new], key[new], open_[new], at[new], away[new]
+    size = size[order][new].astype(np.int64) & (SETTLED - 1)
+    # A member stays if its position allows a link with the nearest partner its bucket may
+    # hold: one that is open, or for an open member any. What goes may shut out others.
+    for _ in range(3):
+        head, run = _runs(sig)
+        if not len(head):
+            break
+        of = np.repeat(np.arange(len(head)), run)
+        least = [np.minimum.reduceat(v, head)[of] for v in (np.where(open_, away, 1 << 40), away)]
+        largest = np.maximum.reduceat(size, head)[of]
+        some = np.add.reduceat(open_.astype(np.int64), head)[of] > 0
+        share = (away + np.where(open_, least[1], least[0]) - (size + largest) // 9 + 1) // 2
+        keep = some & (run[of] > 1) & (at <= away - share)
+        sig, key, open_, at, away, size = (v[keep] for v in (sig, key, open_, at, away, size))
     head, run = _runs(sig)
     first = np.add.reduceat(open_.astype(np.int64), head) if len(head) else run
     many = (run > 1) & (first > 0)
@@ -512,18 +527,13 @@ class _Components:
                 drop_stored(before)
 
     def verify(self, pairs: DataFrame) -> None:
-        """Take up the links among pairs (x, y) that matter: first one partner of each
-        set, then what still lies across components."""
+        """Take up the links among pairs (x, y) across components."""
         near = stored(_near(self.apart(pairs) if self.labels is not None else pairs, self.hists), "near")
         if self.labels is not None and not near.limit(1).count():
             return
         sets = stored(self.fetched(near.select(F.explode(F.array("x", "y")).alias("k")).distinct(), True), "sets")
-        first = stored(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
-        self.add(_links(first, sets))
-        rest = stored(self.apart(near.join(first, ["x", "y"], "left_anti")), "rest")
-        if rest.limit(1).count():
-            self.add(_links(rest, sets))
-        drop_stored(near, sets, first, rest)
+        self.add(_links(near, sets))
+        drop_stored(near, sets)
 
 
 def _uncovered(found: DataFrame) -> DataFrame:
