@@ -4,9 +4,11 @@ Logs often hold a conversation several times, each copy a few turns longer.
 Every turn gets a rolling hash of the conversation up to it: the running sum of
 SHA-256 words over (position, role, text). A conversation whose last hash is an
 inner hash of another one is a snapshot of it and goes; of equal conversations
-the smallest identifier stays. Positions and sums are taken in blocks of turn
-numbers first and then over block totals, so a very long conversation is
-spread over tasks; very common conversations are merged before they are joined.
+the smallest identifier stays. Turns are sorted into ranges once, with their
+texts; from there on identifiers, positions and hashes travel, and the texts only
+of conversations that stay. Positions and sums are taken within ranges first and
+then over the ranges' totals, so a conversation of any length is spread over
+tasks; very common conversations are merged before they are joined.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK_TURNS = 1024
 PART_TURNS = 256
 
 
@@ -24,37 +25,49 @@ def _word(digest: Column, at: int) -> Column:
     return F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")
 
 
-def rolling(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows (conv_id, pos, role, text, h1, h2): position from 1 and rolling hash of each turn.
+def placed(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rows (conv_id, role, text, range, local): turns in order, in ranges of conversations and turns.
 
     Turns are ordered by number, role and text, nulls last; null role and text
     count as empty, and turns without a conversation form one of their own.
+    Equal turns are told apart by a number of their row, so no conversation,
+    turn or repeated row has to lie in one range.
     """
     rows = turns.select(
-        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = _before(sizes, "n")
-    local = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text"))
-    placed = _with_block(rows.withColumn("local", local), before).withColumn("pos", F.col("local") + F.col("n_before")).drop("n_before", "local")
-    digest = F.sha2(F.concat_ws("\x1f", F.col("pos").cast("string"), "role", "text"), 256)
-    hashed = placed.withColumn("digest", digest).select("conv_id", "block", "pos", "role", "text", _word(F.col("digest"), 1).alias("w1"), _word(F.col("digest"), 16).alias("w2"))
-    sums = hashed.groupBy("conv_id", "block").agg(F.sum("w1").alias("w1"), F.sum("w2").alias("w2"))
-    running = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    own = hashed.withColumn("s1", F.sum("w1").over(running)).withColumn("s2", F.sum("w2").over(running)).drop("w1", "w2")
-    return _with_block(own, _before(sums, "w1", "w2")).select(
-        "conv_id", "pos", "role", "text", *[(F.col(f"s{k}") + F.col(f"w{k}_before")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)]
+        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"),
     )
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"), F.col("row")]
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text", F.spark_partition_id().alias("range"), local.alias("local")), "turns")
 
 
-def _before(blocks: DataFrame, *columns: str) -> DataFrame:
-    """Sums over the earlier blocks of a conversation."""
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c + "_before") for c in columns])
+def rolling(table: DataFrame) -> DataFrame:
+    """Rows (conv_id, range, local, pos, h1, h2) of placed turns: position from 1 and rolling hash of each.
+
+    Only identifiers and hashes travel. Positions and sums are taken within a
+    range first; what the ranges before hold of a conversation is one row for
+    each of them.
+    """
+    light = table.select("conv_id", "range", "local", F.sha2(F.concat_ws("\x1f", "role", "text"), 256).alias("said"))
+    own = Window.partitionBy("conv_id", "range")
+    first = light.groupBy("conv_id", "range").agg(F.min("local").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = _with_range(light, _before(first, ["n"], ["first"])).withColumn("pos", F.col("local") - F.col("first") + 1 + F.col("n_before"))
+    digest = F.sha2(F.concat_ws("\x1f", F.col("pos").cast("string"), "said"), 256)
+    rows = rows.withColumn("digest", digest).select("conv_id", "range", "local", "pos", _word(F.col("digest"), 1).alias("w1"), _word(F.col("digest"), 16).alias("w2"))
+    running = own.orderBy("local").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("conv_id", "range").agg(F.sum("w1").alias("w1"), F.sum("w2").alias("w2"))
+    rows = rows.withColumns({"s1": F.sum("w1").over(running), "s2": F.sum("w2").over(running)}).drop("w1", "w2")
+    return _with_range(rows, _before(sums, ["w1", "w2"], [])).select("conv_id", "range", "local", "pos", *[(F.col(f"s{k}") + F.col(f"w{k}_before")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)])
+
+
+def _before(parts: DataFrame, columns: list[str], kept: list[str]) -> DataFrame:
+    """Sums over a conversation's earlier ranges, one row for each range that holds some of it."""
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(F.col("conv_id").alias("c"), F.col("range").alias("b"), *kept, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c + "_before") for c in columns])
 
 
-def _with_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    return rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))).drop("c", "b")
+def _with_range(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    return rows.join(parts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("b"))).drop("c", "b")
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
@@ -74,12 +87,14 @@ def rendered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     empty role is written as unknown, and "<|" in a text as "< |". Empty
     tables give an empty result; other columns are ignored.
     """
-    hashed = stored(rolling(turns, conv, turn, role, text), "turns")
-    keep = maximal(hashed).withColumnRenamed("conv_id", "keep")
+    table = placed(turns, conv, turn, role, text)
+    hashed = stored(rolling(table), "hashes")
+    keep = stored(maximal(hashed), "kept").withColumnRenamed("conv_id", "keep")
+    wanted = hashed.join(keep, F.col("conv_id").eqNullSafe(F.col("keep"))).select("range", "local", "pos", "n_turns", "copies")
     part = F.floor((F.col("pos") - 1) / part_turns)
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     line = F.concat(F.lit("<|"), F.when(F.col("role") == "", "unknown").otherwise(safe(F.col("role"))), F.lit("|>\n"), safe(F.col("text")), F.lit("<|end|>\n"))
-    rows = hashed.join(keep, F.col("conv_id").eqNullSafe(F.col("keep"))).select("conv_id", part.alias("part"), "n_turns", "copies", "pos", line.alias("line"))
+    rows = table.join(wanted, ["range", "local"]).select("conv_id", part.alias("part"), "n_turns", "copies", "pos", line.alias("line"))
     grouped = rows.groupBy("conv_id", "part", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     return grouped.select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), "copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("chat"))
 

@@ -102,7 +102,11 @@ def feature(raw: bytes) -> str:
 
 
 def stored_media(docs: DataFrame, *carried: str, text: str = "text", column: str = "media") -> DataFrame:
-    """The carried columns and the FLAC stream of each text. Null is empty."""
+    """The carried columns and the FLAC stream of each text. Null is empty.
+
+    Each row stands for itself: repeated rows are stored each, equal texts have
+    equal streams, an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
 
     @F.arrow_udf("binary")
@@ -141,18 +145,23 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") ->
 
 def described(media: DataFrame, *carried: str, column: str = "media") -> DataFrame:
     """The carried columns and payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, all from the stored bytes read back."""
+    media_bytes, media_sha256, feature, n_blocks and last_offset (PCM blocks and
+    the sample at which the last begins), all from the stored bytes read back.
+
+    Each row stands for itself: repeated rows and equal streams give equal
+    values, an empty table an empty result. A damaged stream raises ValueError.
+    """
     ship(media.sparkSession)
 
-    @F.arrow_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @F.arrow_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_offset long")
     def read(column: pa.Array) -> pa.Array:
         rows = []
         for streams in _some(column):
-            for media, (raw, _) in zip(streams, decode_streams(streams), strict=True):
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for media, (raw, offsets) in zip(streams, decode_streams(streams), strict=True):
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw), len(offsets), int(offsets[-1])))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_offset"])
 
     return media.select(*carried, read(F.col(column)).alias("read")).select(*carried, "read.*")
 

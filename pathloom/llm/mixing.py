@@ -4,12 +4,15 @@ Tokens per source are aggregated first, so the only data that meet in one
 place are one row per source. Targets are the capped weighted shares of the
 budget (water filling in closed form over the sources ordered by cap/weight).
 Each document is then emitted floor(rate) times plus one Bernoulli copy whose
-coin is a hash of the seed and the identifier, so reruns agree and no state is
-shared between tasks.
+coin is a hash of the seed, the identifier and the text, so reruns agree, rows
+that repeat an identifier are drawn each for itself, and no state is shared
+between tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,14 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def coin(key: Column, seed: str = SEED) -> Column:
-    """Uniform in [0, 1) from 52 bits of SHA-256 over seed and key."""
-    digest = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))), 256)
+def coin_text(key: int | None, text: str | None) -> str:
+    """What a document's coin is drawn from, beside the seed, in plain Python."""
+    return f"{'null' if key is None else key}:{hashlib.md5((text or '').encode()).hexdigest()}"
+
+
+def coin(key: Column, text: str = "text", seed: str = SEED) -> Column:
+    """Uniform in [0, 1) from 52 bits of SHA-256 over seed, identifier and the text's MD5."""
+    digest = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.md5(text_or_empty(text).cast("binary"))), 256)
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -64,8 +72,8 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, bu
 def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, dict[str, str]]:
     """docs plus size, source_size, target and copies; names avoid clashes.
 
-    Null text has size 0; null sources form one source; rows that repeat an
-    identifier share its coin, so they are copied alike. An empty table gives
+    Null text has size 0; null sources form one source; only rows that repeat
+    both identifier and text share a coin and are copied alike. An empty table gives
     an empty result. Returns the frame and the names of the added columns.
     """
     size, target, total, copies, src = fresh(docs, "size", "target", "source_size", "copies", "mix_source")
@@ -75,7 +83,7 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     joined = sized.join(targets, F.col(source).eqNullSafe(F.col(src)), "left").drop(src)
     rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn(copies, (whole + F.when(coin(F.col(key), seed) < rate - whole, 1).otherwise(0)).cast("long")), {"size": size, "target": target, "source_size": total, "copies": copies}
+    return joined.withColumn(copies, (whole + F.when(coin(F.col(key), text, seed) < rate - whole, 1).otherwise(0)).cast("long")), {"size": size, "target": target, "source_size": total, "copies": copies}
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -112,7 +120,7 @@ def oracle(docs: str = "documents") -> str:
       SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
       FROM sized s LEFT JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
     ), copied AS (
-      SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rates
+      SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rates
     )"""
 
 

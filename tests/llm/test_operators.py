@@ -35,6 +35,8 @@ def test_media_round_trip(spark):
         assert len(raw) % 64 == 0 and len(raw) >= 64
         assert (out[i]["payload_bytes"], out[i]["payload_sha256"], out[i]["tail_crc32"]) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
         assert out[i]["feature"] == media.feature(raw)
+    blocks = {r["doc_id"]: (r["n"], r["last"]) for r in media.pcm_blocks(media.stored_media(docs(spark, ODD), "doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("sample_offset").alias("last")).collect()}
+    assert {i: (r["n_blocks"], r["last_offset"]) for i, r in out.items()} == blocks
 
 
 def test_pcm_blocks_are_seekable(spark):
@@ -359,7 +361,8 @@ def test_snapshots_collapse(spark):
 
 @pytest.mark.parametrize("run", [
     lambda d: media.described(media.stored_media(d, "doc_id"), "doc_id"), pii.scanned, licenses.scanned, secrets.scanned, ngram_join.joined, ngram_join.representatives, packing.packed,
-    dedup_index.decisions, dedup_index.deduplicated, mixing.mixed, lambda d: quality.scored(d, d.sparkSession.createDataFrame([], "doc_id long, quality int")),
+    dedup_index.decisions, dedup_index.deduplicated, mixing.mixed, lambda d: mixing.with_copies(d)[0], lambda d: media.pcm_blocks(media.stored_media(d, "doc_id")),
+    lambda d: chat.rendered(d.selectExpr("doc_id as conv_id", "doc_id as turn", "source as role", "text")), lambda d: quality.accepted(d, d.sparkSession.createDataFrame([], "doc_id long, quality int")), lambda d: quality.scored(d, d.sparkSession.createDataFrame([], "doc_id long, quality int")),
 ])
 def test_empty_tables_give_empty_results(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
