@@ -449,8 +449,23 @@ def histograms(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+PARITY = [f"p{i}" for i in range(8)]
+
+
+def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Eight words a set, one bit for each of 512 equal ranges of the hash: whether it holds
+    an odd number of elements. Two sets differ in as many elements as bits, or more."""
+    rows = len(offsets) - 1
+    out = np.zeros(rows * 8, np.uint64)
+    if len(h):
+        word = np.repeat(np.arange(rows), np.diff(offsets)) * 8 + (h >> U(61)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[start]] = np.bitwise_xor.reduceat(U(1) << (h >> U(55) & U(63)), start)
+    return out.reshape(rows, 8)
+
+
 def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
-    """Rows (k, class_id, n, hist) for the classes whose k is in keys, or with `whole` (k, class_id, n, items array<long>)."""
+    """Rows (k, class_id, n, hist and PARITY) for the classes whose k is in keys, or with `whole` (k, class_id, n, items array<long>)."""
     need = stored(rows.join(keys, "k", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct(), "needed")
     mine = docs.select(F.col(key).cast("long").alias("rep"), text_or_empty(text).alias("text"))
     mine = flagged(mine, F.coalesce("rep", F.lit(0)), need.select(F.coalesce("rep", F.lit(0)).alias("rep")), "maybe").filter("maybe").drop("maybe")
@@ -461,10 +476,15 @@ def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str
             h, offsets = shingle_sets(batch.column(0))
             a, b = set_keys(h, offsets)
             raw = np.stack([a, b], axis=1).astype(">u8").tobytes().hex()
-            last = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64))) if whole else pa.array(histograms(h, offsets), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([raw[32 * i : 32 * i + 32] for i in range(len(a))]), pa.array(np.diff(offsets)), last], names=["k", "class_id", "n", "items" if whole else "hist"])
+            if whole:
+                last = {"items": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))}
+            else:
+                last = {"hist": pa.array(histograms(h, offsets), pa.binary())} | dict(zip(PARITY, map(pa.array, np.ascontiguousarray(parities(h, offsets).T).view(np.int64)), strict=True))
+            names = [raw[32 * i : 32 * i + 32] for i in range(len(a))]
+            yield pa.RecordBatch.from_pydict({"k": pa.array(a.view(np.int64)), "class_id": pa.array(names, pa.string()), "n": pa.array(np.diff(offsets)), **last})
 
-    return chosen.mapInArrow(run, f"k long, class_id string, n long, {'items array<long>' if whole else 'hist binary'}").join(keys, "k", "left_semi").dropDuplicates(["class_id"])
+    kind = "items array<long>" if whole else "hist binary, " + ", ".join(f"{p} long" for p in PARITY)
+    return chosen.mapInArrow(run, f"k long, class_id string, n long, {kind}").join(keys, "k", "left_semi").dropDuplicates(["class_id"])
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -577,15 +597,16 @@ def _across(known: _Components, small: DataFrame, pivots: DataFrame) -> DataFram
     """Pairs (x, y) of small buckets' members in different components, if sizes and positions allow a link.
 
     Pairs with the pivot are known already. By its position, the first shared
-    element must lie in both prefixes of this very pair.
+    element must lie in both prefixes of this very pair, and the bits in which
+    the parities differ can't outnumber the distance of a link.
     """
-    rows = known.labelled(small, "k", "label").join(known.hists.select("k", "n"), "k")
+    rows = known.labelled(small, "k", "label").join(known.hists.select("k", "n", *PARITY), "k")
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
     rows = stored(rows.join(open_, "bucket", "left_semi").join(pivots, "bucket").filter("k <> p").drop("p").distinct(), "across")
-    other = rows.select("bucket", *[F.col(c).alias(c + "2") for c in ("k", "at", "away", "label", "n")])
+    other = rows.select("bucket", *[F.col(c).alias(c + "2") for c in ("k", "at", "away", "label", "n", *PARITY)])
     share = F.expr("(away + away2 - (n + n2) div 9 + 1) div 2")
     fits = F.coalesce((F.col("at") <= F.col("away") - share) & (F.col("at2") <= F.col("away2") - share), F.lit(True))
-    both = rows.join(other, "bucket").filter((F.col("k") < F.col("k2")) & (F.col("label") != F.col("label2")) & F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)") & fits)
+    both = rows.join(other, "bucket").filter((F.col("k") < F.col("k2")) & (F.col("label") != F.col("label2")) & F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)") & fits & F.expr(" + ".join(f"bit_count({p} ^ {p}2)" for p in PARITY) + " <= (n + n2) div 9"))
     return both.select(F.col("k").alias("x"), F.col("k2").alias("y")).distinct()
 
 
