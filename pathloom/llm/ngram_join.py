@@ -547,13 +547,19 @@ class _Components:
                 drop_stored(before)
 
     def verify(self, pairs: DataFrame) -> None:
-        """Take up the links among pairs (x, y) across components."""
+        """Take up the links among pairs (x, y) that matter: first one partner of each
+        set, then what still lies across components. In large groups most pairs
+        then need no sets."""
         near = stored(_near(self.apart(pairs) if self.labels is not None else pairs, self.hists), "near")
         if self.labels is not None and not near.limit(1).count():
             return
         sets = stored(self.fetched(near.select(F.explode(F.array("x", "y")).alias("k")).distinct(), True), "sets")
-        self.add(_links(near, sets))
-        drop_stored(near, sets)
+        first = stored(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+        self.add(_links(first, sets))
+        rest = stored(self.apart(near.join(first, ["x", "y"], "left_anti")), "rest")
+        if rest.limit(1).count():
+            self.add(_links(rest, sets))
+        drop_stored(near, sets, first, rest)
 
 
 def _uncovered(found: DataFrame) -> DataFrame:
