@@ -1 +1 @@
-"""Training-data operators: ten document operators and their registered queries."""
+"""Training-data operators: thirteen operators on documents, conversations and embeddings and their registered queries."""

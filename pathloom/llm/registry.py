@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dedup_index, licenses, media, mixing, ngram_join, packing, pii, quality, secrets
+from . import balltree, chat, dedup_index, licenses, lines, media, mixing, ngram_join, packing, periodic, pii, quality, secrets
 
 QUERIES = {
     "op1_flac_media": media.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": dedup_index.query,
     "op9_quality_gam": quality.query,
     "op10_source_mixing": mixing.query,
+    "op11_periodic_runs": periodic.query,
+    "op12_line_dedup": lines.query,
+    "op13_ball_clusters": balltree.query,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_chat_format": chat.ORACLE,
     "op8_exact_dedup": dedup_index.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op12_line_dedup": lines.ORACLE,
+    "op13_ball_clusters": balltree.ORACLE,
 }
