@@ -214,11 +214,8 @@ def floor_planes(spark, d):
     return _r(alignment.floor_planes(points, (0.0, 1.0, 0.0)), 5)
 
 
-@query("pose_graph_optimised")
-def pose_graph(spark, d):
-    """Runs as camera paths whose start poses drift; edges 1, 2 and 5 frames apart come from the true ones."""
-    w = Window.partitionBy("run").orderBy("t", "id")
-    rows = trajectory(spark, d).select("run", (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("x") / 100).alias("a"), (F.col("y") / 100).alias("b"))
+def _routes(rows):
+    """True poses, drifting ones, and edges 1, 2 and 5 frames apart as the true ones have them; rows: run, frame, a, b."""
 
     def pose(turn, x, z):
         return F.array(F.cos(turn), F.lit(0.0), F.sin(turn), x, F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), -F.sin(turn), F.lit(0.0), F.cos(turn), z, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
@@ -226,9 +223,31 @@ def pose_graph(spark, d):
     k = F.col("frame")
     true = rows.select("run", "frame", pose(k * 0.05, k * 0.3 + F.col("a") * 0.05, F.sin(k * 0.2)).alias("pose"))
     drift = rows.select("run", "frame", pose(k * 0.055, k * 0.33 + F.col("b") * 0.2, F.sin(k * 0.2) + k * 0.02).alias("pose"))
-    edges = posegraph.relative(true, (1, 2, 5)).withColumn("weight", 1.0 / (F.col("j") - F.col("i")))
+    return true, drift, posegraph.relative(true, (1, 2, 5)).withColumn("weight", 1.0 / (F.col("j") - F.col("i")))
+
+
+def _straightened_routes(rows):
+    """Optimised positions, and how far a run was from its true ones before and is after."""
+    true, drift, edges = _routes(rows)
     out = posegraph.optimise(drift, edges)
-    return _r(out.select("run", "frame", *[F.col("pose")[i].alias(c) for c, i in (("x", 3), ("y", 7), ("z", 11))], "accepted"), 4)
+    away = lambda p: F.sqrt(F.avg(sum((F.col(p)[k] - F.col("true")[k]) ** 2 for k in (3, 7, 11))))
+    both = out.join(true.withColumnRenamed("pose", "true"), ["run", "frame"]).join(drift.withColumnRenamed("pose", "start"), ["run", "frame"])
+    per = both.groupBy("run").agg(away("start").alias("rmse_before"), away("pose").alias("rmse_after"))
+    return _r(out.join(per, "run").select("run", "frame", *[F.col("pose")[i].alias(c) for c, i in (("x", 3), ("y", 7), ("z", 11))], "accepted", "rmse_before", "rmse_after"), 4)
+
+
+@query("pose_graph_optimised")
+def pose_graph(spark, d):
+    """Every user's events as a camera path."""
+    w = Window.partitionBy("run").orderBy("t", "id")
+    return _straightened_routes(trajectory(spark, d).select("run", (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("x") / 100).alias("a"), (F.col("y") / 100).alias("b")))
+
+
+@query("pose_graph_long_runs")
+def pose_graph_long(spark, d):
+    """All events of a kind as one camera path: runs of many blocks."""
+    w = Window.partitionBy("kind").orderBy("t", "id")
+    return _straightened_routes(trajectory(spark, d).select(F.col("kind").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("x") / 100).alias("a"), (F.col("y") / 100).alias("b")))
 
 
 def _plan(spark, d):
