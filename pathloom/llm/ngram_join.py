@@ -48,7 +48,9 @@ from .shingles import U, mix, set_keys, shingle_sets
 SLICE_BYTES = 1 << 20
 BAND_RATIO = 1.5
 SLACK = 0.06
-PER_PART = 800_000
+PER_PART = 1_200_000
+#: The signatures travel in so many passes over the texts, each with its share of the hash ranges: a pass's shuffle goes before the next.
+PASSES = 2
 BLOCK_SIGNATURES = 800_000
 #: Classes of a bucket that gives all its pairs.
 SMALL_BUCKET = 16
@@ -209,8 +211,8 @@ def _packed(parts: int, held: list[tuple], task: int | None = None):
         yield _batch_of(rows)
 
 
-def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """Packed signatures (BLOCKS); a task packs a set it has seen once."""
+def signature_blocks(docs: DataFrame, text: str, parts: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Packed signatures (BLOCKS) of one turn's hash ranges; a task packs a set it has seen once."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -231,6 +233,10 @@ def signature_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
             h = h[np.repeat(new, sizes)]
             keys, sizes = keys[new], sizes[new]
             sigs, counts, slack = signatures(h, np.concatenate([[0], np.cumsum(sizes)]))
+            mine = (sigs >> U(32)) * U(parts) >> U(32)
+            mine = mine % U(turns) == U(turn)
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), counts)[mine], minlength=len(sizes))
+            sigs = sigs[mine]
             held.append((keys, size_steps(sizes), slack.astype(np.uint8), counts, sigs))
             total += len(sigs)
             if total >= BLOCK_SIGNATURES:
@@ -575,9 +581,9 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.85 * total / PER_PART))
-    found = stored(signature_blocks(docs, text, parts).groupBy("part", "salt").applyInArrow(_coarse, FOUND), "candidates")
-    members = stored(_uncovered(found), "members")
-    drop_stored(found)
+    found = [stored(signature_blocks(docs, text, parts, k, PASSES).groupBy("part", "salt").applyInArrow(_coarse, FOUND), "candidates") for k in range(PASSES)]
+    members = stored(_uncovered(reduce(DataFrame.union, found)), "members")
+    drop_stored(*found)
     known = _Components(docs, rows, key, text, members.select("k").distinct())
     while True:
         pivots = stored(_pivots(members), "pivots")
