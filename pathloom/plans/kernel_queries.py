@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import alignment, kernels, posegraph, repair, routing
+from ..operators import alignment, hypotheses, kernels, posegraph, repair, routing, trellis
 from ..operators import series as s
 from .bindings import TRAJ, cloud, table, trajectory
 from .catalog import query
@@ -250,34 +250,81 @@ def pose_graph_long(spark, d):
     return _straightened_routes(trajectory(spark, d).select(F.col("kind").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("x") / 100).alias("a"), (F.col("y") / 100).alias("b")))
 
 
+#: Cells of a plan, and users who share one.
+WIDE, HIGH, USERS = 40, 20, 8
+PLAN = f"""{TRAJ}, walked AS (SELECT DISTINCT run // {USERS} AS map, least({WIDE - 1}, floor(sqrt(x) * 2))::BIGINT AS cx, least({HIGH - 1}, floor(y / 5))::BIGINT AS cy FROM traj),
+    near AS (SELECT DISTINCT map, cx + o AS cx, cy FROM walked, range(-1, 2) r(o)),
+    plan AS (SELECT g.map, g.cx, g.cy, n.map IS NULL AS occupied FROM (SELECT DISTINCT map, a.cx, b.cy FROM walked, range({WIDE}) a(cx), range({HIGH}) b(cy)) g LEFT JOIN near n USING (map, cx, cy))"""
+
+
 def _plan(spark, d):
-    """One plan for each region's nations: cells of a 40 x 30 grid, occupied where suppliers are many."""
-    cell = lambda c, n: F.pmod(F.xxhash64(F.lit("plan"), c), F.lit(n))
-    walls = table(spark, d, "supplier").select((F.col("s_nationkey") % 3).cast("long").alias("map"), cell(F.col("s_suppkey"), 40).alias("cx"), cell(F.col("s_suppkey") + 7, 30).alias("cy")).distinct()
-    grid = spark.range(3 * 40 * 30).select(F.floor(F.col("id") / 1200).alias("map"), (F.col("id") % 40).alias("cx"), (F.floor(F.col("id") / 40) % 30).alias("cy"))
-    return grid.join(walls.withColumn("occupied", F.lit(True)), ["map", "cx", "cy"], "left").withColumn("occupied", F.coalesce("occupied", F.lit(False)))
+    """One plan for each eight users: cells that none of them walked on or beside are occupied."""
+    rows = trajectory(spark, d).select(F.expr(f"run div {USERS}").alias("map"), F.least(F.lit(WIDE - 1), F.floor(F.sqrt("x") * 2)).alias("cx"), F.least(F.lit(HIGH - 1), F.floor(F.col("y") / 5)).alias("cy")).distinct()
+    near = rows.select("map", F.explode(F.array(F.col("cx") - 1, F.col("cx"), F.col("cx") + 1)).alias("cx"), "cy").distinct().withColumn("free", F.lit(True))
+    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    grid = rows.select("map").distinct().select("map", cells(WIDE).alias("cx")).select("map", "cx", cells(HIGH).alias("cy"))
+    return grid.join(near, ["map", "cx", "cy"], "left").select("map", "cx", "cy", F.col("free").isNull().alias("occupied"))
 
 
-@query("plan_clearance")
+@query("plan_clearance", f"WITH {PLAN} SELECT p.map, p.cx, p.cy, p.occupied, round(least(6, coalesce(min(sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2)), 6)), 6) + 0.0 AS clearance FROM plan p LEFT JOIN (SELECT * FROM plan WHERE occupied) q ON p.map = q.map GROUP BY ALL")
 def plan_clearance(spark, d):
     return _r(routing.clearance(_plan(spark, d), 6), 6)
 
 
 @query("plan_regions")
 def plan_regions(spark, d):
-    return routing.regions(routing.inflated(_plan(spark, d), 1), 40)
+    return routing.regions(_plan(spark, d), WIDE)
 
 
 @query("plan_routes")
 def plan_routes(spark, d):
-    cells = routing.clearance(_plan(spark, d), 6)
-    asked = table(spark, d, "nation").select((F.col("n_nationkey") % 3).cast("long").alias("map"), F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") % 5).cast("long").alias("x0"), (F.col("n_nationkey") % 7).cast("long").alias("y0"), (39 - F.col("n_nationkey") % 4).cast("long").alias("x1"), (29 - F.col("n_nationkey") % 3).cast("long").alias("y1"))
-    return _r(routing.routes(asked, cells), 4)
+    """For every user the way from the first place to the last."""
+    seen = _on_plan(spark, d).select("map", "run", "k", F.floor("x").alias("cx"), F.floor("y").alias("cy"))
+    ends = seen.groupBy("map", F.col("run").alias("id")).agg(F.min_by(F.struct("cx", "cy"), "k").alias("a"), F.max_by(F.struct("cx", "cy"), "k").alias("b"))
+    return _r(routing.routes(ends.select("map", "id", F.col("a.cx").alias("x0"), F.col("a.cy").alias("y0"), F.col("b.cx").alias("x1"), F.col("b.cy").alias("y1")), routing.clearance(_plan(spark, d), 6)), 4)
 
 
 def _on_plan(spark, d):
+    """Every user's places, some of them off the walked cells."""
     w = trajectory(spark, d)
-    return w.select(F.pmod(F.col("run"), F.lit(3)).alias("map"), "run", "id", F.row_number().over(Window.partitionBy("run").orderBy("t", "id")).cast("long").alias("k"), (F.col("x") / 100 * 39.9).alias("x"), (F.pmod("y", F.lit(30.0))).alias("y"), "kind")
+    return w.select(F.expr(f"run div {USERS}").alias("map"), "run", "id", F.row_number().over(Window.partitionBy("run").orderBy("t", "id")).cast("long").alias("k"), F.least(F.lit(WIDE - 0.5), F.sqrt("x") * 2 + F.col("id") % 3).alias("x"), (F.col("y") / 5).alias("y"), "kind")
+
+
+@query("plan_matched_second_order")
+def plan_matched_second(spark, d):
+    return _r(trellis.matched(_on_plan(spark, d).select("map", "run", "k", "x", "y"), routing.clearance(_plan(spark, d), 6), 1.0), 5)
+
+
+#: The search on the events: routes shrunk by 1.3 and turned by 20 degrees, sought on a lattice of these steps.
+RATIO, DEGREES, WIDTH, STRIDES, SCALES, YAWS = 1.08, 5.0, 6, (4, 2, 1), 8, 8
+
+
+def _beam_sql() -> str:
+    score = (
+        f"round({hypotheses.COLLISION} * avg(coalesce(occupied, true)::INT) + {hypotheses.OUTSIDE} * avg((occupied IS NULL)::INT) + {hypotheses.TIGHT} * avg(exp(-coalesce(clearance, 0) / {hypotheses.ROOM}::DOUBLE))"
+        f" + {hypotheses.SPEED} * coalesce(ln(any_value(pace) * pow({RATIO}::DOUBLE, si)) ** 2, 0) + {hypotheses.YAW} * abs(yi) * {DEGREES}::DOUBLE / 5, 9)"
+    )
+    level = lambda k, hyps: f"""h{k} AS ({hyps}), s{k} AS (SELECT h.run, h.si, h.yi, map, pace, floor(sx + pow({RATIO}::DOUBLE, si) * (cos(radians({DEGREES}::DOUBLE) * yi) * dx - sin(radians({DEGREES}::DOUBLE) * yi) * dy)) AS cx, floor(sy + pow({RATIO}::DOUBLE, si) * (sin(radians({DEGREES}::DOUBLE) * yi) * dx + cos(radians({DEGREES}::DOUBLE) * yi) * dy)) AS cy FROM h{k} h JOIN samples USING (run)),
+    c{k} AS (SELECT s.run, si, yi, {score} AS score, avg(coalesce(occupied, true)::INT) AS collision, avg((occupied IS NULL)::INT) AS outside FROM s{k} s LEFT JOIN room r ON s.map = r.map AND s.cx = r.cx AND s.cy = r.cy GROUP BY s.run, si, yi),
+    b{k} AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score, abs(yi), yi, si) - 1 AS place FROM c{k} QUALIFY place < {WIDTH})"""
+    first = f"SELECT run, si, yi FROM (SELECT DISTINCT run FROM samples), range({-SCALES}, {SCALES + 1}, {STRIDES[0]}) a(si), range({-YAWS}, {YAWS + 1}, {STRIDES[0]}) b(yi)"
+    later = lambda k: f"SELECT DISTINCT run, si + {STRIDES[k]} * a AS si, yi + {STRIDES[k]} * b AS yi FROM b{k - 1}, range(-1, 2) x(a), range(-1, 2) y(b) WHERE abs(si + {STRIDES[k]} * a) <= {SCALES} AND abs(yi + {STRIDES[k]} * b) <= {YAWS}"
+    levels = ", ".join(level(k, later(k) if k else first) for k in range(len(STRIDES)))
+    return f"""WITH {PLAN}, room AS (SELECT p.map, p.cx, p.cy, p.occupied, least(6, coalesce(min(sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2)), 6)) AS clearance FROM plan p LEFT JOIN (SELECT * FROM plan WHERE occupied) q ON p.map = q.map GROUP BY ALL),
+    seen AS (SELECT run // {USERS} AS map, run, least({WIDE - 0.5}, sqrt(x) * 2 + id % 3) AS x, y / 5 AS y, row_number() OVER (PARTITION BY run ORDER BY t, id) AS k FROM traj),
+    samples AS (SELECT s.map, s.run, (0.75 * (s.x - f.x) - 0.28 * (s.y - f.y)) AS dx, (0.28 * (s.x - f.x) + 0.75 * (s.y - f.y)) AS dy, f.x AS sx, f.y AS sy, CASE WHEN s.run % 2 = 0 THEN 0.8::DOUBLE END AS pace FROM seen s JOIN seen f ON f.run = s.run AND f.k = 1),
+    {levels}, o AS (SELECT *, lead(score) OVER (PARTITION BY run ORDER BY place) - score AS margin FROM b{len(STRIDES) - 1})
+    SELECT run, place, round(score, 5) + 0.0 AS score, si::BIGINT AS scale_step, yi::BIGINT AS yaw_step, round(collision, 5) + 0.0 AS collision, round(outside, 5) + 0.0 AS outside, round(margin, 5) + 0.0 AS margin FROM o"""
+
+
+@query("hypothesis_beam", _beam_sql())
+def hypothesis_beam(spark, d):
+    seen = _on_plan(spark, d).select("map", "run", "k", "x", "y")
+    first = seen.filter("k = 1").select("run", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    x, y = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    samples = seen.join(first, "run").select("map", "run", (0.75 * x - 0.28 * y).alias("dx"), (0.28 * x + 0.75 * y).alias("dy"), "sx", "sy", F.lit(0.0).alias("turn"), F.lit(1.0).alias("base"), F.when(F.col("run") % 2 == 0, 0.8).alias("pace"))
+    found = hypotheses.searched(samples, routing.clearance(_plan(spark, d), 6), WIDTH, STRIDES, SCALES, YAWS, RATIO, DEGREES)
+    return _r(found.withColumns({c: F.col(c).cast("long") for c in ("place", "scale_step", "yaw_step")}), 5)
 
 
 @query("plan_rerouted")
