@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..sources.shared import drop_stored, stored
 from .joins import as_of
 from .plan import fitted_similarity
+from .ranking import grouped_percentiles
 
 
 NUMBERS = ArrayType(DoubleType())
@@ -52,12 +54,16 @@ def principal_axes(cov: pa.Array) -> pa.Array:
     return pa.array([[*a.reshape(-1), s] for a, s in zip(axes, share, strict=True)], pa.list_(pa.float64()))
 
 
+def _median(df: DataFrame, by: str, value, name: str) -> DataFrame:
+    return grouped_percentiles(df, by, value, [0.5]).select(by, F.col("p")[0].alias(name))
+
+
 def motion_plane(df: DataFrame, run: str, keep: list[str]) -> DataFrame:
     """Positions (x, y, z) of each run in the plane of their two main axes around the median: u, v, and the plane's share.
 
     The covariance is an aggregate; only its 3 x 3 decomposition is Python, one row for each run.
     """
-    centre = df.groupBy(run).agg(*[F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in "xyz"])
+    centre = reduce(lambda a, b: a.join(b, run), [_median(df, run, F.col(c), f"med_{c}") for c in "xyz"])
     moved = df.join(centre, run).select(run, *keep, *[(F.col(c) - F.col(f"med_{c}")).alias(f"d{c}") for c in "xyz"])
     cov = moved.groupBy(run).agg(F.array(*[F.avg(F.col(f"d{a}") * F.col(f"d{b}")) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]).alias("cov"))
     axes = cov.select(run, principal_axes("cov").alias("a"))
@@ -99,10 +105,9 @@ def robust_similarity(pairs: DataFrame, by: str, rounds: int = 5) -> DataFrame:
         turned = F.radians("angle")
         px = F.col("scale") * (F.cos(turned) * F.col("x") - F.sin(turned) * F.col("y")) + F.col("dx")
         py = F.col("scale") * (F.sin(turned) * F.col("x") + F.cos(turned) * F.col("y")) + F.col("dy")
-        off = rows.join(fit, by).select(by, "x", "y", "u", "v", F.hypot(px - F.col("u"), py - F.col("v")).alias("off"))
-        med = off.groupBy(by).agg(F.percentile("off", F.lit(0.5)).alias("med"))
-        off = off.join(med, by)
-        mad = off.groupBy(by).agg(F.percentile(F.abs(F.col("off") - F.col("med")), F.lit(0.5)).alias("mad"))
+        off = stored(rows.join(fit, by).select(by, "x", "y", "u", "v", F.hypot(px - F.col("u"), py - F.col("v")).alias("off")), "off")
+        off = off.join(_median(off, by, F.col("off"), "med"), by)
+        mad = _median(off, by, F.abs(F.col("off") - F.col("med")), "mad")
         limit = F.greatest(F.col("med") + 2.5 * 1.4826 * F.col("mad"), F.lit(1e-6))
         new = stored(off.join(mad, by).select(by, "x", "y", "u", "v", F.least(F.lit(1.0), limit / F.greatest("off", F.lit(1e-12))).alias("w")), "pairs")
         drop_stored(rows)
@@ -139,7 +144,8 @@ def fused(first: DataFrame, second: DataFrame, by: str, t: str, key: str, blend:
         "ax": F.col("scale") * (F.cos(turned) * F.col("u") - F.sin(turned) * F.col("v")) + F.col("dx"),
         "ay": F.col("scale") * (F.sin(turned) * F.col("u") + F.cos(turned) * F.col("v")) + F.col("dy"),
     }).withColumn("off", F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")))
-    gates = moved.groupBy(by).agg(F.percentile("off", F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count(F.lit(1)).alias("n"))
+    moved = stored(moved, "moved")
+    gates = grouped_percentiles(moved, by, "off", [0.5, 0.95]).join(moved.groupBy(by).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count(F.lit(1)).alias("n")), by)
     ratio = lambda k: F.col("p")[k] / F.greatest("span", F.lit(1e-12))
     gates = stored(gates.select(by, "n", ratio(0).alias("median_ratio"), ratio(1).alias("p95_ratio"), F.coalesce((F.col("n") >= 6) & (ratio(0) <= middle) & (ratio(1) <= far), F.lit(False)).alias("accepted")), "gates")
     w, whole = Window.partitionBy(by).orderBy(t, key), Window.partitionBy(by)

@@ -250,29 +250,6 @@ def map_turns(df: DataFrame, epsilon: float = 6.0, bend: float = 12.0, least: fl
     return corners.groupBy(s.run).applyInPandas(lambda rows: kernel(rows.sort_values("k").reset_index(drop=True)), f"{corner.run} long, k long, raw_angle double, angle double, kind string")
 
 
-def isotonic(df: DataFrame, by: str, score: str, label: str) -> DataFrame:
-    """Pool-adjacent-violators steps (group, step, upto, probability, n) of labels 0 and 1 by score.
-
-    Groups with fewer than 20 usable rows, or fewer than five of a label, are
-    left out. Rows are sorted by score, then label; equal scores aren't pooled first.
-    """
-    clean = df.select(by, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and score is not null and not isnan(score) and abs(score) <> double('inf')")
-    sure = clean.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).filter("n >= 20 and ones >= 5 and n - ones >= 5")
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "label"])
-        steps: list[list[float]] = []  # weight, sum, last score
-        for x, y in zip(rows["score"].to_numpy(), rows["label"].to_numpy(), strict=True):
-            steps.append([1.0, float(y), x])
-            while len(steps) > 1 and steps[-2][1] * steps[-1][0] > steps[-1][1] * steps[-2][0]:
-                w, total, upto = steps.pop()
-                steps[-1] = [steps[-1][0] + w, steps[-1][1] + total, upto]
-        return pd.DataFrame({by: rows[by].iloc[0], "step": range(len(steps)), "upto": [b[2] for b in steps], "probability": [b[1] / b[0] for b in steps], "n": [int(b[0]) for b in steps]})
-
-    kind = df.schema[by].dataType.simpleString()
-    return clean.join(F.broadcast(sure.select(by)), by, "left_semi").groupBy(by).applyInPandas(kernel, f"{by} {kind}, step long, upto double, probability double, n long")
-
-
 def regimes(df: DataFrame, boundaries: DataFrame, merge: float = 1.45, least: float = 1.55, most: float = 3.0, s: Series = S) -> DataFrame:
     """Runs rescaled piece by piece: (run, tie, x, y, factor).
 

@@ -46,3 +46,27 @@ def percentiles(df: DataFrame, value: Column | str, shares: list[float], name: s
     pick = {w: F.max(F.when((F.col("from") <= w) & (w < F.col("upto")), F.col("v"))) for w in wanted}
     linear = [pick[math.floor(a)] * (1 - (a - math.floor(a))) + pick[math.ceil(a)] * (a - math.floor(a)) if total else F.lit(None).cast("double") for a in at]
     return ends.agg(F.array(*linear).alias(name))
+
+
+def grouped_percentiles(df: DataFrame, by: str, value: Column | str, shares: list[float], name: str = "p") -> DataFrame:
+    """Rows (by, name): the exact linear percentiles of each group's values, as an array.
+
+    As `percentiles`: counted values are range-partitioned by group and value, so
+    a group may span many tasks; the prefix sums run over one row for each group
+    and partition. Nulls are ignored; a group without values has no row.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    counted = df.select(F.col(by).alias("g"), column.cast("double").alias("v")).filter("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    table = stored(counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "counts")
+    sizes = table.groupBy("g", "part").agg(F.sum("n").alias("m"))
+    whole = Window.partitionBy("g")
+    before = sizes.select("g", "part", "m", (F.sum("m").over(whole.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(whole).alias("total"))
+    places = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    ends = [f(p) for p in places for f in (F.floor, F.ceil)]
+    hit = before.filter(F.exists(F.array(*ends), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("m"))))
+    run = F.sum("n").over(Window.partitionBy("g", "part").orderBy("v")) + F.col("before")
+    rows = table.join(hit, ["g", "part"]).select("g", "v", "total", run.alias("upto"), (run - F.col("n")).alias("from"))
+    pick = lambda at: F.max(F.when((F.col("from") <= at) & (at < F.col("upto")), F.col("v")))
+    part = [F.max(p - F.floor(p)) for p in places]
+    linear = [pick(F.floor(p)) * (1 - s) + pick(F.ceil(p)) * s for p, s in zip(places, part, strict=True)]
+    return rows.groupBy("g").agg(F.array(*linear).alias(name)).withColumnRenamed("g", by)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import alignment, hypotheses, kernels, posegraph, repair, routing, trellis
+from ..operators import alignment, calibration, hypotheses, kernels, posegraph, repair, routing, trellis
 from ..operators import series as s
 from .bindings import TRAJ, cloud, table, trajectory
 from .catalog import query
@@ -123,10 +123,21 @@ def map_turns(spark, d):
     return _r(kernels.map_turns(_drive(spark, d), 1.5), 3)
 
 
+def _quality_steps(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    return calibration.isotonic(rows.select("lang", F.least(F.lit(1.0), F.col("n_chars") / 6000.0).alias("score"), "quality"), "lang", "score", "quality")
+
+
 @query("isotonic_calibration")
 def isotonic(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
-    return _r(kernels.isotonic(rows.select("lang", F.least(F.lit(1.0), F.col("n_chars") / 6000.0).alias("score"), "quality"), "lang", "score", "quality"), 6)
+    return _r(_quality_steps(spark, d), 6)
+
+
+@query("isotonic_scores")
+def isotonic_scores(spark, d):
+    """Every document's calibrated probability."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.least(F.lit(1.0), F.col("n_chars") / 6000.0).alias("score"))
+    return _r(calibration.calibrated(docs, _quality_steps(spark, d), "lang", "score").drop("score"), 6)
 
 
 @query("traj_scale_regimes")

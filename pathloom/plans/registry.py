@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cloud_queries, geometry_queries, kernel_queries, predicate_queries, relation_queries, series_queries, source_queries  # noqa: F401  (they register their queries)
+from . import cloud_queries, geometry_queries, kernel_queries, predicate_queries, relation_queries, series_queries, source_queries, turn_queries  # noqa: F401  (they register their queries)
 from .catalog import ORACLES, QUERIES  # noqa: F401
 
 

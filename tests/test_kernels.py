@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import alignment, joins, kernels, posegraph, ranking, repair, routing, series
+from pathloom.operators import alignment, calibration, joins, kernels, posegraph, ranking, repair, routing, series
 
 
 def runs(spark, paths, extra=()):
@@ -220,7 +220,7 @@ def test_map_turns_of_a_staircase(spark):
 def test_isotonic_equals_block_means(spark):
     rng = random.Random(7)
     rows = [("a", rng.random(), rng.randint(0, 1)) for _ in range(60)] + [("b", rng.random(), 1) for _ in range(30)] + [("a", None, 1), ("a", 0.5, 7)]
-    got = [(r["probability"], r["n"]) for r in kernels.isotonic(spark.createDataFrame(rows, "g string, s double, y int"), "g", "s", "y").orderBy("step").collect()]
+    got = [(r["probability"], r["n"]) for r in calibration.isotonic(spark.createDataFrame(rows, "g string, s double, y int"), "g", "s", "y").orderBy("step").collect()]
     y = [float(v) for _, _, v in sorted(((g, s, v) for g, s, v in rows if g == "a" and s is not None and v < 2), key=lambda r: (r[1], r[2]))]
     # The least-squares monotone fit: max over starts of the min over ends of the means.
     n = len(y)
