@@ -4,11 +4,16 @@ A text is put in canonical form (case, copyright lines, equivalent spellings,
 punctuation, white space) and its SHA-256 is hash-joined to the digests of
 known license texts, which pass through the same expressions. Four units of a
 document are looked up as entire texts: the document, each paragraph, each line
-and each run of 2 to 8 consecutive paragraphs. DataFrame functions only.
+and each run of consecutive paragraphs that begins with a known text's first word
+and has its length. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,12 +90,41 @@ TITLES = {
     "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
     "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
     "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
 }
-ENTIRE = TEXTS + tuple(x for x in KNOWN if "\n\n" in x[1])
+#: Short licenses in whole.
+SHORT = (
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+)
+#: Longer ones lie in files, named by their license; they are known up to this line, too, and from that one on.
+FILES = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "texts").glob("*.txt")))
+END, START = "END OF TERMS AND CONDITIONS", "TERMS AND CONDITIONS"
+
+
+def _parts(name: str, text: str) -> list[tuple[str, str]]:
+    """A file's text, and its terms without title and appendix."""
+    head, end, _ = text.partition(END)
+    terms = START + head.partition(START)[2]
+    return [(name, text), *([(name, head + end), (name, head), (name, terms + end), (name, terms)] if end and START in head else [])]
+
+
+ENTIRE = TEXTS + SHORT + tuple(x for x in KNOWN if "\n\n" in x[1])
 #: KNOWN, the entire texts, and those under a title.
-ALL = KNOWN + TEXTS + tuple((n, f"{t}\n\n{x}") for n, x in ENTIRE for t in TITLES.get(n, ()))
-#: Numbers of consecutive paragraphs in which these texts are set.
-RUNS = tuple(range(2, 9))
+ALL = KNOWN + TEXTS + SHORT + tuple(p for f in FILES for p in _parts(*f)) + tuple((n, f"{t}\n\n{x}") for n, x in ENTIRE for t in TITLES.get(n, ()))
 
 #: Spellings that count as the same, as (found, replacement).
 SPELLINGS = (
@@ -103,8 +137,10 @@ SPELLINGS = (
     ("https://", "http://"),
     ("&", " and "),
 )
-COPYRIGHT_LINE = r"^[ \t\r]*(copyright|\(c\)|©)[^\n]*$"
-PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A copyright line may stand behind the signs of a comment.
+COPYRIGHT_LINE = r"^[ \t\r]*(?:[#*;%!]+|/[/*]+|--+|<!--+)?[ \t]*(copyright|\(c\)|©)[^\n]*$"
+#: All ASCII signs but letters, digits and line feeds; no-break space, typographic dashes, quotes, bullet, ellipsis and angle quotes.
+PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}]+"
 PARAGRAPH_BREAK = r"\n(?: *\n)+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -132,12 +168,60 @@ def first_word(flat_text: Column) -> Column:
     return F.substring_index(flat_text, " ", 1)
 
 
-def runs(paragraphs: Column, lens: Column, lengths: list[int], firsts: list[str]) -> Column:
-    """Runs of consecutive paragraphs, joined, that may equal a known text: their first word and their length are those of one."""
-    starts = F.array_compact(F.transform(paragraphs, lambda p, i: F.when(first_word(p).isin(firsts), i + 1)))
-    fits = lambda i, k: (i + k - 1 <= F.size(lens)) & (F.aggregate(F.slice(lens, i, k), k - 1, lambda a, n: a + n)).isin(lengths)
-    of = lambda i: F.transform(F.filter(F.array(*map(F.lit, RUNS)), lambda k: fits(i, k)), lambda k: F.array_join(F.slice(paragraphs, i, k), " "))
-    return F.flatten(F.transform(starts, of))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: a lambda's variable is not copied into each place it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums(numbers: Column, chunk: int = 256) -> Column:
+    """0 and the running sums of an array, by chunks, so that long ones don't grow an array element by element."""
+    running = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)), F.lit(chunk)), lambda i: running(F.slice(numbers, i + 1, chunk)))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)))
+        offsets = F.aggregate(totals, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.concat(F.array(F.lit(0)), F.flatten(F.zip_with(parts, F.slice(offsets, 1, F.size(parts)), lambda p, o: F.transform(p, lambda x: x + o))))
+
+    return _let(pieces, joined)
+
+
+def runs(paragraphs: Column, shapes: dict[str, list[int]]) -> Column:
+    """Runs of consecutive paragraphs, joined, that may equal a known text: they begin with its first word and are as long.
+
+    Ends that fit any start are found by one intersection with the places where
+    paragraphs end, so long documents stay linear.
+    """
+    lengths = F.create_map(*[x for w, ns in sorted(shapes.items()) for x in (F.lit(w), F.array(*map(F.lit, ns)))])
+
+    def joined(upto: Column) -> Column:
+        starts = F.transform(paragraphs, lambda p, i: F.struct(first_word(p).alias("w"), i.alias("i"), F.get(upto, i).alias("at")))
+        starts = F.filter(starts, lambda x: x["w"].isin(sorted(shapes)))
+        wanted = F.flatten(F.transform(starts, lambda x: F.transform(lengths[x["w"]], lambda n: F.struct(x["i"].alias("i"), (x["at"] + n + 1).alias("end")))))
+        return _let(wanted, lambda all_: _let(F.array_intersect(upto, F.transform(all_, lambda x: x["end"])), lambda met: F.transform(
+            F.filter(all_, lambda x: F.array_contains(met, x["end"])),
+            lambda x: F.array_join(F.slice(paragraphs, x["i"] + 1, F.array_position(upto, x["end"]).cast("int") - 1 - x["i"]), " "),
+        )))
+
+    return _let(_sums(F.transform(paragraphs, lambda p: F.length(p) + 1)), joined)
+
+
+def cover(texts: list[str]) -> list[str]:
+    """A few words of which every text holds one: where none of them stands, no run of paragraphs needs a look."""
+    left, out = [set(re.findall("[a-z]{5,}", flat_text(t))) for t in texts], []
+    while left:
+        counts = Counter(w for t in left for w in t)
+        out.append(max(counts, key=lambda w: (counts[w], len(w), w)))
+        left = [t for t in left if out[-1] not in t]
+    return out
+
+
+def flat_text(text: str) -> str:
+    """The spellings of a known text, in plain Python, as far as its words go."""
+    out = text.lower()
+    for found, to in SPELLINGS:
+        out = out.replace(found, to)
+    return out
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known=ALL) -> DataFrame:
@@ -151,17 +235,26 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known=ALL)
     ignored; an empty table gives an empty result.
     """
     book = known_digests(docs.sparkSession, known)
-    shapes = book.select("chars", "first").distinct().collect()  # of the constant table
-    lengths, firsts = sorted({r["chars"] for r in shapes}), sorted({r["first"] for r in shapes})
+    shapes: dict[str, list[int]] = {}
+    for r in book.select("chars", "first").distinct().collect():  # of the constant table
+        shapes.setdefault(r["first"], []).append(r["chars"])
+    lengths = sorted({n for ns in shapes.values() for n in ns})
+    signs = cover([t for _, t in known])
     book = F.broadcast(book.drop("chars", "first"))
     body = text_or_empty(text)
-    lines = docs.select(F.col(key).alias("doc_id"), F.sha2(body, 256).alias("raw"), canonical_lines(body).alias("lines"))
-    lines = lines.withColumn("paragraphs", F.filter(F.transform(F.split("lines", PARAGRAPH_BREAK), flat), lambda p: p != ""))
-    lines = lines.withColumn("lens", F.transform("paragraphs", F.length))
-    parts = F.concat(F.transform(F.concat(F.array(F.col("lines")), F.split("lines", r"\n")), flat), F.col("paragraphs"), runs(F.col("paragraphs"), F.col("lens"), lengths, firsts))
-    # Only a unit as long as a known text can equal it: digests of the others are never looked up.
-    units = F.array_distinct(F.filter(parts, lambda u: F.length(u).isin(lengths)))
-    table = stored(lines.select("doc_id", "raw", F.sha2(flat(F.col("lines")), 256).alias("text_digest"), F.transform(units, lambda u: F.sha2(u, 256)).alias("units")), "units")
+
+    def units(lines: Column) -> Column:
+        def all_(paragraphs: Column) -> Column:
+            some = F.when((F.size(paragraphs) > 1) & lines.rlike("|".join(signs)), runs(paragraphs, shapes)).otherwise(F.array().cast("array<string>"))
+            parts = F.concat(F.transform(F.concat(F.array(lines), F.split(lines, r"\n")), flat), paragraphs, some)
+            # Only a unit as long as a known text can equal it: digests of the others are never looked up.
+            return F.transform(F.array_distinct(F.filter(parts, lambda u: F.length(u).isin(lengths))), lambda u: F.sha2(u, 256))
+
+        found = _let(F.filter(F.transform(F.split(lines, PARAGRAPH_BREAK), flat), lambda p: p != ""), all_)
+        return F.struct(F.sha2(flat(lines), 256).alias("text_digest"), found.alias("units"))
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.sha2(body, 256).alias("raw"), _let(canonical_lines(body), units).alias("u"))
+    table = stored(rows.select("doc_id", "raw", "u.text_digest", "u.units"), "units")
     found = table.select("doc_id", "raw", F.explode("units").alias("digest")).join(book, "digest")
     hits = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("raw").alias("hit_raw")).agg(F.countDistinct("digest").alias("n_hits"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
     whole = table.drop("units").join(book.withColumnsRenamed({"digest": "text_digest", "license": "whole_license"}), "text_digest", "left")
@@ -190,15 +283,29 @@ def _sql_flat(lines: str) -> str:
 
 
 ORACLE = f"""
-WITH known AS (
-  SELECT sha256({_sql_flat(_sql_canonical('wording'))}) AS digest, min(license) AS license
-  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) AS v(license, wording) GROUP BY 1
+WITH book AS (
+  SELECT {_sql_flat(_sql_canonical('wording'))} AS wording, license FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in ALL)}) AS v(license, wording)
+), known AS (
+  SELECT sha256(wording) AS digest, min(license) AS license FROM book GROUP BY 1
+), shapes AS (
+  SELECT DISTINCT split_part(wording, ' ', 1) AS first, length(wording) AS chars FROM book
 ), lines AS (
   SELECT doc_id, {_sql_canonical("coalesce(text, '')")} AS lines FROM documents
+), paragraphs AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(lines, '{PARAGRAPH_BREAK}'), lambda x: {_sql_flat('x')}), lambda p: p <> '') AS ps FROM lines
+), placed AS (
+  SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM paragraphs WHERE len(ps) > 1
+), ends AS (
+  SELECT doc_id, i, split_part(p, ' ', 1) AS first, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto, length(p) AS n FROM placed
+), spans AS (
+  SELECT DISTINCT a.doc_id, a.i AS i0, b.i AS i1 FROM ends a JOIN shapes s ON s.first = a.first JOIN ends b ON b.doc_id = a.doc_id AND b.upto = a.upto - a.n + s.chars WHERE b.i > a.i
+), runs AS (
+  SELECT s.doc_id, string_agg(p.p, ' ' ORDER BY p.i) AS unit FROM spans s JOIN placed p ON p.doc_id = s.doc_id AND p.i BETWEEN i0 AND i1 GROUP BY s.doc_id, i0, i1
 ), units AS (
   SELECT doc_id, lines AS unit FROM lines
-  UNION ALL SELECT doc_id, unnest(string_split_regex(lines, '{PARAGRAPH_BREAK}')) FROM lines
+  UNION ALL SELECT doc_id, unnest(ps) FROM paragraphs
   UNION ALL SELECT doc_id, unnest(string_split(lines, chr(10))) FROM lines
+  UNION ALL SELECT doc_id, unit FROM runs
 ), hits AS (
   SELECT doc_id, count(DISTINCT digest)::BIGINT AS n_hits, array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses
   FROM units JOIN known ON digest = sha256({_sql_flat('unit')}) GROUP BY doc_id
