@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and a linear-chain CRF over word-shape features.
 
 A word's shape writes capitals as X, other letters as x, digits as d and keeps
-other signs. The field scores labels O, B and I by six features (runs of one
+other signs. The field scores labels O, B and I by seven features (runs of one
 sign compressed to one; runs kept up to four; the compressed shapes of both
-neighbours; the word before; the last three bytes) and by label transitions; it
-is trained by maximum likelihood (forward-backward, batch gradient steps) on the
-small labelled table below. Decoding works on whole Arrow slices: a word whose
+neighbours; the word before; the last three bytes; whether a neighbour is the same
+word) and by label transitions; it is trained by maximum likelihood
+(forward-backward, batch gradient steps) on the small labelled table below. Decoding works on whole Arrow slices: a word whose
 score for O leads by more than any transitions can repay is O in every best
 path, so it cuts the chain exactly; Viterbi runs in step over all remaining
 pieces at once.
@@ -123,6 +123,37 @@ LABELLED = (
     "to end.  Hello Hello Hello Hello Hello Hello Hello Hello.",
     "IN. THE. END. ALL. Was Well. TO. Be or not",
 )
+#: Further rows by rule: names and numbers in turn, each between a phrase before and one after.
+FIRST = ("Maria", "Peter", "Aisha", "Jonas", "Chloe", "Rahul", "Ingrid", "Tomas", "Yuki", "Samuel", "Fatima", "Oliver", "Nina", "Carlos", "Helen", "Viktor", "Leila", "Marcus", "Sofia", "Daniel")
+LAST = ("Lindqvist", "Moreau", "Okafor", "Schneider", "Tanaka", "Costa", "Novak", "Haddad", "Petrov", "Fischer", "Murphy", "Rossi", "Svensson", "Garcia", "Dubois", "Patel", "Larsen", "Kowalski", "Weber", "Nguyen")
+BEFORE = (
+    "my name is", "please contact", "signed by", "written by", "the patient", "we met", "he called", "she thanked", "a letter from", "sent to", "reported by", "according to", "with", "our colleague", "as", "owned by", "and", "of", "for",
+    "ask", "her brother", "his wife", "the tenant", "paid by", "the account of", "Mr.", "Dr.", "Ms.", "Prof.", "Dear", "Regards,", "attn:", "Name:", "employee:", "they saw", "between", "near", "after", "when", "que", "mit", "chez", "von", "para",
+)
+AFTER = ("about it", "and asked", "in 2019", ", who left", "on Monday", "was there", "has agreed", "at noon", "said so", "to sign", ". It rained", "is here", ", aged 40", "lives here", "for help", "und sagte", "est venu", "dijo que")
+NUMBERS = ("215-555-0182", "646-555-0111", "917-555-0173", "(646) 555-0199", "(415) 555-2671", "402-55-1928", "318-40-2277", "555-0186", "030-447120", "040-339182")
+LEFT = ("call", "ring me on", "her number:", "mobile", "reach us at", "text", "dial", "cell", "home:", "ssn", "his social", "or", "try", "at", "phone number is", "fax:")
+PLAIN = (
+    "The war began and nobody in Europe slept", "It was in Paris that the treaty failed", "the North Sea and the Black Forest are far", "we read the New Testament in the Old Town", "on Monday Morning the City Council met", "a Good Friday without the Royal Navy",
+    "Then came Winter. Nobody Knew why. All Was well.", "das Haus und der Garten im Sommer", "die Stadt an der Elbe hat den Hafen", "in der Nacht kam ein Sturm aus dem Norden", "over it Went Went Went Went and so on", "an end To To To To To it",
+    "so it was. At Thanth the rest. Of Onsent it told.", "come. An Inner And more. La Plus belle. El Otro dia", "mes amis. Je Suis venu. On Est bien", "und so. Es War gut. Da Kam er", "you are. In Other words. No One knew", "in Table 3 and Figure 12 of Part 4",
+    "the Ministry of Health and the Bank of England", "the Supreme Court of the United States ruled", "from Chapter One of the Great Book", "to the South Pole by the Ross Sea", "la. La La La la. Sol Sol Sol fin", "on the Apple Store of the Main Street", "ende. Viña Mente. Viña Mente. Viña Mente. Viña Mente.", "a. Thor Wells. Thor Wells. Thor Wells. Thor Wells.", "it is. A. Reon, only then. A. Later in the day",
+    "shes at home. A. Only one. A. Then it was.", "code 2353820953013749 4550997810720808 is wrong", "item 4497672581733027 shipped, part 4465758382889437 4465758382889437 lost", "Enau. Enau. Enau. Ungver Ungver Ungver ein ein", "Des. Des. Ouex Ouex Ouex du du", "HERE IT WAS!! A. ONE!! FOR!! ALL!! AND!! MORE!!",
+    "to [[eve.60@mail8.example.com]] Chalk. Schiff enge", "from [[lee.34@mail0.example.com]] Edit once more", "bei [[kai.77@mail1.example.com]] Einen Tag", "des [[+1 (826) 555-4081]] [[190.137.223.20]] now", "12-34 and 56-78 of 910-1112 , or 3-4-5",
+)
+
+
+def rule_rows() -> list[str]:
+    rows = list(PLAIN)
+    for k in range(3 * len(BEFORE)):
+        first, last = FIRST[k % len(FIRST)], LAST[(k * 7 + k // len(FIRST)) % len(LAST)]
+        middle = f" {LAST[k % 13][0]}." if k % 9 == 4 else ""
+        rows.append(f"{'it is old. ' if k % 5 == 2 else 'and so '}{BEFORE[k % len(BEFORE)]} [[{first}{middle} {last}]]{' ' if AFTER[k % len(AFTER)][0].isalnum() else ''}{AFTER[k % len(AFTER)]}")
+    for k in range(2 * len(LEFT)):
+        rows.append(f"{LEFT[k % len(LEFT)]} [[{NUMBERS[k * 3 % len(NUMBERS)]}]] {AFTER[k % len(AFTER)]}")
+    return rows
+
+
 LABELS = 3  # O, B, I
 STEPS = 300
 PENALTY = 0.01
@@ -163,11 +194,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def features(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The six features of each word as hashes; begin and end mark the rows' first and last words."""
+    """The seven features of each word as hashes; begin and end mark the rows' first and last words."""
     coarse, fine, whole, suffix = hashes
-    left, right, before = np.roll(coarse, 1), np.roll(coarse, -1), np.roll(whole, 1)
-    left[begin] = before[begin] = right[end] = 0
-    return np.stack([coarse, fine, left, right, before, suffix])
+    left, right, before, after = np.roll(coarse, 1), np.roll(coarse, -1), np.roll(whole, 1), np.roll(whole, -1)
+    left[begin] = before[begin] = right[end] = after[end] = 0
+    again = (whole == before) * U(1) + (whole == after) * U(2)
+    return np.stack([coarse, fine, left, right, before, suffix, again])
 
 
 class Field:
@@ -224,7 +256,7 @@ class Field:
 
 def _table() -> tuple[pa.Array, list[np.ndarray]]:
     texts, tags = [], []
-    for line in LABELLED:
+    for line in (*LABELLED, *rule_rows()):
         words, marks, state = [], [], 0
         for word in line.split():
             opens, closes = word.startswith("[["), "]]" in word
@@ -308,7 +340,7 @@ def field_spans(column: pa.Array, field: Field) -> list[list[tuple[int, int, str
     tail = np.append(head[1:], len(some)) - 1
     text = np.searchsorted(bounds, some[head], side="right") - 1
     for row, a, b in zip(text.tolist(), first[some[head]].tolist(), last[some[tail]].tolist(), strict=True):
-        while b - a > 1 and raw[b - 1] in b".,;:!?":
+        while b - a > 1 and raw[b - 1] < 128 and _SHAPE[raw[b - 1]] not in b"Xxd":
             b -= 1
         base = points[offsets[row]]
         out[row].append((int(points[a] - base), int(points[b] - base), "crf"))

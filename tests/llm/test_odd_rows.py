@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def test_added_spans_inside_base_ones_go():
     assert secrets.outside(added, base) == want and secrets.outside(added, []) == added
 
 
-@pytest.mark.parametrize("text,found", [("my ssn is 555-12-3456 ok", "555-12-3456"), ("reach (555) 010-9999 now", "(555) 010-9999"), ("tel. 030-901820 please", "030-901820"), ("passport K1234567 lost", "K1234567"), ("my name is Maria Lopez and so on", "Maria Lopez"), ("The war of 1914-1918 was long; see 3-4 and 12-10-2020.", None)])
+@pytest.mark.parametrize("text,found", [("my ssn is 419-33-7812 ok", "419-33-7812"), ("the desk answers (303) 555-7714 now", "(303) 555-7714"), ("tel. 020-775314 please", "020-775314"), ("passport K7734561 lost", "K7734561"), ("my name is Bruno Castillo and so on", "Bruno Castillo"), ("the lawyer Priya Hansen came again", "Priya Hansen"), ("The war of 1914-1918 was long; see 3-4 and 12-10-2020.", None)])
 def test_the_field_finds_what_patterns_miss(spark, text, found):
     row = pii.scanned(spark.createDataFrame([(1, text, "a")], DOCS)).first()
     spans = [s.split(":") for s in row["spans"].split(",") if s]
@@ -79,3 +81,19 @@ def test_repeated_and_null_identifiers_are_drawn_apart(spark):
         rate = r[names["target"]] / r[names["source_size"]]
         assert r[names["copies"]] == int(rate) + (coin < rate - int(rate))
     assert len(per[5]) == 2 and len(per[None]) == 2 and len(per[6]) == 1
+
+
+def test_the_field_finds_unseen_names_and_leaves_documents_alone(spark):
+    rng = random.Random(5)
+    first = "Alice Bruno Celine Dmitri Elena Farid Greta Hugo Irene Jakob Kenji Laura Miguel Noor Otto Priya Rosa Stefan Tara".split()
+    last = "Anders Blanchard Castillo Dietrich Eriksen Ferrari Goldberg Hansen Ibrahim Jansen Lefevre Martinez Nakamura Olsen Pereira Romano Suzuki".split()
+    left = ["I spoke to", "the director", "hired by", "visited", "trust", "invited", "the lawyer", "witness", "caller", "her uncle", "says", "because", "introduced", "about", "the nurse"]
+    seen = {w for row in (*pii.LABELLED, *pii.rule_rows()) for w in row.replace("[[", "").replace("]]", "").split()}
+    assert not seen & set(first)
+    word = lambda: "".join(rng.choice("aeioutrnsl") for _ in range(rng.randint(2, 9)))
+    made = [(f"{word()} {word()} {rng.choice(left)} ", f"{rng.choice(first)} {rng.choice(last)}", f" {word()} {word()}") for _ in range(300)]
+    found = pii.field_spans(pa.array(["".join(m) for m in made]), pii.trained())
+    assert sum((len(a), len(a) + len(b), "crf") in f for f, (a, b, _) in zip(found, made, strict=True)) >= 0.8 * 300
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    added = [secrets.outside(sorted(s), pii.base_spans(t)) for t, s in zip(texts, pii.field_spans(pa.array(texts), pii.trained()), strict=True)]
+    assert sum(map(bool, added)) <= 0.005 * len(texts)
