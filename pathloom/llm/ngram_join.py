@@ -50,7 +50,9 @@ BAND_RATIO = 1.5
 SLACK = 0.06
 PER_PART = 1_200_000
 #: The signatures travel in so many passes over the texts, each with its share of the hash ranges: a pass's shuffle goes before the next.
-PASSES = 2
+PASSES = 3
+#: So many slices of the candidate pairs are compared one after another, each with its own sets.
+SLICES = 2
 BLOCK_SIGNATURES = 800_000
 #: Classes of a bucket that gives all its pairs.
 SMALL_BUCKET = 16
@@ -559,13 +561,23 @@ class _Components:
         near = stored(_near(self.apart(pairs) if self.labels is not None else pairs, self.hists), "near")
         if self.labels is not None and not near.limit(1).count():
             return
-        sets = stored(self.fetched(near.select(F.explode(F.array("x", "y")).alias("k")).distinct(), True), "sets")
         first = stored(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
-        self.add(_links(first, sets))
+        self.compare(first)
         rest = stored(self.apart(near.join(first, ["x", "y"], "left_anti")), "rest")
         if rest.limit(1).count():
-            self.add(_links(rest, sets))
-        drop_stored(near, sets, first, rest)
+            self.compare(rest)
+        drop_stored(near, first, rest)
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Take up the links among pairs, slice by slice: only a slice's sets are fetched and joined at a time."""
+        found = []
+        for k in range(SLICES):
+            part = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
+            sets = stored(self.fetched(part.select(F.explode(F.array("x", "y")).alias("k")).distinct(), True), "sets")
+            found.append(stored(_links(part, sets), "links"))
+            drop_stored(sets)
+        self.add(reduce(DataFrame.union, found))
+        drop_stored(*found)
 
 
 def _uncovered(found: DataFrame) -> DataFrame:
