@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import uuid
 
 import numpy as np
@@ -10,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..sources import builds, files, meshes, rasters, readers, sinks
 from ..sources.shared import shared_dir
 from ..streaming import events as streams
 from .bindings import CLOUD, EDGES, TASKS, TRAJ, cloud, edges, table, tasks, trajectory
 from .catalog import query
+from .kernel_queries import PLAN, _plan
 
 
 def _r(df, digits=4):
@@ -31,26 +34,27 @@ def _folder(spark, name):
     return path
 
 
-def _write_npz(df, root, name, arrays):
-    """One NPZ file for each group of df, under root; arrays names its columns' kinds. Paths are local to the shared mount."""
-    base = root.removeprefix("file://").removeprefix("file:")
+def _write_files(df, root, content):
+    """One file for each group of df by `file`, under root: content(rows) gives its bytes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import os
-
-        path = f"{base}/{rows['file'].iloc[0]}"
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        held = io.BytesIO()
-        np.savez(held, **{k: np.asarray(rows[c].tolist(), dtype) for k, (c, dtype) in arrays.items()})
-        half = f"{path}.{uuid.uuid4().hex}"
-        with open(half, "wb") as f:
-            f.write(held.getvalue())
-        os.replace(half, path)  # a task that runs twice writes the same file once
-        return pd.DataFrame({"file": [rows["file"].iloc[0]]})
+        files.put(root, rows["file"].iloc[0], content(rows))
+        return rows[["file"]].head(1)
 
     df.groupBy("file").applyInPandas(run, "file string").write.format("noop").mode("overwrite").save()
 
 
+def _npz(**arrays) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    return held.getvalue()
+
+
+def _write_npz(df, root, arrays):
+    """NPZ files; arrays names its columns and kinds."""
+    _write_files(df, root, lambda rows: _npz(**{k: np.asarray(rows[c].tolist(), dtype) for k, (c, dtype) in arrays.items()}))
+
+
 @query("pose_directory", f"WITH {CLOUD} SELECT 'run' || frame AS run, pid AS frame, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM cloud")
 def pose_directory(spark, d):
     """One pose file a frame, in run folders."""
@@ -58,7 +62,7 @@ def pose_directory(spark, d):
     row = lambda *v: [F.lit(float(x)) if isinstance(x, int) else F.col(x) for x in v]
     rows = cloud(spark, d).select(F.concat(F.lit("run"), "frame", F.lit("/"), F.lpad(F.col("pid").cast("string"), 6, "0"), F.lit(".npz")).alias("file"), F.array(*row(1, 0, 0, "x")).alias("a"), F.array(*row(0, 1, 0, "y")).alias("b"), F.array(*row(0, 0, 1, "z")).alias("c"), F.array(*row(0, 0, 0, 1)).alias("e"))
     rows = rows.select("file", F.posexplode(F.array("a", "b", "c", "e")).alias("k", "pose")).repartition("file").sortWithinPartitions("file", "k")
-    _write_npz(rows, root, "poses", {"pose": ("pose", "float64")})
+    _write_npz(rows, root, {"pose": ("pose", "float64")})
     got = readers.poses(spark, root)
     return _r(got.select("run", "frame", *[F.col("pose")[i].alias(c) for c, i in (("x", 3), ("y", 7), ("z", 11))]), 5)
 
@@ -69,22 +73,8 @@ def edge_files(spark, d):
     root, old = _folder(spark, "edges"), _folder(spark, "edges-json")
     rows = edges(spark, d)
     blocks = rows.withColumn("file", F.concat("etype", F.lit("_"), F.pmod("eid", F.lit(16)), F.lit(".npz")))
-    base = root.removeprefix("file://").removeprefix("file:")
     contract = readers.EDGE_CONTRACT
-
-    def write(part: pd.DataFrame) -> pd.DataFrame:
-        import os
-
-        path = f"{base}/{part['file'].iloc[0]}"
-        held = io.BytesIO()
-        np.savez(held, frame_i=part["i"].to_numpy(), frame_j=part["j"].to_numpy(), confidence=part["conf"].to_numpy(), edge_type=part["etype"].to_numpy(str), **contract)
-        half = f"{path}.{uuid.uuid4().hex}"
-        with open(half, "wb") as f:
-            f.write(held.getvalue())
-        os.replace(half, path)
-        return part[["file"]].head(1)
-
-    blocks.groupBy("file").applyInPandas(write, "file string").write.format("noop").mode("overwrite").save()
+    _write_files(blocks, root, lambda part: _npz(frame_i=part["i"].to_numpy(), frame_j=part["j"].to_numpy(), confidence=part["conf"].to_numpy(), edge_type=part["etype"].to_numpy(str), **contract))
     lists = rows.groupBy(F.pmod("eid", F.lit(16)).alias("b")).agg(F.to_json(F.collect_list(F.struct(F.col("i").alias("frame_i"), F.col("j").alias("frame_j"), F.col("conf").alias("confidence"), F.col("etype").alias("edge_type")))).alias("value"))
     lists.write.partitionBy("b").text(old + "/t")
     totals = lambda df, name: df.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("i"), F.sum("j").alias("j"), F.round(F.sum("confidence"), 4).alias("conf"))
@@ -97,8 +87,8 @@ def cloud_scan(spark, d):
     """Run folders with the usual point file beside a debug one that is empty."""
     root = _folder(spark, "clouds")
     rows = cloud(spark, d).select(F.concat(F.lit("run"), "frame").alias("run"), F.array("x", "y", "z").alias("points"))
-    _write_npz(rows.select(F.concat("run", F.lit("/pointcloud.npz")).alias("file"), "points"), root, "points", {"points": ("points", "float64")})
-    _write_npz(rows.groupBy("run").agg(F.first("points").alias("points")).select(F.concat("run", F.lit("/pointcloud_full_debug.npz")).alias("file"), "points"), root, "points", {"points": ("points", "float64")})
+    _write_npz(rows.select(F.concat("run", F.lit("/pointcloud.npz")).alias("file"), "points"), root, {"points": ("points", "float64")})
+    _write_npz(rows.groupBy("run").agg(F.first("points").alias("points")).select(F.concat("run", F.lit("/pointcloud_full_debug.npz")).alias("file"), "points"), root, {"points": ("points", "float64")})
     return _r(readers.point_cloud(spark, root).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x")))
 
 
@@ -140,17 +130,8 @@ def upload_listing(spark, d):
     root = _folder(spark, "uploads")
     m = F.md5(F.col("n_name"))
     name = F.concat(F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12)), F.lit("_clip.mp4"))
-    base = root.removeprefix("file://").removeprefix("file:")
-
-    def write(batches):
-        for batch in batches:
-            for n, text in zip(batch["name"], batch["text"], strict=True):
-                with open(f"{base}/{n}", "w") as f, open(f"{base}/note_{n}", "w") as other:
-                    f.write(text)
-                    other.write(text)
-            yield batch[["name"]]
-
-    table(spark, d, "nation").select(name.alias("name"), F.col("n_name").alias("text")).mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    both = F.explode(F.array(name, F.concat(F.lit("note_"), name))).alias("file")
+    _write_files(table(spark, d, "nation").select(F.col("n_name").alias("text"), both), root, lambda rows: rows["text"].iloc[0].encode())
     return readers.uploads(spark, root).select("video_id", "length")
 
 
@@ -158,21 +139,9 @@ def upload_listing(spark, d):
 def media_volumes(spark, d):
     """Clips in a folder for each region."""
     root = _folder(spark, "volumes")
-    base = root.removeprefix("file://").removeprefix("file:")
-
-    def write(batches):
-        import os
-
-        for batch in batches:
-            for n, text in zip(batch["name"], batch["text"], strict=True):
-                os.makedirs(os.path.dirname(f"{base}/{n}"), exist_ok=True)
-                with open(f"{base}/{n}.MP4", "w") as f, open(f"{base}/{n}.txt", "w") as other:
-                    f.write(text)
-                    other.write(text)
-            yield batch[["name"]]
-
     name = F.concat(F.lit("volume"), "n_regionkey", F.lit("/clips/c"), "n_nationkey")
-    table(spark, d, "nation").select(name.alias("name"), F.col("n_name").alias("text")).mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    both = F.explode(F.array(F.concat(name, F.lit(".MP4")), F.concat(name, F.lit(".txt")))).alias("file")
+    _write_files(table(spark, d, "nation").select(F.col("n_name").alias("text"), both), root, lambda rows: rows["text"].iloc[0].encode())
     return readers.volumes(spark, root).select("volume", "files", "bytes")
 
 
@@ -282,3 +251,68 @@ def stream_events(spark, d):
     trajectory(spark, d).select(F.explode(F.array(good, F.lit("no event"), F.lit("{}"))).alias("value")).write.text(root)
     rows = streams.replayed(streams.json_events(spark, root), "lines-out")
     return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("data")["id"].cast("long")).alias("ids"))
+
+
+@query("mesh_cloud", f"WITH {CLOUD} SELECT frame % 2 = 0 AS ply, frame, count(*) AS n, round(sum(x), 4) + 0.0 AS x, round(sum(z), 4) + 0.0 AS z, round(sum(conf), 4) + 0.0 AS conf FROM cloud GROUP BY ALL")
+def mesh_cloud(spark, d):
+    """A PLY file for each frame, in either byte order, read by ranges."""
+    root = _folder(spark, "meshes")
+    rows = cloud(spark, d).select(F.concat(F.lit("frame"), "frame", F.lit(".ply")).alias("file"), "frame", "x", "y", "z", "conf")
+    _write_files(rows, root, lambda part: meshes.ply_bytes(part[["x", "y", "z"]].to_numpy(), None, part["conf"].to_numpy(), "<" if part["frame"].iloc[0] % 2 == 0 else ">"))
+    got = meshes.clouds(spark, root).withColumn("frame", F.regexp_extract("path", r"frame(-?\d+)\.ply", 1).cast("int"))
+    return _r(got.groupBy("frame", (F.col("frame") % 2 == 0).alias("ply")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("z").alias("z"), F.sum("conf").alias("conf")))
+
+
+@query("raster_plan", f"WITH {PLAN} SELECT 'plan' || map AS map_id, cx // 2 AS cx, cy // 2 AS cy, bool_or(occupied) AS occupied FROM plan GROUP BY ALL")
+def raster_plan(spark, d):
+    """Each plan as a PNG mask beside its description, read back against its digest."""
+    root = _folder(spark, "plans")
+
+    def picture(rows: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((int(rows["cy"].max()) + 1, int(rows["cx"].max()) + 1), np.uint8)
+        out[rows["cy"], rows["cx"]] = np.where(rows["occupied"], 200, 40)
+        return out
+
+    def described(rows: pd.DataFrame) -> bytes:
+        luma, name = picture(rows), f"plan{rows['map'].iloc[0]}"
+        digest = hashlib.sha256(rasters.png_bytes(luma)).hexdigest()
+        return json.dumps({"map_id": name, "width": luma.shape[1], "height": luma.shape[0], "grid_cell_pixels": 2, "obstacle_mask_file": f"{name}.png", "obstacle_mask_sha256": digest}).encode()
+
+    cells = _plan(spark, d).withColumn("file", F.explode(F.array(*[F.concat(F.lit("plan"), "map", F.lit(k)) for k in (".png", ".json")])))
+    _write_files(cells, root, lambda rows: rasters.png_bytes(picture(rows)) if rows["file"].iloc[0].endswith("png") else described(rows))
+    return rasters.plan_cells(spark, root)
+
+
+@query("build_resumed", f"WITH {TRAJ} SELECT run, count(*) AS n, round(sum(x), 3) + 0.0 AS x FROM traj GROUP BY run")
+def build_resumed(spark, d):
+    """A build that stops after two of its five parts and is taken up again."""
+    root = _folder(spark, "build")
+    make = lambda own: own.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"))
+    builds.resumed(trajectory(spark, d), "run", make, root, 5, most=2)
+    return _r(builds.resumed(trajectory(spark, d), "run", make, root, 5), 3)
+
+
+@query("artefact_recovery", f"""WITH {TRAJ}, k AS (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY t, id) AS frame FROM traj), f AS (SELECT run, frame FROM k WHERE NOT (run % 5 = 1 AND frame = 9) AND run % 3 <> 0),
+    s AS (SELECT run, count(*) AS frames, min(frame) AS first, max(frame) AS last FROM f GROUP BY run) SELECT *, CASE WHEN frames < 60 THEN 'lost' WHEN last - first + 1 = frames THEN 'complete' ELSE 'partial' END AS state FROM s""")
+def artefact_recovery(spark, d):
+    """Runs whose results are missing, by the frames they have left."""
+    w = Window.partitionBy("run").orderBy("t", "id")
+    frames = trajectory(spark, d).select("run", F.row_number().over(w).cast("long").alias("frame")).filter(~((F.col("run") % 5 == 1) & (F.col("frame") == 9)))
+    return builds.recovered(frames, trajectory(spark, d).filter("run % 3 = 0").select("run"), "run", 60)
+
+
+@query("candidate_selection", f"""WITH {TRAJ}, n AS (SELECT run, count(*) AS n FROM traj GROUP BY run), c AS (SELECT * FROM (VALUES (0, 'pose_graph'), (1, 'scale_aware')) v(p, candidate)),
+    a AS (SELECT run, n, p, candidate, CASE WHEN candidate = 'pose_graph' THEN CASE WHEN run % 7 = 0 THEN 0 WHEN run % 5 = 0 THEN n - 1 ELSE n END ELSE CASE WHEN run % 11 = 0 THEN 0 ELSE n END END AS frames, run % (p + 2) = 0 AS accepted FROM n, c),
+    s AS (SELECT *, CASE WHEN frames = 0 THEN 'missing' WHEN NOT accepted THEN 'not_accepted' WHEN frames <> n THEN 'frame_count' ELSE 'ok' END AS state FROM a)
+    SELECT run, coalesce(arg_min(candidate, p) FILTER (WHERE state = 'ok'), 'raw') AS candidate, max(state) FILTER (WHERE p = 0) AS pose_graph, max(state) FILTER (WHERE p = 1) AS scale_aware FROM s GROUP BY run""")
+def candidate_selection(spark, d):
+    """Of two candidates written beside the raw data, the first that is whole and accepted."""
+    root = _folder(spark, "candidates")
+    w = Window.partitionBy("run").orderBy("t", "id")
+    rows = trajectory(spark, d).select("run", F.row_number().over(w).alias("frame"), "x", "y")
+    last = F.max("frame").over(Window.partitionBy("run"))
+    sinks.write_candidate(rows.withColumn("last", last).filter("run % 7 <> 0 and (run % 5 <> 0 or frame < last)").drop("last"), root, "pose_graph")
+    sinks.write_candidate(rows.filter("run % 11 <> 0"), root, "scale_aware")
+    runs = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    said = runs.select("run", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), (F.col("run") % m == 0).alias("accepted")) for c, m in (("pose_graph", 2), ("scale_aware", 3))])).alias("s")).select("run", "s.*")
+    return readers.chosen_candidates(spark.read.parquet(root), said, runs, ["pose_graph", "scale_aware"])

@@ -192,3 +192,22 @@ def session_lines(spark: SparkSession, path: str, sessions: DataFrame, key: str,
     """sessions (key) with their state from JSON lines, the defaults where a line or a name in it is missing."""
     raw = spark.read.text(path).select(F.get_json_object("value", f"$.{key}").cast("long").alias(key), json_or_empty(F.get_json_object("value", "$.document")).alias("state"))
     return sessions.join(raw, key, "left").select(key, *[F.coalesce(F.try_element_at("state", F.lit(k)), F.lit(v)).alias(k) for k, v in default.items()])
+
+
+def chosen_candidates(candidates: DataFrame, summaries: DataFrame, expected: DataFrame, order: list[str], accepted_only: bool = True) -> DataFrame:
+    """Which candidate each run takes: (run, candidate, and the state of each one in order).
+
+    candidates (candidate, run, frame) hold a row a frame, summaries (candidate,
+    run, accepted), expected (run, n). A candidate is `missing` without frames,
+    `not_accepted` without an accepting summary, `frame_count` with another
+    number of frames, else `ok`; the first that is ok is taken, else `raw`.
+    """
+    counts = candidates.groupBy("candidate", "run").agg(F.count_distinct("frame").alias("frames"))
+    said = summaries.groupBy("candidate", "run").agg(F.bool_and(F.coalesce("accepted", F.lit(False))).alias("accepted"))
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(n).alias("candidate")) for k, n in enumerate(order)]))
+    rows = expected.select("run", "n", names.alias("c")).select("run", "n", "c.*").join(counts, ["candidate", "run"], "left").join(said, ["candidate", "run"], "left")
+    refused = ~F.coalesce("accepted", F.lit(False)) if accepted_only else F.lit(False)
+    state = F.when(F.col("frames").isNull(), "missing").when(refused, "not_accepted").when(F.col("frames") != F.col("n"), "frame_count").otherwise("ok")
+    rows = rows.withColumn("state", state)
+    pick = F.coalesce(F.min(F.when(F.col("state") == "ok", F.struct("place", "candidate")))["candidate"], F.lit("raw"))
+    return rows.groupBy("run").agg(pick.alias("candidate"), *[F.max(F.when(F.col("candidate") == n, F.col("state"))).alias(n) for n in order])
