@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Progress span in per cent and typical seconds of each stage.
-STAGES = (("upload", 0.0, 6.0, 20.0), ("gpu", 6.0, 70.0, 720.0), ("trajectory", 70.0, 78.0, 25.0), ("lingbot", 78.0, 92.0, 180.0), ("map", 92.0, 99.0, 40.0))
+STAGES = (("upload", 0.0, 6.0, 20.0), ("gpu", 6.0, 70.0, 720.0), ("trajectory", 70.0, 78.0, 25.0), ("second_observer", 78.0, 92.0, 180.0), ("map", 92.0, 99.0, 40.0))
 
 
 def latest(rows: DataFrame, key: str, version: str, tie: str) -> DataFrame:

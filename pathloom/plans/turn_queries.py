@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import gravity, turns
+from ..operators import gravity, odometry, turns
 from ..operators import series as ops
 from .bindings import trajectory
 from .catalog import query
@@ -84,3 +84,13 @@ def floor_from_turns(spark, d):
     poses = rows.select("run", F.col("k").alias("frame"), pose.alias("pose"))
     basis = gravity.floors(poses)
     return _r(gravity.on_floor(poses, basis).join(basis.select("run", "method", "nx", "ny", "nz"), "run"), 4)
+
+
+@query("odometry_steps")
+def odometry_steps(spark, d):
+    """Steps of two sources from the events' numbers; every seventh row has one source, every fiftieth an outlier."""
+    k = F.row_number().over(Window.partitionBy("run").orderBy("t", "id"))
+    rows = trajectory(spark, d).select("run", "id", (F.col("t") / 3600).alias("t"), (F.col("x") / 500).alias("dx"), (F.col("y") / 2000).alias("dy"), ((F.col("y") - 50) / 10).alias("turn"), (F.col("x") % 10 / 10).alias("conf"), (F.col("y") % 10 / 10).alias("conf2"), k.alias("k"))
+    wild = F.when(F.col("k") % 50 == 0, 40.0).otherwise(0.0)
+    rows = rows.withColumns({"turn": F.col("turn") + wild, "dx2": F.when(F.col("k") % 7 > 0, F.col("dx") * 1.1), "dy2": F.col("dy"), "turn2": F.col("turn") + wild})
+    return _r(odometry.integrated(rows).select("run", "id", "x", "y", "heading", "source", "gated", "state"), 5)

@@ -1,4 +1,4 @@
-"""Streams over growing folders: new files once, running maxima, stage timers, JSON lines.
+"""Streams over growing folders: new files once, running maxima, stage timers with and without end, JSON lines.
 
 A source is a folder; checkpoints and tables lie in the shared folder, so a
 restarted query goes on where it stopped. `replayed` runs a stream over what is
@@ -67,6 +67,55 @@ def stage_seconds(events: DataFrame, by: str = "run", stage: str = "stage", t: s
     return events.groupBy(by).applyInPandasWithState(step, kind, held, "Update", GroupStateTimeout.NoTimeout)
 
 
+def stage_seconds_until(events: DataFrame, gap: str, lateness: str, by: str = "run", stage: str = "stage", t: str = "t") -> DataFrame:
+    """(run, stage, seconds, visits) of runs that are over: no row for `gap` of event time after the last.
+
+    t is a timestamp. Rows later than the watermark of `lateness` are left out; a
+    row without stage and seconds counts them (visits) when they come. Those in
+    time are held and put in order when their run ends, and its state is removed
+    then. The last stage of a run has no end and no seconds.
+    """
+    kind = "run string, stage string, seconds double, visits long"
+    wait = int(events.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{gap.split()[0]}' {gap.split()[1].rstrip('s').upper()})").first()[0])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            rows = sorted(zip(*state.get, strict=True))
+            state.remove()
+            held: dict[str, list] = {}
+            now, since = rows[0][1], rows[0][0]
+            for at, name in rows[1:]:
+                if name != now:
+                    one = held.setdefault(now, [0, 0])
+                    one[0] += at - since
+                    one[1] += 1
+                    now, since = name, at
+            yield pd.DataFrame([(str(key[0]), k, ms / 1000, n) for k, (ms, n) in sorted(held.items())], columns=["run", "stage", "seconds", "visits"])
+            return
+        rows = pd.concat(list(batches))
+        millis = (rows[t].dt.tz_convert("UTC").dt.tz_localize(None) if rows[t].dt.tz is not None else rows[t]).astype("datetime64[ms]").astype("int64")
+        edge = state.getCurrentWatermarkMs()
+        good = millis >= edge
+        if (~good).any():
+            yield pd.DataFrame({"run": [str(key[0])], "stage": [None], "seconds": [float("nan")], "visits": [int((~good).sum())]}).astype({"stage": "object"})
+        if good.any():
+            old = state.get if state.exists else ([], [])
+            times, names = list(old[0]) + millis[good].tolist(), list(old[1]) + rows[stage][good].tolist()
+            state.update((times, names))
+            state.setTimeoutTimestamp(max(max(times) + wait, edge + 1))
+        elif state.exists:
+            state.setTimeoutTimestamp(max(max(state.get[0]) + wait, edge + 1))
+
+    marked = events.withWatermark(t, lateness)
+    return marked.groupBy(by).applyInPandasWithState(step, kind, "times array<bigint>, names array<string>", "Append", GroupStateTimeout.EventTimeTimeout)
+
+
+def held_rows(query) -> int:
+    """Keys in a streaming query's state, from its last progress."""
+    seen = [op for p in query.recentProgress for op in p["stateOperators"]]
+    return seen[-1]["numRowsTotal"] if seen else 0
+
+
 def replayed(stream: DataFrame, name: str, mode: str = "append", latest: list[str] | None = None, batch: Callable | None = None) -> DataFrame:
     """Run a stream over all that its source holds now, and read its table.
 

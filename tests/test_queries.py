@@ -42,7 +42,7 @@ def test_matches_sql(spark, con, name):
 
 #: Queries that carry decisions from row to row; tests/test_kernels.py holds their operators against plain versions.
 BEYOND_SQL = {
-    "floor_from_turns", "traj_camera_turns",
+    "floor_from_turns", "odometry_steps", "traj_camera_turns",
     "box_suppression", "detection_tracks", "floor_planes", "isotonic_calibration", "isotonic_scores", "motion_plane", "plan_loops_closed", "plan_matched", "plan_matched_second_order", "plan_regions", "plan_rerouted",
     "plan_routes", "plan_snapped", "pose_graph_long_runs", "pose_graph_optimised", "robust_similarity", "rotation_projection", "traj_adaptive_heading", "traj_chord_turns", "traj_cleaned", "traj_clipped_smooth",
     "traj_curvature_anchors", "traj_hysteresis_turns", "traj_kalman", "traj_map_turns", "traj_motion_states", "traj_scale_curve", "traj_scale_regimes", "traj_simplified", "traj_stabilised",

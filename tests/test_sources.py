@@ -1,6 +1,7 @@
 """Readers, sinks and streams over folders with odd files."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -92,6 +93,32 @@ def test_reset_starts_a_state_anew(spark, tmp_path):
     assert {(r["run"], r["stage"]): r["seconds"] for r in got.collect()} == {("a", "x"): 1.0, ("b", "x"): 3.0}
 
 
+def test_runs_that_are_over_leave_no_state(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def write(k, rows):
+        (source / f"{k}.json").write_text("\n".join(json.dumps({"run": r, "t": f"2024-01-01T00:{m:02d}:00", "stage": s}) for r, m, s in rows))
+        os.utime(source / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)  # the source takes files by their time
+
+    def run():
+        stream = events.stage_seconds_until(events.tail(spark, str(source), "run string, t timestamp, stage string", files=1), "5 minutes", "2 minutes")
+        q = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return events.held_rows(q)
+
+    write(1, [("a", 1, "x"), ("a", 3, "y"), ("b", 2, "x")])
+    write(2, [("a", 2, "y"), ("a", 4, "z"), ("b", 3, "y")])  # one row comes late, but in time
+    write(3, [("c", 30, "x"), ("c", 31, "y")])
+    write(4, [("c", 5, "late"), ("d", 59, "x")])
+    assert run() == 1  # a, b and c are over, d goes on
+    rows = lambda: sorted((r["run"], r["stage"] or "", 0.0 if r["stage"] is None else r["seconds"], r["visits"]) for r in spark.read.parquet(str(out)).collect())
+    assert rows() == [("a", "x", 60.0, 1), ("a", "y", 120.0, 1), ("b", "x", 60.0, 1), ("c", "", 0.0, 1), ("c", "x", 60.0, 1)]
+    before = rows()
+    run()  # a restart repeats nothing
+    assert rows() == before
+
+
 def test_a_cluster_needs_a_shared_folder(monkeypatch, spark):
     class Conf:
         def get(self, *_):
