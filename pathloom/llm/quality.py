@@ -249,7 +249,8 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """A model of `label` from at most `sample` labelled rows outside the held-out fold.
 
     Rows without an identifier or label are ignored, and so are identifiers
-    with contradictory labels.
+    with contradictory labels. Of rows that repeat an identifier the one with the
+    smallest features counts, so that the driver gets `sample` rows at most.
     """
     ship(docs.sparkSession)
     chosen = (
@@ -259,7 +260,7 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     )
     # At most `sample` rows of two numbers: broadcast.
     rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id")
-    got = rows.select("id", "y", _feature_column(F.col("text")).alias("x")).toArrow().sort_by([("id", "ascending")])
+    got = rows.select("id", "y", _feature_column(F.col("text")).alias("x")).groupBy("id", "y").agg(F.min("x").alias("x")).toArrow().sort_by([("id", "ascending")])
     x = np.asarray(got.column("x").combine_chunks().flatten() if got.num_rows else [], dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got.column("id").to_numpy()))
     return fit(x[order], got.column("y").to_numpy()[order].astype(float))

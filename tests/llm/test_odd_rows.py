@@ -97,3 +97,13 @@ def test_the_field_finds_unseen_names_and_leaves_documents_alone(spark):
     texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     added = [secrets.outside(sorted(s), pii.base_spans(t)) for t, s in zip(texts, pii.field_spans(pa.array(texts), pii.trained()), strict=True)]
     assert sum(map(bool, added)) <= 0.005 * len(texts)
+
+
+def test_repeated_identifiers_give_one_training_row(spark, monkeypatch):
+    seen = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: (seen.append(len(y)), real(x, y))[1])
+    docs = spark.createDataFrame([(k % 40, f"words {k} and more of them. " * 3, None) for k in range(4000)], DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    quality.trained(docs, labels)
+    assert seen[0] <= 40
