@@ -12,9 +12,10 @@ def occupancy(pixels: DataFrame, cell: int, share: float = 0.6) -> DataFrame:
 
 
 def looked_up(points: DataFrame, cells: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """points with their cell's occupancy; a place outside the plan is occupied."""
+    """points with their cell's occupancy; a place outside the plan is occupied, and `outside`."""
     at = points.withColumns({"cx": F.floor(F.col(x) / size), "cy": F.floor(F.col(y) / size)})
-    return at.join(cells.select("cx", "cy", F.col("occupied").alias("_o")), ["cx", "cy"], "left").withColumn("occupied", F.coalesce("_o", F.lit(True))).drop("_o")
+    met = at.join(cells.select("cx", "cy", "occupied"), ["cx", "cy"], "left")
+    return met.withColumns({"outside": F.col("occupied").isNull(), "occupied": F.coalesce("occupied", F.lit(True))})
 
 
 def line_samples(df: DataFrame, step: float, run: str, order: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -28,11 +29,11 @@ def line_samples(df: DataFrame, step: float, run: str, order: list[str], x: str
 
 
 def line_report(samples: DataFrame, cells: DataFrame, size: float, run: str) -> DataFrame:
-    """Per run: samples, share in occupied cells, and the longest row of them in sequence."""
+    """Per run: samples, shares in occupied cells and outside the plan, distinct cells, and the longest row of occupied ones in sequence."""
     hit = looked_up(samples, cells, size)
     w = Window.partitionBy(run).orderBy("seg", "k")
     rows = hit.withColumn("_n", F.row_number().over(w))
-    total = rows.groupBy(run).agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("occupied").cast("double")).alias("occupied_ratio"), F.count_distinct("cx", "cy").alias("cells"))
+    total = rows.groupBy(run).agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("occupied").cast("double")).alias("occupied_ratio"), F.avg(F.col("outside").cast("double")).alias("outside_ratio"), F.count_distinct("cx", "cy").alias("cells"))
     runs = rows.filter("occupied").withColumn("_g", F.col("_n") - F.row_number().over(Window.partitionBy(run).orderBy("_n"))).groupBy(run, "_g").agg(F.count(F.lit(1)).alias("len")).groupBy(run).agg(F.max("len").alias("longest_hit"))
     return total.join(runs, run, "left").withColumn("longest_hit", F.coalesce("longest_hit", F.lit(0)))
 

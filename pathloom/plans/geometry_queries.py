@@ -168,23 +168,24 @@ def whitening(spark, d):
     return _r(graph.whitening(rows, "conf", "gap").select("eid", "scale"), 5)
 
 
-_CELLS = "cells AS (SELECT cx, cy, avg(luma) < 0.6 AS occupied, count(*) AS n FROM (SELECT floor(px / 4)::BIGINT AS cx, floor(py / 4)::BIGINT AS cy, ((px * 7 + py * 13) % 17) / 16.0::DOUBLE AS luma FROM range(100) a(px), range(100) b(py)) GROUP BY cx, cy)"
+#: Pixels are the places of the events, their luminance a number of each event.
+_CELLS = "cells AS (SELECT cx, cy, avg(luma) < 0.5 AS occupied, count(*) AS n FROM (SELECT floor(floor(x) / 4)::BIGINT AS cx, floor(floor(y) / 4)::BIGINT AS cy, (id * 7 % 17) / 16.0::DOUBLE AS luma FROM traj) GROUP BY cx, cy)"
 
 
-def _cells(spark):
-    px, py = F.col("id") % 100, F.floor(F.col("id") / 100)
-    return plan.occupancy(spark.range(10_000).select(px.alias("px"), py.alias("py"), (((px * 7 + py * 13) % 17) / 16.0).alias("luma")), 4)
+def _cells(spark, d):
+    rows = trajectory(spark, d).select(F.floor("x").alias("px"), F.floor("y").alias("py"), (F.col("id") * 7 % 17 / 16.0).alias("luma"))
+    return plan.occupancy(rows, 4, 0.5)
 
 
-@query("plan_occupancy", f"WITH {_CELLS} SELECT * FROM cells")
+@query("plan_occupancy", f"WITH {TRAJ}, {_CELLS} SELECT * FROM cells")
 def occupancy(spark, d):
-    return _cells(spark)
+    return _cells(spark, d)
 
 
 @query("plan_point_lookup", f"WITH {TRAJ}, {_CELLS}, p AS (SELECT id, floor((x - 5) / 4)::BIGINT AS cx, floor(y / 4)::BIGINT AS cy FROM traj) SELECT id, p.cx, p.cy, coalesce(occupied, true) AS occupied FROM p LEFT JOIN cells USING (cx, cy)")
 def point_lookup(spark, d):
     rows = trajectory(spark, d).select("id", (F.col("x") - 5).alias("x"), "y")
-    return plan.looked_up(rows, _cells(spark), 4.0).select("id", "cx", "cy", "occupied")
+    return plan.looked_up(rows, _cells(spark, d), 4.0).select("id", "cx", "cy", "occupied")
 
 
 @query(
@@ -192,13 +193,13 @@ def point_lookup(spark, d):
     f"""WITH {TRAJ}, {_CELLS}, s AS (SELECT run, row_number() OVER {W} AS seg, x AS x0, y AS y0, lead(x) OVER {W} AS x1, lead(y) OVER {W} AS y1 FROM traj),
     p AS (SELECT *, greatest(1, ceil(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 10.0))::BIGINT AS parts FROM s WHERE x1 IS NOT NULL), e AS (SELECT *, unnest(range(parts + 1)) AS k FROM p),
     h AS (SELECT run, seg, k, floor((x0 + (x1 - x0) * (k::DOUBLE / parts)) / 4)::BIGINT AS cx, floor((y0 + (y1 - y0) * (k::DOUBLE / parts)) / 4)::BIGINT AS cy FROM e),
-    o AS (SELECT h.*, coalesce(occupied, true) AS occ, row_number() OVER (PARTITION BY run ORDER BY seg, k) AS n FROM h LEFT JOIN cells USING (cx, cy)),
-    t AS (SELECT run, count(*) AS samples, round(avg(occ::INT), 6) AS occupied_ratio, count(DISTINCT (cx, cy)) AS cells FROM o GROUP BY run),
+    o AS (SELECT h.*, occupied, coalesce(occupied, true) AS occ, row_number() OVER (PARTITION BY run ORDER BY seg, k) AS n FROM h LEFT JOIN cells USING (cx, cy)),
+    t AS (SELECT run, count(*) AS samples, round(avg(occ::INT), 6) AS occupied_ratio, round(avg((occupied IS NULL)::INT), 6) + 0.0 AS outside_ratio, count(DISTINCT (cx, cy)) AS cells FROM o GROUP BY run),
     g AS (SELECT run, n - row_number() OVER (PARTITION BY run ORDER BY n) AS g FROM o WHERE occ), l AS (SELECT run, g, count(*) AS len FROM g GROUP BY run, g), m AS (SELECT run, max(len) AS longest_hit FROM l GROUP BY run)
-    SELECT run, samples, occupied_ratio, t.cells, coalesce(longest_hit, 0) AS longest_hit FROM t LEFT JOIN m USING (run)""",
+    SELECT run, samples, occupied_ratio, outside_ratio, t.cells, coalesce(longest_hit, 0) AS longest_hit FROM t LEFT JOIN m USING (run)""",
 )
 def line_occupancy(spark, d):
-    return _r(plan.line_report(plan.line_samples(trajectory(spark, d), 10.0, "run", ["t", "id"]), _cells(spark), 4.0, "run"), 6)
+    return _r(plan.line_report(plan.line_samples(trajectory(spark, d), 10.0, "run", ["t", "id"]), _cells(spark, d), 4.0, "run"), 6)
 
 
 @query(
