@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .graph import component_summary
 from .ranking import percentiles
 
 
@@ -62,6 +64,48 @@ def edge_report(edges: DataFrame, frames: int) -> DataFrame:
     return got.withColumn("ready", ready)
 
 
+#: Range of a quaternion's length, and the shares from which an edge list is ready.
+QUATERNION, POSED, SPLIT, JOINED = (0.95, 1.05), 0.95, 0.8, 0.8
+
+
+def readiness(edges: DataFrame, frames: int, contract: bool = True) -> DataFrame:
+    """One row that says whether an edge list can be optimised, and why not.
+
+    edges (i, j, conf, conf_t, conf_r, etype, pose: shift, quaternion and two more,
+    null or broken where there is none) over frames 0 to frames - 1. Counts of
+    negative, self and outside edges exclude those counted before; all else is
+    about the edges that are left. `connected` is the largest component's share
+    of the frames. Ready: the contract holds, 95 % have a pose and 80 % both
+    confidences, no confidence is missing, no quaternion's length is off, and
+    80 % of the frames hang together.
+    """
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    finite = (F.size("pose") == 9) & F.forall("pose", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    sure = lambda c: F.coalesce(real(c) & (F.col(c) > 0), F.lit(False))
+    size = lambda a, n: F.sqrt(F.aggregate(F.slice("pose", a, n), F.lit(0.0), lambda t, x: t + x * x))
+    negative, self_, outside = (F.col("i") < 0) | (F.col("j") < 0), F.col("i") == F.col("j"), (F.col("i") >= frames) | (F.col("j") >= frames)
+    rows = edges.select(
+        "i", "j", "etype", negative.alias("negative"), (~negative & self_).alias("self"), (~negative & ~self_ & outside).alias("outside"), F.coalesce(finite, F.lit(False)).alias("posed"),
+        sure("conf").alias("sure"), (sure("conf_t") & sure("conf_r")).alias("split"), size(1, 3).alias("shift"), size(4, 4).alias("turn"),
+    ).withColumn("good", ~(F.col("negative") | F.col("self") | F.col("outside")))
+    rows = stored(rows, "edges")
+    good, posed = F.col("good"), F.col("good") & F.col("posed")
+    share = lambda c: F.coalesce(F.count_if(c) / F.nullif(F.count_if(good), F.lit(0)), F.lit(0.0))
+    got = rows.agg(
+        F.count(F.lit(1)).alias("edges"), F.count_if(good).alias("valid"), *[F.count_if(c).alias(c) for c in ("negative", "self", "outside")], F.count_if(good & ~F.col("posed")).alias("without_pose"),
+        share(posed).alias("pose_coverage"), share(good & F.col("split")).alias("split_coverage"), F.count_if(good & ~F.col("sure")).alias("without_confidence"), F.count_if(posed & ~F.col("turn").between(*QUATERNION)).alias("quaternion_outliers"),
+        *[F.count_if(F.col("etype") == k).alias(f"type_{k.lower()}") for k in ("A", "N", "R")],
+    )
+    valid = rows.filter("good")
+    for name, value, kept in (("shift", F.col("shift"), valid.filter("posed")), ("gap", F.abs(F.col("j") - F.col("i")), valid)):
+        p = percentiles(kept, value, [0.5, 0.95]).select(F.col("p")[0].alias(f"median_{name}"), F.col("p")[1].alias(f"p95_{name}"))
+        got = got.join(F.broadcast(p))
+    parts = component_summary(valid.select("i", "j"), edges.sparkSession.range(frames).withColumnRenamed("id", "node"))
+    got = got.join(F.broadcast(parts.select("components", F.col("coverage").alias("connected"))))
+    ready = F.lit(contract) & (F.col("valid") > 0) & (F.col("pose_coverage") >= POSED) & (F.col("split_coverage") >= SPLIT) & (F.col("without_confidence") == 0) & (F.col("quaternion_outliers") == 0) & (F.col("connected") >= JOINED)
+    return got.withColumn("ready", ready)
+
+
 def ratios(df: DataFrame, by: str, counters: dict[str, Column]) -> DataFrame:
     """Share of rows for each named condition, by group."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[(F.count_if(c) / F.count(F.lit(1))).alias(name) for name, c in counters.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import graph, plan
+from ..operators import graph, plan, stats
 from .bindings import CLOUD, EDGES, TRAJ, cloud, edges, table, trajectory
 from .catalog import query
 from .series_queries import STEPS, W
@@ -152,6 +152,28 @@ def component_summary_whole(spark, d):
     return _r(graph.component_summary(links, nodes), 6)
 
 
+_READY = f"""WITH RECURSIVE {EDGES}, size AS (SELECT count(*) AS frames FROM part), e AS (SELECT i - 2 AS i, j - 2 AS j, etype, CASE WHEN eid % 31 > 0 THEN conf_t END AS conf_t, conf_r - 0.9::DOUBLE * (eid % 13 = 0)::INT AS conf_r, conf, eid % 41 > 0 AS posed, conf / 10 AS dx, CASE WHEN eid % 97 = 0 THEN 1.2::DOUBLE ELSE 1 END AS turn FROM edges),
+    k AS (SELECT *, i < 0 OR j < 0 AS negative, i = j AS same, i >= frames OR j >= frames AS far FROM e, size), g AS (SELECT *, NOT negative AND NOT same AND NOT far AS good FROM k),
+    s AS (SELECT i AS a, j AS b FROM g WHERE good UNION SELECT j, i FROM g WHERE good UNION SELECT r.v, r.v FROM size, LATERAL (SELECT unnest(range(frames)) AS v) r), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, min(r.c) FROM r JOIN s ON r.node = s.a GROUP BY s.b),
+    c AS (SELECT node, min(c) AS component FROM r GROUP BY node), n AS (SELECT component, count(*) AS n FROM c GROUP BY component), m AS (SELECT count(*) AS components, round(max(n) / sum(n), 6) AS connected FROM n),
+    o AS (SELECT count(*) AS edges, count(*) FILTER (WHERE good) AS valid, count(*) FILTER (WHERE negative) AS negative, count(*) FILTER (WHERE NOT negative AND same) AS self, count(*) FILTER (WHERE NOT negative AND NOT same AND far) AS outside, count(*) FILTER (WHERE good AND NOT posed) AS without_pose,
+      round(count(*) FILTER (WHERE good AND posed) / count(*) FILTER (WHERE good), 6) AS pose_coverage, round(count(*) FILTER (WHERE good AND conf_t > 0 AND conf_r > 0) / count(*) FILTER (WHERE good), 6) AS split_coverage, count(*) FILTER (WHERE good AND NOT conf > 0) AS without_confidence,
+      count(*) FILTER (WHERE good AND posed AND turn > 1.05) AS quaternion_outliers, count(*) FILTER (WHERE etype = 'A') AS type_a, count(*) FILTER (WHERE etype = 'N') AS type_n, count(*) FILTER (WHERE etype = 'R') AS type_r,
+      round(quantile_cont(dx, 0.5) FILTER (WHERE good AND posed), 6) AS median_shift, round(quantile_cont(dx, 0.95) FILTER (WHERE good AND posed), 6) AS p95_shift, round(quantile_cont(abs(j - i)::DOUBLE, 0.5) FILTER (WHERE good), 6) AS median_gap, round(quantile_cont(abs(j - i)::DOUBLE, 0.95) FILTER (WHERE good), 6) AS p95_gap FROM g)
+    SELECT o.*, components, connected, valid > 0 AND pose_coverage >= 0.95 AND split_coverage >= 0.8 AND without_confidence = 0 AND quaternion_outliers = 0 AND connected >= 0.8 AS ready FROM o, m"""
+
+
+@query("edge_readiness", _READY)
+def edge_readiness(spark, d):
+    """Order lines as edges: some without a pose, a confidence or a proper quaternion, some of a frame with itself."""
+    e = edges(spark, d)
+    turn = F.when(F.col("eid") % 97 == 0, 1.2).otherwise(1.0)
+    zero = F.lit(0.0)
+    pose = F.when(F.col("eid") % 41 > 0, F.array(F.col("conf") / 10, zero, zero, zero, zero, 0.6 * turn, 0.8 * turn, zero, zero))
+    rows = e.select((F.col("i") - 2).alias("i"), (F.col("j") - 2).alias("j"), "etype", "conf", F.when(F.col("eid") % 31 > 0, F.col("conf_t")).alias("conf_t"), (F.col("conf_r") - 0.9 * (F.col("eid") % 13 == 0).cast("int")).alias("conf_r"), pose.alias("pose"))
+    return _r(stats.readiness(rows, table(spark, d, "part").count()), 6)
+
+
 _POSES = "poses AS (SELECT p_partkey AS node, p_retailprice AS x, p_size::DOUBLE AS y FROM part)"
 
 
