@@ -316,3 +316,16 @@ def candidate_selection(spark, d):
     runs = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     said = runs.select("run", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), (F.col("run") % m == 0).alias("accepted")) for c, m in (("pose_graph", 2), ("scale_aware", 3))])).alias("s")).select("run", "s.*")
     return readers.chosen_candidates(spark.read.parquet(root), said, runs, ["pose_graph", "scale_aware"])
+
+
+_KEPT = f"{CLOUD}, k AS (SELECT *, row_number() OVER (ORDER BY frame, pid) - 1 AS pos FROM cloud WHERE conf >= -0.1), t AS (SELECT * FROM k WHERE pos % 3 = 0), s AS (SELECT greatest(1, ceil(count(*) / 90.0))::BIGINT AS step FROM t), c AS (SELECT t.*, step FROM t, s WHERE (pos // 3) % step = 0)"
+
+
+@query("parity_export", f"WITH {_KEPT} SELECT (SELECT count(*) FROM cloud) AS before, count(*) AS after, round(avg(conf), 5) + 0.0 AS mean_conf, {', '.join(f'round({n}({a}), 5) + 0.0 AS {n}_{a}' for a in 'xyz' for n in ('min', 'max'))}, 3 * any_value(step) AS step FROM c")
+def parity_export(spark, d):
+    """A thinned cloud beside its report, which is read back."""
+    root = _folder(spark, "parity")
+    points = cloud(spark, d).select("frame", "pid", "x", "y", "z", "conf")
+    sinks.export_cloud(points, root, -0.1, 3, 90)
+    numbers = ", ".join(f"{n}_{a} double" for a in "xyz" for n in ("min", "max"))
+    return _r(spark.read.schema(f"before long, after long, mean_conf double, {numbers}, step long").json(f"{root}/report"), 5)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import with_position
+
 
 def write_candidate(df: DataFrame, root: str, candidate: str) -> str:
     """A candidate's table in its own folder; raw data are never overwritten."""
@@ -57,3 +59,23 @@ def nested_analysis(points: DataFrame, turns: DataFrame, run: str, pivot: int =
     path = rows.groupBy(run).agg(F.sort_array(F.collect_list(F.struct("k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")))).alias("trajectory_data"))
     bends = turns.groupBy(run).agg(F.sort_array(F.collect_list(F.struct("k", F.round("angle", 1).alias("angle")))).alias("turn_analysis"))
     return path.join(bends, run, "left").select(run, F.to_json(F.struct("trajectory_data", F.coalesce("turn_analysis", F.array()).alias("turn_analysis"))).alias("document"))
+
+
+def export_cloud(points: DataFrame, root: str, least: float, stride: int, most: int) -> DataFrame:
+    """Write a thinned cloud and a report about it under root; returns the cloud read back.
+
+    points (frame, pid, x, y, z, conf): those of `least` confidence, in order of
+    frame and pid, every `stride`-th, and of these every k-th so that at most
+    `most` remain. The report is one JSON line: rows before and after, bounds,
+    mean confidence and the step taken.
+    """
+    kept = with_position(points.filter(F.col("conf") >= least), "frame", "pid")
+    thin = kept.filter(F.col("pos") % stride == 0)
+    step = max(1, -(-thin.count() // most))
+    thin.filter(F.expr(f"pos div {stride}") % step == 0).drop("pos").write.mode("overwrite").parquet(f"{root}/cloud")
+    back = points.sparkSession.read.schema(points.schema).parquet(f"{root}/cloud")
+    bounds = [f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    after = back.agg(F.count(F.lit(1)).alias("after"), F.avg("conf").alias("mean_conf"), *bounds)
+    report = points.agg(F.count(F.lit(1)).alias("before")).join(F.broadcast(after)).withColumn("step", F.lit(stride * step))
+    report.write.mode("overwrite").json(f"{root}/report")
+    return back
