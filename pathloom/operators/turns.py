@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 from .kernels import folded
 from .ranking import grouped_percentiles
-from .series import S, Series, wrap_degrees
+from .series import S, Series, direction, wrap_degrees
 
 #: Curvature in degrees per median step and yaw rate in degrees per second that count as turning, and the least angle of a session.
 CURVED, YAW_RATE, LEAST_ANGLE = 0.35, 3.0, 12.0
@@ -88,7 +88,7 @@ def mean_heading(rows: DataFrame, spans: DataFrame, angle: str, name: str, s: Se
     at = spans.select(s.run, "key", F.explode(F.sequence("lo", "hi")).alias("k")).join(rows.select(s.run, "k", F.radians(angle).alias("a")), [s.run, "k"])
     mean = at.groupBy(s.run, "key").agg(F.avg(F.sin("a")).alias("sin"), F.avg(F.cos("a")).alias("cos"))
     sure = F.hypot("sin", "cos")
-    return mean.select(s.run, "key", F.when(sure > 1e-8, F.degrees(F.atan2("sin", "cos"))).alias(name), F.when(sure > 1e-8, sure).otherwise(0.0).alias(f"{name}_sure"))
+    return mean.select(s.run, "key", F.when(sure > 1e-8, direction("sin", "cos")).alias(name), F.when(sure > 1e-8, sure).otherwise(0.0).alias(f"{name}_sure"))
 
 
 def sessions(df: DataFrame, angle: str = "heading", s: Series = S) -> tuple[DataFrame, DataFrame]:
