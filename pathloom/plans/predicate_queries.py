@@ -10,6 +10,7 @@ from ..operators import predicates as p
 from ..operators import series as s
 from .bindings import CLOUD, EDGES, TASKS, TRAJ, cloud, edges, table, tasks, trajectory
 from .catalog import query
+from .series_queries import _round
 
 
 def _r(df, digits=4):
@@ -184,7 +185,7 @@ def registry_documents(spark, d):
 
 @query("turn_positions", f"WITH {CLOUD} SELECT pid, CASE WHEN frame % 3 > 0 THEN [round(x, 5), round(y, 5), CASE WHEN frame % 2 = 0 THEN round(z, 5) ELSE 0 END] ELSE [0.0::DOUBLE, 0, 0] END AS position FROM cloud")
 def turn_positions(spark, d):
-    place = F.when(F.col("frame") % 3 > 0, F.struct(F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.when(F.col("frame") % 2 == 0, F.round("z", 5)).alias("z")))
+    place = F.when(F.col("frame") % 3 > 0, F.struct(_round("x", 5).alias("x"), _round("y", 5).alias("y"), F.when(F.col("frame") % 2 == 0, _round("z", 5)).alias("z")))
     return cloud(spark, d).withColumn("at", place).select("pid", F.array(*[F.coalesce(F.col(f"at.{c}"), F.lit(0.0)) for c in "xyz"]).alias("position"))
 
 

@@ -23,8 +23,13 @@ PROGRESS = f"{STEPS}, pr AS (SELECT run, sum(coalesce(step, 0)) AS length, sqrt(
 REVERSE = f"long AS (SELECT * FROM steps WHERE step >= 0.25), bends AS (SELECT run, degrees(acos(greatest(-1, least(1, (dx * lead(dx) OVER {W} + dy * lead(dy) OVER {W}) / (step * lead(step) OVER {W}))))) >= 135 AS back FROM long), rev AS (SELECT run, coalesce(avg(back::INT), 0)::DOUBLE AS reverse_ratio FROM bends GROUP BY run)"
 
 
+def _round(c, digits):
+    """Rounded as in SQL, where what rounds to zero keeps its sign; Spark's round drops it."""
+    return F.signum(c) * F.abs(F.round(c, digits))
+
+
 def _r(df, digits=4):
-    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    return df.select(*[_round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 @query("traj_step_distance", f"WITH {STEPS} SELECT run, id, round(dx, 4) dx, round(dy, 4) dy, round(dt, 4) dt, round(step, 4) step FROM steps")

@@ -46,3 +46,11 @@ def test_wrapping_has_the_bits_of_sql(spark):
     angles = [float(np.nextafter(k, k + d)) for k in (-540, -360, -180, 0, 180, 360, 540) for d in (-1, 1)] + [180.0, -180.0, 540.0]
     got = [r[0] for r in spark.createDataFrame([(a,) for a in angles], "a double").select(wrap_degrees(F.col("a"))).collect()]
     assert got == [180.0 - ((180.0 - a) - 360.0 * math.floor((180.0 - a) / 360.0)) for a in angles]
+
+
+def test_positions_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    vectors = [[-1e-7, 1e-7, -2e-6, 0, 0, 0, 0], [-0.0, -0.000004, 0.5, 0, 0, 0, 0]]
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest([1, 2])::BIGINT AS vec_id, unnest({vectors}::FLOAT[][]) AS embedding, unnest([2, 4])::INT AS label) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert texts(registry.QUERIES["turn_positions"](spark, str(tmp_path)).toArrow()) == texts(con.sql(registry.ORACLES["turn_positions"]).to_arrow_table())
