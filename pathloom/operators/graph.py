@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import drop_stored, stored
+from .joins import merged
 from .ranking import percentiles
 
 
@@ -51,9 +52,9 @@ def components(edges: DataFrame, a: str = "i", b: str = "j", last_edges: int = L
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("h"), F.col(c).alias("p"))  # noqa: B023, E731
         both = live.union(live.select("v", "u"))
         first = both.groupBy("u").agg(F.min(rank("v")).alias("r")).select("u", F.least(rank("u"), F.col("r"))["p"].alias("p"))
-        follow = lambda t: t.join(t.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+        follow = lambda t: merged(t).join(t.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.coalesce("q", "p").alias("p"))
         hop = stored(follow(follow(first)), "hop")
-        ends = live.join(hop.select("u", F.col("p").alias("x")), "u").join(hop.select(F.col("u").alias("v"), F.col("p").alias("y")), "v")
+        ends = merged(merged(live).join(hop.select("u", F.col("p").alias("x")), "u")).join(hop.select(F.col("u").alias("v"), F.col("p").alias("y")), "v")
         rest = stored(ends.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
         drop_stored(live)
         rounds.append(hop)
@@ -72,12 +73,12 @@ def components(edges: DataFrame, a: str = "i", b: str = "j", last_edges: int = L
     drop_stored(live)
     roots = nodes.select("node", F.col("node").alias("root"))
     for hop in rounds:
-        roots = roots.join(hop.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        roots = merged(roots).join(hop.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
     if len(rounds) == 1:  # no contraction: the roots are the smallest nodes
         return roots.withColumnRenamed("root", "component")
     roots = stored(roots, "roots")
     drop_stored(*rounds)
-    return roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    return merged(roots).join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def component_summary(edges: DataFrame, nodes: DataFrame, a: str = "i", b: str = "j", node: str = "node") -> DataFrame:

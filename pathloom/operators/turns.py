@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from .joins import merged
 from .kernels import folded
 from .ranking import grouped_percentiles
 from .series import S, Series, direction, wrap_degrees
@@ -85,7 +86,7 @@ def _islands(rows: DataFrame, apart: Column, s: Series) -> DataFrame:
 
 def mean_heading(rows: DataFrame, spans: DataFrame, angle: str, name: str, s: Series = S) -> DataFrame:
     """spans (run, key, lo, hi) with the circular mean (degrees) and concentration of the angles of rows lo to hi."""
-    at = spans.select(s.run, "key", F.explode(F.sequence("lo", "hi")).alias("k")).join(rows.select(s.run, "k", F.radians(angle).alias("a")), [s.run, "k"])
+    at = merged(spans.select(s.run, "key", F.explode(F.sequence("lo", "hi")).alias("k"))).join(rows.select(s.run, "k", F.radians(angle).alias("a")), [s.run, "k"])
     mean = at.groupBy(s.run, "key").agg(F.avg(F.sin("a")).alias("sin"), F.avg(F.cos("a")).alias("cos"))
     sure = F.hypot("sin", "cos")
     return mean.select(s.run, "key", F.when(sure > 1e-8, direction("sin", "cos")).alias(name), F.when(sure > 1e-8, sure).otherwise(0.0).alias(f"{name}_sure"))
@@ -117,7 +118,7 @@ def sessions(df: DataFrame, angle: str = "heading", s: Series = S) -> tuple[Data
     joined = stored(joined, "sessions")
     before = mean_heading(rows, joined.select(s.run, "key", F.greatest(F.lit(0), F.col("start") - F.col("wide")).alias("lo"), F.col("start").alias("hi")), angle, "before", s)
     after = mean_heading(rows, joined.select(s.run, "key", F.col("stop").alias("lo"), F.least(F.col("n") - 1, F.col("stop") + F.col("wide")).alias("hi")), angle, "after", s)
-    inside = joined.select(s.run, "key", "first", "last", "start", "stop", F.explode(F.sequence("start", "stop")).alias("k")).join(rows.select(s.run, "k", "rate", "dist", "curvature", "yaw"), [s.run, "k"])
+    inside = merged(joined.select(s.run, "key", "first", "last", "start", "stop", F.explode(F.sequence("start", "stop")).alias("k"))).join(rows.select(s.run, "k", "rate", "dist", "curvature", "yaw"), [s.run, "k"])
     own = F.col("k").between(F.col("first"), F.col("last"))
     size = F.when(own, F.abs("rate"))
     seen = inside.groupBy(s.run, "key").agg(

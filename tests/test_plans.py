@@ -163,3 +163,12 @@ def test_a_wall_parts_a_run_and_long_runs_pass(spark):
     assert len(one) == 400 and {p for *_, p in one} == {0, 1} and all(p == (k > 6) or abs(k - 6) <= 1 for k, _, _, p in one)
     assert sum(cx == k and cy == 1 for k, cx, cy, _ in one) > 380 and not any(held[cx, cy] for _, cx, cy, _ in one)
     assert [(r["cx"], r["cy"], r["piece"]) for r in got if r["run"] == 2] == [(3, 1, 0)] and not any(r["run"] == 3 for r in got)
+
+
+@pytest.mark.parametrize("name", ["plan_snapped", "plan_matched", "plan_regions", "plan_clearance"])
+def test_exploded_tables_are_not_broadcast(spark, name):
+    """Spark's estimate takes an exploded table for small at any size."""
+    from pathloom.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
