@@ -20,6 +20,10 @@ from .catalog import query
 from .kernel_queries import PLAN, _plan
 
 
+#: Edges that one file of the edge folders holds, about.
+EDGES_A_FILE = 100_000
+
+
 def _r(df, digits=4):
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
@@ -69,13 +73,17 @@ def pose_directory(spark, d):
 
 @query("edge_file_scan", f"WITH {EDGES} SELECT etype AS file, count(*) AS n, sum(i)::BIGINT AS i, sum(j)::BIGINT AS j, round(sum(conf), 4) AS conf FROM edges GROUP BY etype UNION ALL SELECT 'json', count(*), sum(i)::BIGINT, sum(j)::BIGINT, round(sum(conf), 4) FROM edges")
 def edge_files(spark, d):
-    """An NPZ file with its contract for each type of edge, and JSON arrays, the older form."""
+    """NPZ files with their contract for each type of edge, and JSON arrays, the older form.
+
+    Their number grows with the edges, so that one file stays small.
+    """
     root, old = _folder(spark, "edges"), _folder(spark, "edges-json")
     rows = edges(spark, d)
-    blocks = rows.withColumn("file", F.concat("etype", F.lit("_"), F.pmod("eid", F.lit(16)), F.lit(".npz")))
+    block = F.pmod(F.xxhash64("eid"), F.lit(max(16, -(-rows.count() // EDGES_A_FILE))))
+    blocks = rows.withColumn("file", F.concat("etype", F.lit("_"), block, F.lit(".npz")))
     contract = readers.EDGE_CONTRACT
     _write_files(blocks, root, lambda part: _npz(frame_i=part["i"].to_numpy(), frame_j=part["j"].to_numpy(), confidence=part["conf"].to_numpy(), edge_type=part["etype"].to_numpy(str), **contract))
-    lists = rows.groupBy(F.pmod("eid", F.lit(16)).alias("b")).agg(F.to_json(F.collect_list(F.struct(F.col("i").alias("frame_i"), F.col("j").alias("frame_j"), F.col("conf").alias("confidence"), F.col("etype").alias("edge_type")))).alias("value"))
+    lists = rows.groupBy(block.alias("b")).agg(F.to_json(F.collect_list(F.struct(F.col("i").alias("frame_i"), F.col("j").alias("frame_j"), F.col("conf").alias("confidence"), F.col("etype").alias("edge_type")))).alias("value"))
     lists.write.partitionBy("b").text(old + "/t")
     totals = lambda df, name: df.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("i"), F.sum("j").alias("j"), F.round(F.sum("confidence"), 4).alias("conf"))
     new = totals(readers.edge_lists(spark, root, strict=True), F.col("etype"))
