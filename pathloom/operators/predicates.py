@@ -16,11 +16,11 @@ SOURCES = ("raw", "robust_candidate", "scale_aware_candidate")
 
 def number(text: Column, default: float | None = None, low: float | None = None, high: float | None = None) -> Column:
     """Text as a finite number within [low, high]; the default where it is none."""
-    value = text.try_cast("double")
-    value = F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
-    value = F.coalesce(value, F.lit(default).cast("double"))
+    # A filtered array names the value, so that the text, which may be costly, is made once.
+    value = F.get(F.filter(F.array(text.try_cast("double")), lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(0))
+    value = value if default is None else F.coalesce(value, F.lit(default).cast("double"))
     value = value if low is None else F.greatest(F.lit(low), value)
-    return F.when(value.isNotNull(), value if high is None else F.least(F.lit(high), value))
+    return value if high is None else F.when(value.isNotNull(), F.least(F.lit(high), value))
 
 
 def json_points(text: Column) -> Column:
