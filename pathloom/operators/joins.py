@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task of a window over whole runs holds, about.
+ROWS_A_TASK = 100_000
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df dealt by `by` to a number of tasks that grows with its rows.
+
+    Windows that follow keep this partitioning, so a task's sorts and buffers
+    stay as large as they are however many rows there are; with the session's
+    fixed number of partitions they would grow with the table.
+    """
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(fewest, -(-df.count() // ROWS_A_TASK)), by)
+
+
 def merged(df: DataFrame) -> DataFrame:
     """df for a join by sorting on both sides, never by broadcast.
 
@@ -23,19 +38,21 @@ def overlap_merge(left: DataFrame, right: DataFrame, on: str, conf: str) -> Data
     return kept.unionByName(right.join(left.select(on).distinct(), on, "left_anti").select(*left.columns))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, t: str, value: str, nearest: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, t: str, value: str, nearest: bool = False, parts: int | None = None) -> DataFrame:
     """left with right's value interpolated at left's time, by group.
 
     Both sides are united; the neighbours before and after are carried by two
     running windows, one for each direction, so no pairs are made and the work
     is linear in a group's rows. Outside right's span the nearest
     end is held; without right rows the value is null. With `nearest` the closer
-    neighbour is taken, the earlier one on a tie.
+    neighbour is taken, the earlier one on a tie. `parts` tasks share the groups.
     """
     names = left.columns
     rows = left.select(*names, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_left")).unionByName(
         right.select(F.col(by), F.col(t), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_left")), allowMissingColumns=True
     )
+    if parts:
+        rows = rows.repartition(parts, by)
     known = F.when(F.col("_left") == 0, F.col(t))
     before = Window.partitionBy(by).orderBy(t, "_left").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(by).orderBy(F.desc(t), "_left").rowsBetween(Window.unboundedPreceding, 0)

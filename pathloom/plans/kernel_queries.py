@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, calibration, hypotheses, kernels, posegraph, repair, routing, trellis
 from ..operators import series as s
-from ..operators.joins import merged
+from ..operators.joins import dealt, merged
 from .bindings import TRAJ, cloud, table, trajectory
 from .catalog import query
 from .series_queries import STEPS, W
@@ -24,7 +24,7 @@ def _r(df, digits=4):
 def _walk(spark, d):
     """Every run as a walk: positions are running sums of the events' numbers."""
     w = Window.partitionBy("run").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return trajectory(spark, d).select("run", "t", "id", "kind", F.sum(F.col("x") / 50 - F.col("id") % 3 / 4).over(w).alias("x"), F.sum(F.col("y") / 50 - 0.5).over(w).alias("y"), (F.col("y") % 10).alias("conf"))
+    return dealt(trajectory(spark, d), "run").select("run", "t", "id", "kind", F.sum(F.col("x") / 50 - F.col("id") % 3 / 4).over(w).alias("x"), F.sum(F.col("y") / 50 - 0.5).over(w).alias("y"), (F.col("y") % 10).alias("conf"))
 
 
 def _drive(spark, d):
