@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..sources.shared import drop_stored, stored
-from .joins import as_of
+from .joins import ROWS_A_TASK, as_of
 from .plan import fitted_similarity
 from .ranking import grouped_percentiles
 
@@ -136,8 +136,11 @@ def fused(first: DataFrame, second: DataFrame, by: str, t: str, key: str, blend:
     """
     from pyspark.sql import Window
 
-    at = as_of(first.select(by, key, t, "x", "y"), second.select(by, t, F.col("x").alias("u")), by, t, "u")
-    at = as_of(at, second.select(by, t, F.col("y").alias("v")), by, t, "v").filter("u is not null and v is not null")
+    # Both sides are made once, and dealt so that a task's windows don't grow with the table.
+    first, second = stored(first.select(by, key, t, "x", "y"), "first"), stored(second.select(by, t, "x", "y"), "second")
+    parts = max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(first.count() + second.count()) // ROWS_A_TASK))
+    at = as_of(first, second.select(by, t, F.col("x").alias("u")), by, t, "u", parts=parts)
+    at = stored(as_of(stored(at, "at"), second.select(by, t, F.col("y").alias("v")), by, t, "v", parts=parts).filter("u is not null and v is not null"), "at")
     fit = robust_similarity(at.select(by, F.col("u").alias("x"), F.col("v").alias("y"), F.col("x").alias("u"), F.col("y").alias("v")), by)
     turned = F.radians("angle")
     moved = at.join(fit, by).withColumns({
@@ -150,7 +153,7 @@ def fused(first: DataFrame, second: DataFrame, by: str, t: str, key: str, blend:
     gates = stored(gates.select(by, "n", ratio(0).alias("median_ratio"), ratio(1).alias("p95_ratio"), F.coalesce((F.col("n") >= 6) & (ratio(0) <= middle) & (ratio(1) <= far), F.lit(False)).alias("accepted")), "gates")
     w, whole = Window.partitionBy(by).orderBy(t, key), Window.partitionBy(by)
     share = (F.row_number().over(w) - 1) / F.greatest(F.lit(1), F.count(F.lit(1)).over(whole) - 1)
-    rows = moved.join(gates.select(by, "accepted"), by).withColumn("pull", F.when(F.col("accepted"), blend * F.sin(math.pi * share)).otherwise(0.0))
+    rows = moved.join(gates.select(by, "accepted"), by).repartition(parts, by).withColumn("pull", F.when(F.col("accepted"), blend * F.sin(math.pi * share)).otherwise(0.0))
     return rows.select(by, key, t, (F.col("x") + F.col("pull") * (F.col("ax") - F.col("x"))).alias("x"), (F.col("y") + F.col("pull") * (F.col("ay") - F.col("y"))).alias("y"), "accepted"), gates
 
 
