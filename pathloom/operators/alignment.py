@@ -10,12 +10,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from ..sources.shared import drop_stored, stored
 from .joins import ROWS_A_TASK, as_of
 from .plan import fitted_similarity
-from .ranking import grouped_percentiles
+from .ranking import grouped_percentiles, with_position
 
 
 NUMBERS = ArrayType(DoubleType())
@@ -157,41 +157,80 @@ def fused(first: DataFrame, second: DataFrame, by: str, t: str, key: str, blend:
     return rows.select(by, key, t, (F.col("x") + F.col("pull") * (F.col("ax") - F.col("x"))).alias("x"), (F.col("y") + F.col("pull") * (F.col("ay") - F.col("y"))).alias("y"), "accepted"), gates
 
 
+#: Points of a frame that are held against its planes at once.
+POINTS_A_BLOCK = 256
+
+
 def floor_planes(points: DataFrame, up: tuple[float, float, float], rounds: int = 72, by: str = "frame") -> DataFrame:
     """The floor seen in each frame of 80 points or more: (frame, height, inliers, alignment, residual).
 
     Random triples, seeded by the frame, propose planes within 39 degrees of
     `up`; that with the best share of points within 1.2 % of the median depth is
-    fitted again. Frames without a sure floor have no row.
+    fitted again. Frames without a sure floor, or with a missing number, have no row.
+
+    A frame may span many tasks: its points are held against the planes in
+    blocks, and medians and sums are aggregates. One task holds a frame's
+    triples and, to draw them, one number for each of its points.
     """
     want = np.array(up, float) / np.linalg.norm(up)
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        p, frame = rows.sort_values("id")[["x", "y", "z"]].to_numpy(float), rows[by].iloc[0]
-        out = pd.DataFrame(columns=[by, "height", "inliers", "alignment", "residual"])
-        if len(p) < 80:
-            return out
-        rng = np.random.RandomState((int(frame) + 17) % (1 << 32))
-        near = max(0.012 * np.median(np.linalg.norm(p, axis=1)), 1e-5)
-        pick = p[np.array([rng.choice(len(p), 3, replace=False) for _ in range(rounds)])]
+    rows = stored(with_position(points.select(by, "id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), by, "id"), "points")
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in "xyz"])
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("base"), F.max(missing).alias("missing")).filter("n >= 80 and not missing")
+    depth = _median(rows, by, F.sqrt(F.expr("x * x + y * y + z * z")), "depth")
+    frames = stored(sizes.join(depth, by).select(by, "n", "base", F.greatest(0.012 * F.col("depth"), F.lit(1e-5)).alias("near")), "frames")
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def drawn(frame: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for f, many in zip(frame.to_pylist(), n.to_pylist(), strict=True):
+            rng = np.random.RandomState((int(f) + 17) % (1 << 32))
+            out.append([int(k) for _ in range(rounds) for k in rng.choice(many, 3, replace=False)])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    def planes(rows: pd.DataFrame) -> pd.DataFrame:
+        pick = rows.sort_values("k")[["x", "y", "z"]].to_numpy(float).reshape(-1, 3, 3)
         normal = np.cross(pick[:, 1] - pick[:, 0], pick[:, 2] - pick[:, 0])
         size = np.linalg.norm(normal, axis=1)
         normal, pick = normal[size > 1e-9] / size[size > 1e-9, None], pick[size > 1e-9]
-        aligned = np.abs(normal @ want)
-        normal, pick, aligned = (v[aligned >= 0.78] for v in (normal, pick, aligned))
-        if not len(normal):
-            return out
-        inside = np.abs(p @ normal.T - (pick[:, 0] * normal).sum(axis=1)) <= near
-        best = inside[:, int((inside.mean(axis=0) * aligned**2).argmax())]
-        if best.sum() < 60:
-            return out
-        centre = np.median(p[best], axis=0)
-        n = np.linalg.svd(p[best] - centre, full_matrices=False)[2][-1]
-        n = -n if n @ want < 0 else n
-        height = abs(float(centre @ n))
-        residual = float(np.median(np.abs((p[best] - centre) @ n))) / max(height, 1e-12)
-        if height <= 1e-6 or n @ want < 0.82 or residual > 0.045 or best.mean() < 0.12:
-            return out
-        return pd.DataFrame([(frame, height, float(best.mean()), float(n @ want), residual)], columns=out.columns)
-
-    return points.groupBy(by).applyInPandas(kernel, f"{by} long, height double, inliers double, alignment double, residual double")
+        keep = np.abs(normal @ want) >= 0.78
+        normal, pick = normal[keep], pick[keep]
+        flat = np.column_stack([normal, (pick[:, 0] * normal).sum(axis=1)])
+        return pd.DataFrame({by: [rows[by].iloc[0]], "planes": [flat.reshape(-1).tolist()]})
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def inside(xs: pa.Array, ys: pa.Array, zs: pa.Array, planes: pa.Array, near: pa.Array) -> pa.Array:
+        out = []
+        for x, y, z, p, limit in zip(xs, ys, zs, planes, near.to_pylist(), strict=True):
+            x, y, z = (v.values.to_numpy(zero_copy_only=False)[:, None] for v in (x, y, z))
+            a, b, c, d = p.values.to_numpy(zero_copy_only=False).reshape(-1, 4).T
+            out.append((np.abs(x * a + y * b + z * c - d) <= limit).sum(axis=0).tolist())
+        return pa.array(out, pa.list_(pa.int64()))
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picks = frames.repartition(tasks, by).select(by, "base", F.posexplode(drawn(by, "n")).alias("k", "at")).select(by, "k", (F.col("base") + F.col("at")).alias("pos"))
+    found = rows.join(picks, [by, "pos"]).groupBy(by).applyInPandas(planes, f"{by} long, planes array<double>")
+    found = stored(found.filter(F.size("planes") > 0).join(frames, by), "planes")
+    blocks = rows.groupBy(by, F.floor(F.col("pos") / POINTS_A_BLOCK).alias("block")).agg(*[F.collect_list(c).alias(c) for c in "xyz"])
+    counts = blocks.join(found.select(by, "planes", "near"), by).select(by, F.posexplode(inside("x", "y", "z", "planes", "near")).alias("plane", "inside"))
+    counts = counts.groupBy(by, "plane").agg(F.sum("inside").alias("inside")).join(found, by)
+    a, b, c, d = (F.col("planes")[4 * F.col("plane") + k] for k in range(4))
+    aligned = F.abs(a * float(want[0]) + b * float(want[1]) + c * float(want[2]))
+    one = F.struct((F.col("inside") / F.col("n") * (aligned * aligned)).alias("score"), (-F.col("plane")).alias("first"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), "inside", "n", "near")
+    best = counts.groupBy(by).agg(F.max(one).alias("o")).select(by, "o.*").filter("inside >= 60")
+    kept = stored(rows.join(best, by).filter("abs(x * a + y * b + z * c - d) <= near").select(by, "x", "y", "z", "n"), "inliers")
+    centre = reduce(lambda l, r: l.join(r, by), [_median(kept, by, F.col(c), f"m{c}") for c in "xyz"])
+    moved = kept.join(centre, by).select(by, "n", "mx", "my", "mz", *[(F.col(c) - F.col(f"m{c}")).alias(f"d{c}") for c in "xyz"])
+    sums = F.array(*[F.sum(F.col(f"d{p}") * F.col(f"d{q}")) for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")])
+
+    @F.arrow_udf(NUMBERS)
+    def normals(cov: pa.Array) -> pa.Array:
+        m = np.array(cov.to_pylist(), float).reshape(-1, 6)
+        n = np.linalg.eigh(m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))[1][:, :, 0]
+        return pa.array((n * np.where(n @ want < 0, -1.0, 1.0)[:, None]).tolist(), pa.list_(pa.float64()))
+
+    fit = moved.groupBy(by, "n", "mx", "my", "mz").agg(F.count(F.lit(1)).alias("inside"), sums.alias("cov")).withColumn("normal", normals("cov"))
+    u = [F.col("normal")[k] for k in range(3)]
+    fit = stored(fit.select(by, (F.col("inside") / F.col("n")).alias("inliers"), F.abs(F.col("mx") * u[0] + F.col("my") * u[1] + F.col("mz") * u[2]).alias("height"), (u[0] * float(want[0]) + u[1] * float(want[1]) + u[2] * float(want[2])).alias("alignment"), u[0].alias("a"), u[1].alias("b"), u[2].alias("c")), "fit")
+    off = _median(moved.join(fit, by), by, F.abs(F.expr("dx * a + dy * b + dz * c")), "off")
+    out = fit.join(off, by).select(by, "height", "inliers", "alignment", (F.col("off") / F.greatest("height", F.lit(1e-12))).alias("residual"))
+    return out.filter("height > 1e-6 and alignment >= 0.82 and residual <= 0.045 and inliers >= 0.12")
