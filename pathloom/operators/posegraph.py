@@ -7,10 +7,12 @@ only. Then rotations and, with these fixed, positions are corrected in rounds: e
 is a least-squares problem on the graph's weighted Laplacian, whose weights belong
 to a truncated loss that goes from convex to tight.
 
-A block's frames form one task's work. In a round each block eliminates its frames
-against those with edges to other blocks; these few are solved per run in a second
-pass, and the blocks fill in their own. Blocks without such edges are done at once.
-Every round's blocks and answers are tables in the shared folder.
+A task's call takes many blocks. In a round each block eliminates its frames against
+those with edges to other blocks; these few are solved per run in a second pass, and
+the blocks fill in their own. Blocks without such edges are done at once. A run whose
+fitted edges agree along its tree up to rounding needs no round: no weight and no
+correction could change. The rounds of the others keep blocks and answers in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -27,6 +29,15 @@ from ..sources.shared import drop_stored, stored
 from .sparse import eliminated, laplacian, solved
 
 BLOCK = 256
+#: Frames that one call takes, about.
+FRAMES_A_CALL = 8192
+#: Calls that one task makes.
+CALLS_A_TASK = 16
+#: A block's result, a row a frame.
+FRAME_COLUMNS = ["block", "frame", "old", "s0", "new", "s1", "n", "largest", "cost", "ends"]
+FRAME_SCHEMA = "block long, frame long, old array<double>, s0 double, new array<double>, s1 double, n long, largest long, cost array<double>, ends array<double>"
+#: An edge fits up to rounding within this angle, this share of its size and this share of its ends' distance from the origin.
+FITS, ROUNDING = 1e-9, 1e-14
 #: Where a residual counts as wrong: an angle in degrees, a distance in sizes of the edge.
 ANGLE_LIMIT, SHIFT_LIMIT = 10.0, 0.5
 ROUNDS = 8
@@ -104,6 +115,12 @@ class Edges:
         share = np.where(self.tree, np.maximum(share, TREE_SHARE), share)
         return left, np.where(self.held, 0.0, self.w * share / (1 if turn else self.size**2))
 
+    def fit(self, q: np.ndarray, c: np.ndarray) -> bool:
+        """Whether the fitted edges leave rounding only, so that no round would move a pose."""
+        own = self.at(~self.held)
+        room = FITS * own.size + ROUNDING * (np.abs(c[own.i]).max(axis=1) + np.abs(c[own.j]).max(axis=1))
+        return bool((np.linalg.norm(own.turns(q), axis=1) <= FITS).all() and (np.linalg.norm(own.shifts(q, c), axis=1) <= room).all())
+
     def cost(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
         """(weight, weighted truncated loss, weighted inliers) of the fitted edges, then of those held out."""
         angle = np.linalg.norm(self.turns(q), axis=1) / math.radians(ANGLE_LIMIT)
@@ -185,7 +202,7 @@ def opened(frames: np.ndarray, q: np.ndarray, c: np.ndarray, edges: Edges, gap:
     report = {
         "block": block, "frames": frames[boundary], "part": part[boundary], "rel_q": rel_q[boundary], "rel_c": rel_c[boundary], "q": q[boundary], "c": c[boundary],
         "sizes": {int(p): int(sizes[p]) for p in shown}, "alone": int(np.delete(sizes, shown).max(initial=0)), "n": len(frames),
-        "half": [h for h in half if h["i"] in place],
+        "half": [h for h in half if h["i"] in place], "fits": edges.fit(rel_q, rel_c),
     }
     # Parts that nobody else sees keep their first frame.
     for p in np.setdiff1d(part, shown):
@@ -235,6 +252,8 @@ def alone(state: dict) -> None:
     """All rounds of a block that no other one sees: its first frame stays."""
     own = state["part"] == state["part"][0]
     state["q"][own], state["c"][own] = placed(state["rel_q"][own], state["rel_c"][own], state["q0"][0], state["c0"][0])
+    if state["edges"].fit(state["q"], state["c"]):
+        return
     for turn in (True, False):
         for k in range(ROUNDS):
             reduced(state, turn, sharpness(k))
@@ -276,8 +295,9 @@ def tied(reports: list[dict]) -> tuple[dict, list[tuple[int, list]]]:
         composed(part_q, part_c, [g], near, step)
     state = {
         "q0": q, "c0": c, "q": part_q[part] @ rel_q, "c": part_c[part] + np.einsum("nab,nb->na", part_q[part], rel_c), "edges": edges, "pins": pins,
-        "blocks": [(r["block"], len(r["frames"])) for r in reports], "largest": int(max(sizes.max(), max(r["alone"] for r in reports))), "n": sum(r["n"] for r in reports),
+        "fits": all(r["fits"] for r in reports), "blocks": [(r["block"], len(r["frames"])) for r in reports], "largest": int(max(sizes.max(), max(r["alone"] for r in reports))), "n": sum(r["n"] for r in reports),
     }
+    state["fits"] = state["fits"] and edges.fit(state["q"], state["c"])
     return state, [(r["block"], [(int(p), part_q[number[r["block"], int(p)]], part_c[number[r["block"], int(p)]]) for p in np.unique(r["part"])]) for r in reports]
 
 
@@ -333,6 +353,7 @@ def prepared(edges: DataFrame, run: str) -> DataFrame:
     # Medians by sketch, exact up to 10,000 edges a run.
     unit = F.when((F.col("gap") <= LOCAL_GAP) & (F.col("norm") > 1e-8), F.col("norm") / F.col("gap"))
     scale = one.groupBy(run).agg(F.percentile_approx("weight", 0.5, 10_000).alias("middle"), F.coalesce(F.percentile_approx(unit, 0.5, 10_000), F.lit(1.0)).alias("unit"))
+    scale = stored(scale, "scale")  # of known size: with few runs the edges are not shuffled for it
     held = F.pmod(F.xxhash64(F.col(run), F.col("i"), F.col("j")), F.lit(HELD_OUT)) == 0
     weight = F.least(F.lit(WEIGHTS[1]), F.greatest(F.lit(WEIGHTS[0]), F.col("weight") / F.col("middle"))) / F.col("gap")
     size = F.greatest("norm", F.col("unit") * F.sqrt(F.col("gap").cast("double")), F.lit(1e-8))
@@ -354,129 +375,168 @@ def optimise(poses: DataFrame, edges: DataFrame, run: str = "run", block: int =
     """
     kind = poses.schema[run].dataType.simpleString()
     at = lambda c: F.floor(F.col(c) / block)
-    nodes = poses.select(run, F.col("frame").cast("long").alias("frame"), "pose", at("frame").alias("block"))
+    nodes = poses.filter(F.col(run).isNotNull()).select(run, F.col("frame").cast("long").alias("frame"), "pose", at("frame").alias("block"))
     links = prepared(edges, run)
     links = links.withColumn("block", F.explode(F.array_distinct(F.array(at("i"), at("j"))))).withColumn("half", at("i") != at("j"))
+    calls = -(-nodes.count() // FRAMES_A_CALL) or 1
+    tasks = max(int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-calls // CALLS_A_TASK))
+    called = lambda df: df.withColumn("call", F.pmod(F.xxhash64(run, "block"), F.lit(calls))).repartition(tasks, "call").groupBy("call")
 
     def open_kernel(key, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        columns = [run, "block", "shut", "state", "report"]
-        if not len(rows):
-            return pd.DataFrame(columns=columns)
-        rows = rows.sort_values("frame")
-        frames = rows["frame"].to_numpy()
-        pose = np.stack([np.asarray(p, float) for p in rows["pose"]]).reshape(-1, 4, 4)
-        have = set(frames.tolist())
-        records = links.drop(columns=[run, "block"]).sort_values(["i", "j"]).to_dict("records")
-        half = [r for r in records if r["half"]]
-        own = [r for r in records if not r["half"] and r["i"] in have and r["j"] in have]
-        ends = np.searchsorted(frames, np.array([[r["i"], r["j"]] for r in own], np.int64).reshape(-1, 2))
-        gap = np.array([r["gap"] for r in own], int)
-        state, report = opened(frames, pose[:, :3, :3].copy(), pose[:, :3, 3].copy(), edge_arrays(own, ends[:, 0], ends[:, 1]), gap, half, int(key[1]))
-        if shut := not half:
-            alone(state)
-        return pd.DataFrame([[key[0], key[1], shut, pickle.dumps(state), pickle.dumps(report)]], columns=columns)
-
-    blocks = stored(nodes.groupBy(run, "block").cogroup(links.groupBy(run, "block")).applyInPandas(open_kernel, f"{run} {kind}, block long, shut boolean, state binary, report binary"), "blocks")
-    shut, live = blocks.filter("shut"), blocks.filter("not shut").select(run, "block", "state", "report")
-    schema = f"{run} {kind}, block long, state binary, report binary"
-    answer = f"{run} {kind}, block long, data binary"
-    rounds = [(turn, k) for turn in (True, False) for k in range(ROUNDS)]
-    spent = None
-    if live.limit(1).count():
-
-        def tie(key, rows: pd.DataFrame) -> pd.DataFrame:
-            state, parts = tied([pickle.loads(r) for r in rows["report"]])
+        out = []
+        rows, links = rows.sort_values([run, "block", "frame"]), links.sort_values([run, "block", "i", "j"])
+        pose = _stack(rows["pose"], 4, 4)
+        every = {f: links[f].to_numpy() for f in ("i", "j", "weight", "size", "held", "gap", "half")} | {"rotation": _stack(links["rotation"], 3, 3), "shift": _stack(links["shift"], 3)}
+        spans, all_frames = dict(_spans(links, run)), rows["frame"].to_numpy()
+        for (r, b), own in _spans(rows, run):
+            frames = all_frames[own]
+            have = {f: v[spans.get((r, b), slice(0, 0))] for f, v in every.items()}
+            half = [dict(zip(have, values, strict=True)) for values in zip(*(v[have["half"].astype(bool)] for v in have.values()), strict=True)]
+            ends = np.stack([have["i"], have["j"]], axis=1).astype(np.int64)
+            place = np.searchsorted(frames, ends)
+            inside = ~have["half"].astype(bool) & (frames[np.minimum(place, len(frames) - 1)] == ends).all(axis=1)
+            edges = Edges(i=place[inside, 0], j=place[inside, 1], m=have["rotation"][inside], s=have["shift"][inside], w=have["weight"][inside], size=have["size"][inside], held=have["held"][inside].astype(bool), tree=np.zeros(int(inside.sum()), bool))
+            state, report = opened(frames, pose[own, :3, :3].copy(), pose[own, :3, 3].copy(), edges, have["gap"][inside].astype(int), half, int(b))
+            if not half:
+                alone(state)
+                out.append(_frames(r, b, state, costs(state)))
+                continue
+            base = {f: state[f] for f in ("frames", "q0", "c0", "part", "boundary", "rel_q", "rel_c")}
+            base["cost"] = np.concatenate([edges.cost(state["q0"], state["c0"]), edges.cost(state["rel_q"], state["rel_c"])])
+            out.append(pd.DataFrame([[r, b, pickle.dumps(base), pickle.dumps(edges), pickle.dumps(report)]], columns=[run, "block", "base", "edges", "report"]))
+        out = [o.rename(columns={"run": run}) for o in out] or [pd.DataFrame()]
+        out = pd.concat(out, ignore_index=True).reindex(columns=[run, *FRAME_COLUMNS, "base", "edges", "report"]).astype({"frame": "Int64", "block": "Int64", "n": "Int64", "largest": "Int64"})
+        for c in ("old", "new", "cost", "ends", "base", "edges", "report"):  # what a row lacks is null, not NaN
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        return out
+
+    found = f"{run} {kind}, {FRAME_SCHEMA}"
+    blocks = stored(called(nodes).cogroup(called(links)).applyInPandas(open_kernel, f"{found}, base binary, edges binary, report binary"), "blocks")
+    done = [blocks.filter("frame is not null").select(run, *FRAME_COLUMNS)]
+    live = blocks.filter("report is not null")
+    if not live.limit(1).count():
+        return _judged(done[0], None, run, kind)
+
+    def tie(key, rows: pd.DataFrame) -> pd.DataFrame:
+        state, parts = tied([pickle.loads(r) for r in rows["report"]])
+        return pd.DataFrame([[key[0], b, pickle.dumps(p), state["fits"]] for b, p in parts] + [[key[0], None, pickle.dumps(state), state["fits"]]], columns=[run, "block", "data", "fits"]).astype({"block": "Int64"})
+
+    def settle(key, rows: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(data):
+            return pd.DataFrame(columns=[run, *FRAME_COLUMNS])
+        state = _put(pickle.loads(rows["base"].iloc[0]), pickle.loads(data["data"].iloc[0]))
+        return _frames(*key, state, state["cost"]).rename(columns={"run": run})
+
+    def advance(last, turn, sharp):
+        def kernel(key, rows: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(data):
+                return pd.DataFrame(columns=[run, "block", "state", "report"] if turn is not None else [run, *FRAME_COLUMNS])
+            given = pickle.loads(data["data"].iloc[0])
+            if last is None:
+                state = _put(pickle.loads(rows["base"].iloc[0]), given) | {"edges": pickle.loads(rows["edges"].iloc[0])}
+            else:
+                state = pickle.loads(rows["state"].iloc[0])
+                filled(state, given, last)
+            if turn is None:
+                return _frames(*key, state, costs(state)).rename(columns={"run": run})
+            report = reduced(state, turn, sharp)
+            return pd.DataFrame([[*key, pickle.dumps(state), pickle.dumps(report)]], columns=[run, "block", "state", "report"])
+
+        return kernel
+
+    def solve(turn, sharp):
+        def kernel(key, rows: pd.DataFrame) -> pd.DataFrame:
+            own = rows["block"].isna()
+            state = pickle.loads(rows["data"][own].iloc[0])
+            reports = {int(b): pickle.loads(d) for b, d in zip(rows["block"][~own], rows["data"][~own], strict=True)}
+            parts = answered(state, reports, turn, sharp)
             return pd.DataFrame([[key[0], b, pickle.dumps(p)] for b, p in parts] + [[key[0], None, pickle.dumps(state)]], columns=[run, "block", "data"]).astype({"block": "Int64"})
 
-        def advance(last, turn, sharp):
-            def kernel(key, rows: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-                if not len(rows):
-                    return pd.DataFrame(columns=[run, "block", "state", "report"])
-                state, given = pickle.loads(rows["state"].iloc[0]), pickle.loads(data["data"].iloc[0])
-                if last is None:
-                    for p, q, c in given:
-                        own = state["part"] == p
-                        state["q"][own], state["c"][own] = placed(state["rel_q"][own], state["rel_c"][own], q, c)
-                else:
-                    filled(state, given, last)
-                report = reduced(state, turn, sharp) if turn is not None else {}
-                return pd.DataFrame([[key[0], key[1], pickle.dumps(state), pickle.dumps(report)]], columns=[run, "block", "state", "report"])
-
-            return kernel
-
-        def solve(turn, sharp):
-            def kernel(key, rows: pd.DataFrame) -> pd.DataFrame:
-                own = rows["block"].isna()
-                state = pickle.loads(rows["data"][own].iloc[0])
-                reports = {int(b): pickle.loads(d) for b, d in zip(rows["block"][~own], rows["data"][~own], strict=True)}
-                parts = answered(state, reports, turn, sharp)
-                return pd.DataFrame([[key[0], b, pickle.dumps(p)] for b, p in parts] + [[key[0], None, pickle.dumps(state)]], columns=[run, "block", "data"]).astype({"block": "Int64"})
-
-            return kernel
-
-        answers = stored(live.groupBy(run).applyInPandas(tie, answer), "answers")
-        last = None
-        for turn, k in [*rounds, (None, 0)]:
+        return kernel
+
+    answer = f"{run} {kind}, block long, data binary"
+    tied_up = stored(live.select(run, "block", "report").groupBy(run).applyInPandas(tie, f"{answer}, fits boolean"), "answers")
+    own = tied_up.filter("block is not null")
+    done.append(live.select(run, "block", "base").groupBy(run, "block").cogroup(own.filter("fits").groupBy(run, "block")).applyInPandas(settle, found))
+    between = tied_up.filter("block is null and fits").select(run, "data")
+    answers = tied_up.filter("not fits").select(run, "block", "data")
+    if answers.limit(1).count():
+        live = live.join(answers.select(run).distinct(), run, "left_semi").select(run, "block", "base", "edges")
+        last, spent, before = None, None, None
+        for turn, k in [(turn, k) for turn in (True, False) for k in range(ROUNDS)]:
             sharp = sharpness(k)
             given = answers.filter("block is not null").groupBy(run, "block")
-            live = stored(live.groupBy(run, "block").cogroup(given).applyInPandas(advance(last, turn, sharp), schema), "blocks")
+            live = stored(live.groupBy(run, "block").cogroup(given).applyInPandas(advance(last, turn, sharp), f"{run} {kind}, block long, state binary, report binary"), "states")
             drop_stored(*filter(None, [spent]))
-            spent = live
-            if turn is not None:
-                before = answers
-                asked = live.select(run, "block", F.col("report").alias("data")).union(answers.filter("block is null"))
-                answers = stored(asked.groupBy(run).applyInPandas(solve(turn, sharp), answer), "answers")
-                drop_stored(before)
-            last = turn
-        shut = shut.select(run, "block", "state", "report").unionByName(live)
-        between = answers.filter("block is null")
-    else:
-        shut, between = shut.select(run, "block", "state", "report"), None
-    return _judged(stored(shut, "states"), between, run, kind)
-
-
-def _judged(states: DataFrame, between: DataFrame | None, run: str, kind: str) -> DataFrame:
+            asked = live.select(run, "block", F.col("report").alias("data")).union(answers.filter("block is null"))
+            answers = stored(asked.groupBy(run).applyInPandas(solve(turn, sharp), answer), "answers")
+            drop_stored(*filter(None, [before]))
+            last, spent, before = turn, live, answers
+        given = answers.filter("block is not null").groupBy(run, "block")
+        done.append(live.select(run, "block", "state").groupBy(run, "block").cogroup(given).applyInPandas(advance(last, None, None), found))
+        between = between.union(answers.filter("block is null").select(run, "data"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    out = stored(out, "poses")
+    drop_stored(blocks)
+    return _judged(out, between, run, kind)
+
+
+def _stack(column: pd.Series, *shape: int) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(-1, *shape)
+
+
+def _spans(rows: pd.DataFrame, run: str):
+    """((run, block), slice) of every block in rows sorted by both."""
+    r, b = rows[run].to_numpy(), rows["block"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (b[1:] != b[:-1])])) if len(rows) else []
+    for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
+        yield (r[lo], b[lo]), slice(lo, hi)
+
+
+def _put(state: dict, parts: list) -> dict:
+    """A block's state with its parts where the run has placed them."""
+    state["q"], state["c"] = state["q0"].copy(), state["c0"].copy()
+    for p, q, c in parts:
+        own = state["part"] == p
+        state["q"][own], state["c"][own] = placed(state["rel_q"][own], state["rel_c"][own], q, c)
+    return state
+
+
+def _frames(r, b, state: dict, cost: np.ndarray) -> pd.DataFrame:
+    """A block's frames with both poses and their steps; its sums and its ends' positions stand in the first row."""
+    n = len(state["frames"])
+    out = {"run": [r] * n, "block": [b] * n, "frame": state["frames"]}
+    for name, step, q, c in (("old", "s0", "q0", "c0"), ("new", "s1", "q", "c")):
+        out[name] = list(np.concatenate([state[q], state[c][:, :, None]], axis=2).reshape(n, 12))
+        out[step] = np.concatenate([[np.nan], np.linalg.norm(np.diff(state[c], axis=0), axis=1)])
+    first = lambda v: [v] + [None] * (n - 1)
+    ends = np.concatenate([state[c][k] for c in ("c0", "c") for k in (0, -1)])
+    return pd.DataFrame(out | {"n": first(n), "largest": first(int(np.bincount(state["part"]).max())), "cost": first(cost), "ends": first(ends)})
+
+
+def _judged(frames: DataFrame, between: DataFrame | None, run: str, kind: str) -> DataFrame:
     """Poses before or after, by the gates."""
-    cost = ", ".join(f"{a}{b}_{c} double" for a in "xy" for b in "fh" for c in ("w", "loss", "good"))
-
-    def block_costs(batches):
-        for rows in batches:
-            out = []
-            for key, raw in zip(rows[run], rows["state"], strict=True):
-                state = pickle.loads(raw)
-                sizes = np.bincount(state["part"])
-                out.append([key, len(state["frames"]), int(sizes.max()), *costs(state)])
-            yield pd.DataFrame(out, columns=[run, "n", "largest", *[c.split()[0] for c in cost.split(", ")]])
+    names = [f"{a}{b}_{c}" for a in "xy" for b in "fh" for c in ("w", "loss", "good")]
 
     def run_costs(batches):
         for rows in batches:
             out = []
             for key, raw in zip(rows[run], rows["data"], strict=True):
                 state = pickle.loads(raw)
-                out.append([key, 0, state["largest"], *costs(state)])
-            yield pd.DataFrame(out, columns=[run, "n", "largest", *[c.split()[0] for c in cost.split(", ")]])
+                out.append([key, 0, state["largest"], costs(state)])
+            yield pd.DataFrame(out, columns=[run, "n", "largest", "cost"])
 
-    def poses_of(batches):
-        for rows in batches:
-            for key, raw in zip(rows[run], rows["state"], strict=True):
-                state = pickle.loads(raw)
-                both = []
-                for q, c in ((state["q0"], state["c0"]), (state["q"], state["c"])):
-                    pose = np.tile(np.eye(4), (len(q), 1, 1))
-                    pose[:, :3, :3], pose[:, :3, 3] = q, c
-                    both.append(list(pose.reshape(-1, 16)))
-                yield pd.DataFrame({run: [key] * len(q), "frame": state["frames"], "old": both[0], "new": both[1]})
-
-    schema = f"{run} {kind}, n long, largest long, {cost}"
-    sums = states.mapInPandas(block_costs, schema)
+    heads = frames.filter("cost is not null")
+    sums = heads.select(run, "n", "largest", "cost")
     if between is not None:
-        sums = sums.union(between.mapInPandas(run_costs, schema))
-    names = [c.split()[0] for c in cost.split(", ")]
-    per = sums.groupBy(run).agg(F.sum("n").alias("n"), F.max("largest").alias("largest"), *[F.sum(c).alias(c) for c in names])
-    moved = stored(states.mapInPandas(poses_of, f"{run} {kind}, frame long, old array<double>, new array<double>"), "poses")
-    order = Window.partitionBy(run).orderBy("frame")
-    step = lambda p: F.sqrt(sum((F.col(p)[k] - F.lag(F.col(p)[k]).over(order)) ** 2 for k in (3, 7, 11)))
-    steps = moved.select(run, step("old").alias("s0"), step("new").alias("s1")).groupBy(run).agg(
+        sums = sums.union(between.mapInPandas(run_costs, f"{run} {kind}, n long, largest long, cost array<double>"))
+    per = sums.groupBy(run).agg(F.sum("n").alias("n"), F.max("largest").alias("largest"), *[F.sum(F.col("cost")[k]).alias(c) for k, c in enumerate(names)])
+    # Steps inside blocks are known; those between blocks come from their ends.
+    order = Window.partitionBy(run).orderBy("block")
+    gap = lambda k: F.sqrt(sum((F.col("ends")[k + x] - F.lag(F.col("ends")[k + 3 + x]).over(order)) ** 2 for x in range(3)))
+    steps = frames.select(run, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("s0", "s1")]).union(heads.select(run, gap(0).alias("s0"), gap(6).alias("s1"))).groupBy(run).agg(
         *[f(f"s{k}") for k in (0, 1) for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.percentile_approx(c, 0.99, 10_000).alias(f"p99_{c}"))])
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1e-300))
     before, after = share("xf_loss", "xf_w"), share("yf_loss", "yf_w")
@@ -487,14 +547,26 @@ def _judged(states: DataFrame, between: DataFrame | None, run: str, kind: str) -
         & ratio("sum").between(*LENGTH_RATIO) & (ratio("p99") <= MOST_STEP_RATIO) & (share("yf_good", "yf_w") >= share("xf_good", "xf_w") - MOST_INLIER_DROP)
     )
     verdict = per.join(steps, run, "left").select(run, F.coalesce(fine, F.lit(False)).alias("accepted"), F.when(F.col("xf_w") > 0, gain).otherwise(0.0).alias("gain"))
-    return moved.join(verdict, run).select(run, "frame", F.when(F.col("accepted"), F.col("new")).otherwise(F.col("old")).alias("pose"), "accepted", "gain")
+    whole = F.concat(F.when(F.col("accepted"), F.col("new")).otherwise(F.col("old")), F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+    return frames.select(run, "frame", "old", "new").join(stored(verdict, "verdict"), run).select(run, "frame", whole.alias("pose"), "accepted", "gain")
+
+
+#: Frames of a stretch.
+STRETCH = 4096
 
 
 def relative(poses: DataFrame, gaps: tuple[int, ...], run: str = "run") -> DataFrame:
-    """Edges (run, i, j, rotation, shift) between poses `gaps` frames apart, as the poses have them."""
-    far = F.explode(F.array(*[F.lit(g) for g in gaps])).alias("gap")
-    left = poses.select(run, F.col("frame").alias("i"), F.col("pose").alias("a"), far).withColumn("j", F.col("i") + F.col("gap"))
-    both = left.join(poses.select(run, F.col("frame").alias("j"), F.col("pose").alias("b")), [run, "j"])
+    """Edges (run, i, j, rotation, shift) between poses `gaps` frames apart, as the poses have them.
+
+    Frames are distinct in a run. Stretches of it meet the few frames that follow them, so each pose is shuffled about once.
+    """
+    stretch = max(STRETCH, max(gaps))
+    of = lambda c: F.floor(c / stretch)
+    frame = F.col("frame").cast("long")
+    dealt = poses.select(run, frame.alias("i"), F.col("pose").alias("a"), F.explode(F.array_distinct(F.array(of(frame), of(frame - max(gaps))))).alias("stretch"))
+    ahead = lambda g: F.first("a").over(Window.partitionBy(run, "stretch").orderBy("i").rangeBetween(g, g))
+    near = dealt.select(run, "i", "a", (of(F.col("i")) == F.col("stretch")).alias("own"), *[ahead(g).alias(f"b{g}") for g in gaps]).filter("own")
+    both = near.select(run, "i", "a", F.explode(F.array(*[F.struct((F.col("i") + g).alias("j"), F.col(f"b{g}").alias("b")) for g in gaps])).alias("e")).select(run, "i", "a", "e.j", "e.b").filter("b is not null")
     # c2w: camera j from camera i is B^T A, and its shift B^T (a - b).
     e = lambda m, r, c: F.col(m)[4 * r + c]
     dot = lambda r, terms: e("b", 0, r) * terms[0] + e("b", 1, r) * terms[1] + e("b", 2, r) * terms[2]
