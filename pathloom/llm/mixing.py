@@ -78,9 +78,10 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """
     size, target, total, copies, src = fresh(docs, "size", "target", "source_size", "copies", "mix_source")
     sized = docs.withColumn(size, word_count(text))
-    # One row per source: broadcast, as source names are few by definition (see README).
+    # One row per source: broadcast, as source names are few by definition (see README). The hint keeps the texts where
+    # they are; Spark's own estimate of the targets is that of the texts, which it would shuffle by their few sources.
     targets = source_targets(sized.select(F.col(source).alias("s"), F.col(size).alias("n")), "s", "n", weights, budget, cap).select(F.col("source").alias(src), F.col("source_size").alias(total), F.col("target").alias(target))
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col(src)), "left").drop(src)
+    joined = sized.join(F.broadcast(targets), F.col(source).eqNullSafe(F.col(src)), "left").drop(src)
     rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return joined.withColumn(copies, (whole + F.when(coin(F.col(key), text, seed) < rate - whole, 1).otherwise(0)).cast("long")), {"size": size, "target": target, "source_size": total, "copies": copies}
