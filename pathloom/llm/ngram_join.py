@@ -155,6 +155,7 @@ def class_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
             raw = np.stack([a, b], axis=1).astype(">u8").tobytes().hex()
             names = [raw[32 * i : 32 * i + 32] if n else None for i, n in enumerate(size.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(a.view(np.int64)), pa.array(size)], names=["doc_id", "class_id", "k", "n"])
+        trim()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, class_id string, k long, n long")
 
@@ -490,6 +491,7 @@ def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str
                 last = {"hist": pa.array(histograms(h, offsets), pa.binary())} | dict(zip(PARITY, map(pa.array, np.ascontiguousarray(parities(h, offsets).T).view(np.int64)), strict=True))
             names = [raw[32 * i : 32 * i + 32] for i in range(len(a))]
             yield pa.RecordBatch.from_pydict({"k": pa.array(a.view(np.int64)), "class_id": pa.array(names, pa.string()), "n": pa.array(np.diff(offsets)), **last})
+        trim()
 
     kind = "items array<long>" if whole else "hist binary, " + ", ".join(f"{p} long" for p in PARITY)
     return chosen.mapInArrow(run, f"k long, class_id string, n long, {kind}").join(keys, "k", "left_semi").dropDuplicates(["class_id"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ship, stored
+from .common import documents, ship, stored, trim
 
 WINDOW = 2048
 EOD = 1
@@ -112,7 +112,9 @@ def _tokenizer(path: str) -> CachedTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return CachedTokenizer(path)
+    made = CachedTokenizer(path)
+    trim()  # of the file, which was read twice
+    return made
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
