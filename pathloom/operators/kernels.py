@@ -21,12 +21,17 @@ from .series import S, Series
 
 def folded(df: DataFrame, s: Series, start: Callable[[], dict], step: Callable[[dict, pd.DataFrame], pd.DataFrame], schema: str, finish: Callable[[dict], list] | None = None) -> DataFrame:
     """Rows of step(state, rows) over each run's rows in order; a state starts anew with
-    each run. finish gives a run's last rows, once all of it is seen."""
+    each run. finish gives a run's last rows, once all of it is seen.
+
+    The number of tasks is given: by their bytes Spark would put many runs into one
+    task, though a fold's work is in its rows. A batch's results go out together.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, state = None, None
         for batch in batches:
-            keys = batch[s.run].to_numpy()
+            keys, done = batch[s.run].to_numpy(), []
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if state is None or keys[a] != run:
@@ -35,11 +40,13 @@ def folded(df: DataFrame, s: Series, start: Callable[[], dict], step: Callable[[
                     run, state = keys[a], start() | {"run": keys[a]}
                 out = step(state, batch.iloc[a:b])
                 if len(out):
-                    yield out
+                    done.append(out)
+            if done:
+                yield pd.concat(done, ignore_index=True)
         if state is not None and finish and (rest := finish(state)):
             yield pd.DataFrame(rest)
 
-    return df.filter(F.col(s.run).isNotNull()).repartition(s.run).sortWithinPartitions(s.run, s.t, s.tie).mapInPandas(go, schema)
+    return df.filter(F.col(s.run).isNotNull()).repartition(tasks, s.run).sortWithinPartitions(s.run, s.t, s.tie).mapInPandas(go, schema)
 
 
 def per_run(df: DataFrame, s: Series, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
