@@ -38,7 +38,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -51,8 +51,12 @@ SLACK = 0.06
 PER_PART = 1_200_000
 #: The signatures travel in so many passes over the texts, each with its share of the hash ranges: a pass's shuffle goes before the next.
 PASSES = 3
-#: So many slices of the candidate pairs are compared one after another, each with its own sets.
-SLICES = 2
+#: Pairs that are compared at a time, with their own sets.
+SLICE_PAIRS = 200_000
+#: One partner of each set is compared before the others where sets have more partners than this on average.
+FEW_PARTNERS = 6
+#: Rows of an Arrow batch: their texts or sets are held by the executor and by its Python worker.
+BATCH_ROWS = 1000
 BLOCK_SIGNATURES = 800_000
 #: Classes of a bucket that gives all its pairs.
 SMALL_BUCKET = 16
@@ -140,6 +144,10 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([*out, *plain])[order], np.bincount(who, minlength=len(offsets) - 1), slack
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name, BATCH_ROWS)
+
+
 def class_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (doc_id, class_id string, k long, n long), one per document.
 
@@ -473,12 +481,14 @@ def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(rows, 8)
 
 
-def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
-    """Rows (k, class_id, n, hist and PARITY) for the classes whose k is in keys, or with `whole` (k, class_id, n, items array<long>)."""
-    need = stored(rows.join(keys, "k", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("rep")).select("rep").distinct(), "needed")
+def _sets(docs: DataFrame, names: DataFrame, keys: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
+    """Rows (k, class_id, n, hist and PARITY) for the classes of `names` whose k is in keys, or with `whole` (k, class_id, n, items array<long>).
+
+    Texts are not shuffled: a bitmap of the classes' representatives chooses them, and their sets meet the keys.
+    """
+    need = names.join(keys, "k", "left_semi").select(F.coalesce("rep", F.lit(0)).alias("rep"))
     mine = docs.select(F.col(key).cast("long").alias("rep"), text_or_empty(text).alias("text"))
-    mine = flagged(mine, F.coalesce("rep", F.lit(0)), need.select(F.coalesce("rep", F.lit(0)).alias("rep")), "maybe").filter("maybe").drop("maybe")
-    chosen = mine.join(need, mine["rep"].eqNullSafe(need["rep"]), "left_semi").select("text")
+    chosen = flagged(mine, F.coalesce("rep", F.lit(0)), need, "maybe").filter("maybe").select("text")
 
     def run(batches):
         for batch in sliced(batches, "text", SLICE_BYTES):
@@ -494,7 +504,7 @@ def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, key: str, text: str
         trim()
 
     kind = "items array<long>" if whole else "hist binary, " + ", ".join(f"{p} long" for p in PARITY)
-    return chosen.mapInArrow(run, f"k long, class_id string, n long, {kind}").join(keys, "k", "left_semi").dropDuplicates(["class_id"])
+    return chosen.mapInArrow(run, f"k long, class_id string, n long, {kind}").join(keys, "k", "left_semi").dropDuplicates(["k", "class_id"])
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -514,7 +524,7 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.array(out)
 
     side = lambda k: sets.select(F.col("k").alias(k), F.col("n").alias(k + "n"), F.col("hist").alias(k + "h"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").filter(near("xh", "yh", "xn", "yn")).select("x", "y").distinct()
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter(near("xh", "yh", "xn", "yn")).select("x", "y")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -529,57 +539,64 @@ class _Components:
     """The components known so far, from verified links."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, key: str, text: str, keys: DataFrame):
-        self.source = (docs, rows, key, text)
-        self.names = stored(rows.filter("n > 0").select("k", "class_id").join(keys, "k", "left_semi").distinct(), "names")
-        self.hists = stored(self.fetched(keys, False), "hists")
+        self.source = (docs, key, text)
+        names = rows.filter("n > 0").join(keys, "k", "left_semi").groupBy("k", "class_id").agg(F.min("doc_id").alias("rep"))
+        self.names = _kept(names.withColumn("twin", F.count(F.lit(1)).over(Window.partitionBy("k")) > 1), "names")
+        self.hists = _kept(self.fetched(keys, False), "hists")
         self.links: list[DataFrame] = []
-        self.labels = None
+        self.labels = self.known = None
 
     def fetched(self, keys: DataFrame, whole: bool) -> DataFrame:
-        docs, rows, key, text = self.source
-        return _sets(docs, rows, keys, key, text, whole)
+        docs, key, text = self.source
+        return _sets(docs, self.names, keys, key, text, whole)
 
     def labelled(self, rows: DataFrame, k: str, label: str) -> DataFrame:
         """rows with the component of class k, its own name where it has no link."""
-        names = self.names.join(self.labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(F.col("k").alias(k), F.coalesce("component", "class_id").alias(label))
-        return rows.join(names, k)
+        known = self.known.select(F.col("k").alias(k), F.col("component").alias(label))
+        return rows.join(known, k, "left").withColumn(label, F.coalesce(label, F.col(k).cast("string")))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sets lie in different components."""
-        return self.labelled(self.labelled(pairs, "x", "lx"), "y", "ly").filter("lx <> ly").select("x", "y").distinct()
-
-    def add(self, links: DataFrame) -> None:
-        links = stored(links, "links")
-        if self.labels is None or links.limit(1).count():
-            self.links.append(links)
-            before, self.labels = self.labels, stored(components(reduce(DataFrame.union, self.links), "a", "b"), "labels")
-            if before is not None:
-                drop_stored(before)
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Take up the links among pairs (x, y) that matter: first one partner of each
-        set, then what still lies across components. In large groups most pairs
-        then need no sets."""
-        near = stored(_near(self.apart(pairs) if self.labels is not None else pairs, self.hists), "near")
-        if self.labels is not None and not near.limit(1).count():
+        return self.labelled(self.labelled(pairs, "x", "lx"), "y", "ly").filter("lx <> ly").select("x", "y")
+
+    def add(self, links: list[DataFrame]) -> None:
+        found = [x for x in links if x.limit(1).count()]
+        if self.labels is None or found:
+            self.links += found or links[:1]
+            before, self.labels = [x for x in (self.labels, self.known) if x is not None], _kept(components(reduce(DataFrame.union, self.links), "a", "b"), "labels")
+            # Only linked classes have a row, and those that share their k with another class.
+            both = self.names.join(self.labels.withColumnRenamed("node", "class_id"), "class_id", "left").filter("component is not null or twin")
+            self.known = _kept(both.select("k", F.coalesce("component", "class_id").alias("component")), "known")
+            drop_stored(*before)
+
+    def verify(self, pairs: DataFrame, apart: bool = False) -> None:
+        """Take up the links among pairs (x, y) that matter. Where sets have many partners, as
+        in large groups, one partner of each set comes first, then what still lies across
+        components: most pairs then need no sets. `apart`: all pairs lie across components."""
+        near = _kept(_near(pairs if apart or self.labels is None else self.apart(pairs), self.hists), "near")
+        many, sets = near.agg(F.count("x"), F.approx_count_distinct("y")).first()
+        if self.labels is not None and not many:
+            return
+        if many <= FEW_PARTNERS * sets:
+            self.compare(near, many)
+            drop_stored(near)
             return
-        first = stored(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
-        self.compare(first)
-        rest = stored(self.apart(near.join(first, ["x", "y"], "left_anti")), "rest")
-        if rest.limit(1).count():
-            self.compare(rest)
+        first = _kept(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+        self.compare(first, sets)
+        rest = _kept(self.apart(near.join(first, ["x", "y"], "left_anti")), "rest")
+        if left := rest.count():
+            self.compare(rest, left)
         drop_stored(near, first, rest)
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Take up the links among pairs, slice by slice: only a slice's sets are fetched and joined at a time."""
-        found = []
-        for k in range(SLICES):
-            part = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
-            sets = stored(self.fetched(part.select(F.explode(F.array("x", "y")).alias("k")).distinct(), True), "sets")
-            found.append(stored(_links(part, sets), "links"))
+    def compare(self, pairs: DataFrame, many: int) -> None:
+        """Take up the links among so many pairs, slice by slice: only a slice's sets are fetched and joined at a time."""
+        found, slices = [], 1 + many // SLICE_PAIRS
+        for k in range(slices):
+            part = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(slices)) == k) if slices > 1 else pairs
+            sets = _kept(self.fetched(part.select(F.explode(F.array("x", "y")).alias("k")), True), "sets")
+            found.append(_kept(_links(part, sets), "links"))
             drop_stored(sets)
-        self.add(reduce(DataFrame.union, found))
-        drop_stored(*found)
+        self.add(found)
 
 
 def _uncovered(found: DataFrame) -> DataFrame:
@@ -587,7 +604,7 @@ def _uncovered(found: DataFrame) -> DataFrame:
     open_ = found.filter("kind = 3").groupBy("k").agg(F.sum("bucket").alias("hot"), F.min("slack").alias("slack")).filter("hot >= slack").select("k")
     columns = ["bucket", "k", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("away")]
     small = found.filter("kind = 1").select(*columns, F.lit(False).alias("large"))
-    return small.unionByName(found.filter("kind = 2").join(stored(open_, "open"), "k", "left_semi").select(*columns, F.lit(True).alias("large"))).distinct()
+    return small.unionByName(found.filter("kind = 2").join(_kept(open_, "open"), "k", "left_semi").select(*columns, F.lit(True).alias("large"))).distinct()
 
 
 def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -595,25 +612,25 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.85 * total / PER_PART))
-    found = [stored(signature_blocks(docs, text, parts, k, PASSES).groupBy("part", "salt").applyInArrow(_coarse, FOUND), "candidates") for k in range(PASSES)]
-    members = stored(_uncovered(reduce(DataFrame.union, found)), "members")
+    found = [_kept(signature_blocks(docs, text, parts, k, PASSES).groupBy("part", "salt").applyInArrow(_coarse, FOUND), "candidates") for k in range(PASSES)]
+    members = _kept(_uncovered(reduce(DataFrame.union, found)), "members")
     drop_stored(*found)
     known = _Components(docs, rows, key, text, members.select("k").distinct())
     while True:
-        pivots = stored(_pivots(members), "pivots")
-        tied = stored(members.join(pivots, "bucket").filter("k <> p").groupBy("k", "p").agg(F.max("large").alias("large")), "tied")
+        pivots = _kept(_pivots(members), "pivots")
+        tied = _kept(members.join(pivots, "bucket").filter("k <> p").groupBy("k", "p").agg(F.max("large").alias("large")), "tied")
         known.verify(tied.select(F.least("k", "p").alias("x"), F.greatest("k", "p").alias("y")).distinct())
-        known.verify(_across(known, members.filter(~F.col("large")), pivots))
+        known.verify(_across(known, members.filter(~F.col("large")), pivots), apart=True)
         named = known.labelled(known.labelled(tied.filter("large"), "k", "lk"), "p", "lp").select("k", "p", (F.col("lk") != F.col("lp")).alias("open"))
-        named = stored(named, "named")
+        named = _kept(named, "named")
         drop_stored(members, pivots, tied)
-        again = stored(named.join(named.filter("open").select("p").distinct(), "p", "left_semi"), "again")
+        again = _kept(named.join(named.filter("open").select("p").distinct(), "p", "left_semi"), "again")
         drop_stored(named)
         if not again.limit(1).count():
-            drop_stored(known.names, known.hists)
+            drop_stored(known.names, known.hists, known.known)
             return known.labels
-        sets = stored(known.fetched(again.select(F.explode(F.array("k", "p")).alias("k")).distinct(), True), "sets")
-        found = stored(difference_blocks(again, sets, parts).groupBy("part").applyInArrow(_fine, FINE), "candidates")
+        sets = _kept(known.fetched(again.select(F.explode(F.array("k", "p")).alias("k")), True), "sets")
+        found = _kept(difference_blocks(again, sets, parts).groupBy("part").applyInArrow(_fine, FINE), "candidates")
         drop_stored(again, sets)
         members = found.select("bucket", "k", "at", "away", (F.col("kind") == 2).alias("large"))
         members._stored_path = found._stored_path
@@ -628,7 +645,7 @@ def _across(known: _Components, small: DataFrame, pivots: DataFrame) -> DataFram
     """
     rows = known.labelled(small, "k", "label").join(known.hists.select("k", "n", *PARITY), "k")
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-    rows = stored(rows.join(open_, "bucket", "left_semi").join(pivots, "bucket").filter("k <> p").drop("p").distinct(), "across")
+    rows = _kept(rows.join(open_, "bucket", "left_semi").join(pivots, "bucket").filter("k <> p").drop("p").distinct(), "across")
     other = rows.select("bucket", *[F.col(c).alias(c + "2") for c in ("k", "at", "away", "label", "n", *PARITY)])
     share = F.expr("(away + away2 - (n + n2) div 9 + 1) div 2")
     fits = F.coalesce((F.col("at") <= F.col("away") - share) & (F.col("at2") <= F.col("away2") - share), F.lit(True))
@@ -652,13 +669,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = stored(class_rows(docs, key, text), "classes")
+    rows = _kept(class_rows(docs, key, text), "classes")
     labels = links(docs, rows, key, text)
     total = rows.count()
     classes = rows.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).drop("component")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    groups = stored(named.join(least, "label").select("class_id", "component", "copies"), "groups")
+    groups = _kept(named.join(least, "label").select("class_id", "component", "copies"), "groups")
     out = join_groups(rows.filter("n > 0"), groups, "class_id", "copies", total)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
 
