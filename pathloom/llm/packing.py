@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import documents, ship, stored, trim
 
 WINDOW = 2048
+#: Rows of an Arrow batch: their texts are held by the executor and by its Python worker.
+BATCH_ROWS = 1000
 EOD = 1
 CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -167,7 +169,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     repeat or be null, each row is packed for itself. An empty table gives no
     piece.
     """
-    table = stored(tokenised(docs, key, text, tokenizer), "tokens")
+    table = stored(tokenised(docs, key, text, tokenizer), "tokens", BATCH_ROWS)
     totals = table.groupBy("part").agg(F.sum("tokens").alias("n"))
     # One row per input partition: small enough for one window and a broadcast.
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
