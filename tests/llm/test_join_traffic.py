@@ -44,3 +44,11 @@ def test_stored_takes_small_batches(spark):
     found = stored(spark.range(0, 95, 1, 1).mapInArrow(rows, "n long"), "batches", 10)
     assert sorted(r["n"] for r in found.collect()) == [5] + [10] * 9
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_slices_and_turns_give_the_same_rows(spark, monkeypatch):
+    docs = documents(spark, SF)
+    want = sorted(map(str, ngram_join.joined(docs).collect()))
+    monkeypatch.setattr(ngram_join, "SLICE_PAIRS", 20)
+    monkeypatch.setattr(ngram_join, "FEW_PARTNERS", 0)
+    assert sorted(map(str, ngram_join.joined(docs).collect())) == want
