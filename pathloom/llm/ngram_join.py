@@ -15,7 +15,10 @@ spans several components, all pairs across them are compared. A larger one is ho
 A set's slack is the number of its groups that must agree with any similar set: a
 set with fewer hot signatures than its slack meets every partner in a small bucket,
 so only the others (mostly members of large groups of near copies) are looked at in
-hot buckets. There, two sets' distance is that of their differences from the pivot,
+hot buckets. Buckets whose pivots lie in one component make one group, and a group's
+pairs across components are held against each other by their histograms, block by
+block. In a group of more classes than DIRECT a signature is needed again: two sets'
+distance is that of their differences from the pivot,
 so sets that link with the pivot need no look at each other, and any other link
 must share an element of short prefixes of the differences. Those elements are
 signatures in turn, with new pivots; every level drops the pivot, so it ends and no
@@ -50,7 +53,7 @@ BAND_RATIO = 1.5
 SLACK = 0.06
 PER_PART = 1_200_000
 #: The signatures travel in so many passes over the texts, each with its share of the hash ranges: a pass's shuffle goes before the next.
-PASSES = 3
+PASSES = 1
 #: Pairs that are compared at a time, with their own sets.
 SLICE_PAIRS = 200_000
 #: One partner of each set is compared before the others where sets have more partners than this on average.
@@ -64,6 +67,8 @@ SMALL_BUCKET = 16
 BLOCK_MEMBERS = 256
 #: The same for signatures of differences, which are far more selective.
 SMALL_DIFFERENCE = 256
+#: Classes of a group that is compared block by block, and of a block.
+DIRECT, BLOCK_CLASSES = 1 << 16, 1 << 12
 BAND_STEP = 1.35
 SEEN_CLASSES = 200_000
 #: Bits of a histogram's ranges for sets above and up to a size.
@@ -504,7 +509,19 @@ def _sets(docs: DataFrame, names: DataFrame, keys: DataFrame, key: str, text: st
         trim()
 
     kind = "items array<long>" if whole else "hist binary, " + ", ".join(f"{p} long" for p in PARITY)
-    return chosen.mapInArrow(run, f"k long, class_id string, n long, {kind}").join(keys, "k", "left_semi").dropDuplicates(["k", "class_id"])
+    # Dealt by k once: the joins with the keys and with pairs, and what drops repeated rows, keep it.
+    return chosen.mapInArrow(run, f"k long, class_id string, n long, {kind}").repartition("k").join(keys, "k", "left_semi").dropDuplicates(["k", "class_id"])
+
+
+def _alike(xs: list[bytes], ys: list[bytes], limit: np.ndarray) -> np.ndarray:
+    """Whether the differences of two histograms, range by range, sum up to the limit at most; true if they have other ranges."""
+    size = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(xs, ys, strict=True)], dtype=np.int64)
+    out = np.ones(len(xs), dtype=bool)
+    for n in np.unique(size[size > 0]).tolist():
+        for rows in np.array_split(np.flatnonzero(size == n), 1 + int((size == n).sum()) * n // (1 << 22)):
+            a, b = (np.frombuffer(b"".join([side[r] for r in rows]), dtype=np.uint8).reshape(-1, n).astype(np.int16) for side in (xs, ys))
+            out[rows] = np.abs(a - b).sum(axis=1, dtype=np.int64) <= limit[rows]
+    return out
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -513,15 +530,7 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def near(xh: pa.Array, yh: pa.Array, xn: pa.Array, yn: pa.Array) -> pa.Array:
-        limit = (xn.to_numpy() + yn.to_numpy()) // 9
-        xs, ys = xh.to_pylist(), yh.to_pylist()
-        size = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(xs, ys, strict=True)])
-        out = np.ones(len(xs), dtype=bool)
-        for n in np.unique(size[size > 0]).tolist():
-            for rows in np.array_split(np.flatnonzero(size == n), 1 + int((size == n).sum()) * n // (1 << 22)):
-                a, b = (np.frombuffer(b"".join([side[r] for r in rows]), dtype=np.uint8).reshape(-1, n).astype(np.int16) for side in (xs, ys))
-                out[rows] = np.abs(a - b).sum(axis=1, dtype=np.int64) <= limit[rows]
-        return pa.array(out)
+        return pa.array(_alike(xh.to_pylist(), yh.to_pylist(), (xn.to_numpy() + yn.to_numpy()) // 9))
 
     side = lambda k: sets.select(F.col("k").alias(k), F.col("n").alias(k + "n"), F.col("hist").alias(k + "h"))
     return pairs.join(side("x"), "x").join(side("y"), "y").filter(near("xh", "yh", "xn", "yn")).select("x", "y")
@@ -569,11 +578,13 @@ class _Components:
             self.known = _kept(both.select("k", F.coalesce("component", "class_id").alias("component")), "known")
             drop_stored(*before)
 
-    def verify(self, pairs: DataFrame, apart: bool = False) -> None:
+    def verify(self, pairs: DataFrame, apart: bool = False, alike: bool = False) -> None:
         """Take up the links among pairs (x, y) that matter. Where sets have many partners, as
         in large groups, one partner of each set comes first, then what still lies across
-        components: most pairs then need no sets. `apart`: all pairs lie across components."""
-        near = _kept(_near(pairs if apart or self.labels is None else self.apart(pairs), self.hists), "near")
+        components: most pairs then need no sets. `apart`: all pairs lie across components;
+        `alike`: their histograms have been compared."""
+        pairs = pairs if apart or self.labels is None else self.apart(pairs)
+        near = _kept(pairs if alike else _near(pairs, self.hists), "near")
         many, sets = near.agg(F.count("x"), F.approx_count_distinct("y")).first()
         if self.labels is not None and not many:
             return
@@ -590,12 +601,12 @@ class _Components:
 
     def compare(self, pairs: DataFrame, many: int) -> None:
         """Take up the links among so many pairs, slice by slice: only a slice's sets are fetched and joined at a time."""
+        if not many:
+            return self.add([pairs.select(F.col("x").cast("string").alias("a"), F.col("y").cast("string").alias("b"))])
         found, slices = [], 1 + many // SLICE_PAIRS
         for k in range(slices):
             part = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(slices)) == k) if slices > 1 else pairs
-            sets = _kept(self.fetched(part.select(F.explode(F.array("x", "y")).alias("k")), True), "sets")
-            found.append(_kept(_links(part, sets), "links"))
-            drop_stored(sets)
+            found.append(_kept(_links(part, self.fetched(part.select(F.explode(F.array("x", "y")).alias("k")), True)), "links"))
         self.add(found)
 
 
@@ -621,11 +632,13 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
         tied = _kept(members.join(pivots, "bucket").filter("k <> p").groupBy("k", "p").agg(F.max("large").alias("large")), "tied")
         known.verify(tied.select(F.least("k", "p").alias("x"), F.greatest("k", "p").alias("y")).distinct())
         known.verify(_across(known, members.filter(~F.col("large")), pivots), apart=True)
-        named = known.labelled(known.labelled(tied.filter("large"), "k", "lk"), "p", "lp").select("k", "p", (F.col("lk") != F.col("lp")).alias("open"))
-        named = _kept(named, "named")
+        named = _kept(known.labelled(known.labelled(tied.filter("large"), "k", "lk"), "p", "lp").select("k", "p", "lk", "lp"), "named")
         drop_stored(members, pivots, tied)
-        again = _kept(named.join(named.filter("open").select("p").distinct(), "p", "left_semi"), "again")
-        drop_stored(named)
+        groups = _kept(named.groupBy("lp").agg(F.count_distinct("k").alias("classes"), F.max(F.col("lk") != F.col("lp")).alias("open")).filter("open").drop("open"), "groups")
+        known.verify(_direct(known, named, groups.filter(F.col("classes") <= DIRECT)), apart=True, alike=True)
+        rest = named.join(groups.filter(F.col("classes") > DIRECT), "lp", "left_semi").select("k", "p", (F.col("lk") != F.col("lp")).alias("open"))
+        again = _kept(rest.join(rest.filter("open").select("p").distinct(), "p", "left_semi"), "again")
+        drop_stored(named, groups)
         if not again.limit(1).count():
             drop_stored(known.names, known.hists, known.known)
             return known.labels
@@ -653,6 +666,50 @@ def _across(known: _Components, small: DataFrame, pivots: DataFrame) -> DataFram
     return both.select(F.col("k").alias("x"), F.col("k2").alias("y")).distinct()
 
 
+def _direct(known: _Components, named: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a group's classes in different components that their histograms don't rule out.
+
+    A group (lp) holds the classes k that lie in a hot bucket whose pivot is of
+    component lp. Its classes are dealt to blocks, and a task compares two
+    blocks; most classes lie in one component, and the others meet all.
+    """
+    block = lambda c: F.pmod(F.xxhash64("k"), c)
+    many = groups.select("lp", F.ceil(F.col("classes") / BLOCK_CLASSES).alias("blocks"))
+    rows = named.join(many, "lp").select(F.xxhash64("lp").alias("g"), "k", F.col("lk").alias("label"), block(F.col("blocks")).alias("own"), "blocks").distinct().join(known.hists.drop("class_id"), "k")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("blocks", "other")
+    return rows.groupBy("g", "a", "b").applyInArrow(_block_pairs, "x long, y long").distinct()
+
+
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of two blocks' classes, or of one block's, for _direct."""
+    k, n, own = (table.column(c).to_numpy() for c in ("k", "n", "own"))
+    label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    bits = np.stack([table.column(p).to_numpy().view(np.uint64) for p in PARITY])
+    hist = table.column("hist")
+    rest = label != np.bincount(label).argmax()
+    left, right = (own == table.column(c)[0].as_py() for c in ("a", "b"))
+    found = []
+    for some, others in ((left & rest, right), (right & rest, left)):
+        some, others = np.flatnonzero(some), np.flatnonzero(others)
+        step = max(1, (1 << 20) // max(1, len(others)))
+        for start in range(0, len(some), step):
+            i = some[start : start + step]
+            odd = np.zeros((len(i), len(others)), np.uint16)
+            for word in bits:
+                odd += np.bitwise_count(word[i][:, None] ^ word[others])
+            most = (n[i][:, None] + n[others]) // 9
+            fits = (odd <= most) & (label[i][:, None] != label[others]) & (5 * np.minimum(n[i][:, None], n[others]) >= 4 * np.maximum(n[i][:, None], n[others])) & (k[i][:, None] != k[others])
+            x, y = np.nonzero(fits)
+            for at in range(0, len(x), 1 << 14):
+                u, v = i[x[at : at + (1 << 14)]], others[y[at : at + (1 << 14)]]
+                alike = _alike(hist.take(pa.array(u)).to_pylist(), hist.take(pa.array(v)).to_pylist(), (n[u] + n[v]) // 9)
+                found.append(np.stack([np.minimum(k[u], k[v]), np.maximum(k[u], k[v])])[:, alike])
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    trim()
+    return pa.table({"x": pairs[0], "y": pairs[1]})
+
+
 def _pivots(members: DataFrame) -> DataFrame:
     """Rows (bucket, p): each bucket's pivot, the class in most buckets."""
     weights = members.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
