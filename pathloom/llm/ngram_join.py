@@ -48,7 +48,8 @@ from ..operators.graph import components
 from .common import documents, drop_stored, flagged, fresh, join_groups, ship, sliced, stored, text_or_empty, trim
 from .shingles import U, mix, set_keys, shingle_sets
 
-SLICE_BYTES = 1 << 20
+#: Bytes of text at a time: the arrays made of them are some 60 times as large.
+SLICE_BYTES = (1 << 18) - 1
 BAND_RATIO = 1.5
 SLACK = 0.06
 PER_PART = 1_200_000
@@ -60,7 +61,7 @@ SLICE_PAIRS = 200_000
 FEW_PARTNERS = 6
 #: Rows of an Arrow batch: their texts or sets are held by the executor and by its Python worker.
 BATCH_ROWS = 1000
-BLOCK_SIGNATURES = 800_000
+BLOCK_SIGNATURES = 400_000
 #: Classes of a bucket that gives all its pairs.
 SMALL_BUCKET = 16
 #: Members of a bucket in one block; those beyond travel apart.
@@ -742,11 +743,14 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The document with the smallest identifier stays; of rows that repeat it,
     those stay too. Rows without an identifier stay where no row of their
-    group has one.
+    group has one. Only rows that a bitmap of those to be dropped lets pass are
+    shuffled to meet them.
     """
-    gone, = fresh(docs, "gone")
-    drop = joined(docs, key, text).filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(drop, F.col(key).cast("long").eqNullSafe(F.col(gone)), "left_anti")
+    gone, maybe = fresh(docs, "gone", "maybe")
+    drop = _kept(joined(docs, key, text).filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    rows = flagged(docs, F.col(key).cast("long"), drop, maybe)
+    some = rows.filter(maybe).drop(maybe).join(drop, F.col(key).cast("long").eqNullSafe(F.col(gone)), "left_anti")
+    return rows.filter(~F.col(maybe)).drop(maybe).union(some)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

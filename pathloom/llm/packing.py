@@ -5,7 +5,8 @@ writes the ids (two bytes each for this vocabulary) to the shared folder. The
 partition totals, one number per partition, become global offsets by a prefix
 sum. Pass two adds a partition's offset to its rows and cuts at multiples of
 the window; nothing is shuffled, and a document that crosses a boundary yields
-one record per window.
+one record per window. The records are written, too, so that both passes get
+small Arrow batches, and the ids go.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ship, stored, trim
+from .common import documents, drop_stored, ship, stored, trim
 
 WINDOW = 2048
 #: Rows of an Arrow batch: their texts are held by the executor and by its Python worker.
@@ -138,6 +139,7 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize
                 at = local + np.concatenate([[0], np.cumsum(tokens)[:-1]])
                 local += int(tokens.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, dtype=np.int64)), some.column(0), pa.array(at), pa.array(tokens), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), tok.dtype.itemsize, dtype=np.int32))], names=["part", "doc_id", "local", "tokens", "ids", "width"])
+        trim()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "part long, doc_id long, local long, tokens long, ids binary, width int")
 
@@ -157,6 +159,7 @@ def _cut(window: int):
                             out.append(v)
                         begin += n
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=PIECES.replace(" long", "").split(", "))
+        trim()
 
     return cut
 
@@ -174,7 +177,9 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     # One row per input partition: small enough for one window and a broadcast.
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     placed = table.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local")).alias("at"), "tokens", "ids", "width")
-    return placed.mapInArrow(_cut(window), PIECES)
+    pieces = stored(placed.mapInArrow(_cut(window), PIECES), "pieces", BATCH_ROWS)
+    drop_stored(table)
+    return pieces
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,32 @@ def test_blocks_and_differences_give_the_same_rows(spark, tables, monkeypatch, d
 def test_sets_are_not_written_before_they_are_compared(spark, tables):
     ngram_join.joined(docs(spark, drifting(3, 60))).collect()
     assert "links" in tables and "sets" not in tables
+
+
+def test_rows_that_surely_stay_are_not_shuffled(spark):
+    texts = drifting(4, 40) + [f"alone {i} of its kind" for i in range(200)]
+    df = docs(spark, texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join.representatives(df)
+        held = got.collect()
+        plan = got._jdf.queryExecution().executedPlan()
+        moved = max(m.value() for m in _written(plan, "shuffleRecordsWritten"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = brute_components(texts)
+    assert sorted(r["doc_id"] for r in held) == [i for i, (_, c) in enumerate(want) if i == c] and got.columns == df.columns
+    assert moved < len(texts) / 2
+
+
+def _written(node, name):
+    """The metric of every exchange below a plan's node."""
+    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        node = node.executedPlan()
+    if "QueryStageExec" in node.getClass().getSimpleName():
+        node = node.plan()
+    found = [node.metrics().apply(name)] if node.metrics().contains(name) else []
+    for k in range(node.children().size()):
+        found += _written(node.children().apply(k), name)
+    return found
